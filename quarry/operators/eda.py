@@ -123,20 +123,26 @@ def rate_by(df: DataFrame, key: str, target: str = "target") -> DataFrame:
 
 
 # ------------------------------------------------------------------ A12–A15, J4, J5
+def domain_values(df: DataFrame, col: str, max_values: int = 10_000) -> list:
+    """Observed distinct values of a key, collected only below a size bound."""
+    vals = [r[0] for r in _nn(df, [col]).select(col).distinct().limit(max_values + 1).collect()]
+    if len(vals) > max_values:
+        raise ValueError(f"{col} has more than {max_values} values; pass its domain explicitly")
+    return sorted(vals)
+
+
 def zero_filled_grid(df: DataFrame, row_key: str, col_key: str,
                      row_values: list | None = None, col_values: list | None = None) -> DataFrame:
     """Counts for every (row, col) combination, zero where absent.
 
-    The spine is built from value lists (when the domain is known) or from
-    the observed distinct values of each key; the domain product is small,
-    so it is joined as the build side of a left join to the aggregate."""
+    The spine is the product of two bounded domains (given lists, or the
+    observed values below a size bound), built as a small local table and
+    left-joined to the aggregate, which is the only pass over the data."""
+    import itertools
     agg = counts_by(df, [row_key, col_key])
-    spark = df.sparkSession
-    rows = (spark.createDataFrame([(v,) for v in row_values], [row_key]) if row_values is not None
-            else agg.select(row_key).distinct())
-    cols = (spark.createDataFrame([(v,) for v in col_values], [col_key]) if col_values is not None
-            else agg.select(col_key).distinct())
-    spine = rows.join(cols, how="cross")
+    rows = row_values if row_values is not None else domain_values(df, row_key)
+    cols = col_values if col_values is not None else domain_values(df, col_key)
+    spine = df.sparkSession.createDataFrame(list(itertools.product(rows, cols)), [row_key, col_key])
     return spine.join(agg, [row_key, col_key], "left").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
 
@@ -163,10 +169,8 @@ def rollup_sum(agg: DataFrame, key: str, value: str = "count", name: str = "tota
 # ------------------------------------------------------------------ A16 / H6
 def report_facts(df: DataFrame) -> DataFrame:
     """One row of headline facts (one quantile job + one aggregation)."""
-    med = exact_quantiles(df, ["Distance(mi)", "duration_min"], [0.5])
-    med_w = med.groupBy().agg(
-        F.max(F.when(F.col("column") == "Distance(mi)", F.col("value"))).alias("median_distance"),
-        F.max(F.when(F.col("column") == "duration_min", F.col("value"))).alias("median_duration"))
+    med = {r["column"]: r["value"] for r in
+           exact_quantiles(df, ["Distance(mi)", "duration_min"], [0.5]).collect()}
     n = F.count(F.lit(1))
     pos = F.count_if(F.col("target") == 1)
     facts = df.agg(
@@ -176,7 +180,8 @@ def report_facts(df: DataFrame) -> DataFrame:
         F.avg(F.col("month").isin(12, 1, 2).cast("double")).alias("winter_share"),
         F.avg((F.col("Sunrise_Sunset") == "Day").cast("double")).alias("daylight_share"),
         F.try_divide((n - pos).cast("double"), pos.cast("double")).alias("imbalance_ratio"))
-    return facts.join(med_w, how="cross")
+    return facts.select("*", F.lit(med.get("Distance(mi)")).cast("double").alias("median_distance"),
+                        F.lit(med.get("duration_min")).cast("double").alias("median_duration"))
 
 
 def arg_max(df: DataFrame, key: str, value: str = "count", k: int = 1) -> DataFrame:

@@ -96,9 +96,10 @@ def period_caveat(df: DataFrame, ts: str = "Start_Time") -> DataFrame:
     return df.agg(F.year(F.max(ts)).alias("last_year"), F.month(F.max(ts)).alias("last_month"))
 
 
-def missing_pattern(sample: DataFrame) -> DataFrame:
-    """Q8: 0/1 NULL matrix of an (already sampled) frame."""
-    return sample.select(*[qcol(c).isNull().cast("int").alias(c) for c in sample.columns])
+def missing_pattern(sample: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Q8: 0/1 NULL matrix of an (already sampled) frame; ``keep`` columns pass through."""
+    return sample.select(*[qcol(c) for c in keep],
+                         *[qcol(c).isNull().cast("int").alias(c) for c in sample.columns if c not in keep])
 
 
 # The accepted range of each scoring-request field (None = open).

@@ -114,13 +114,32 @@ CLEANED_CTE = "WITH " + _cleaned().lstrip() + "\n"
 PROCESSED_CTE = "WITH " + _processed().lstrip() + "\n"
 
 
+def _splice(cte: str, select: str) -> str:
+    """Append ``select``; its own leading WITH list joins the stage CTEs."""
+    body = select.lstrip()
+    if body[:4].upper() == "WITH":
+        return cte.rstrip() + ",\n" + body[4:].lstrip()
+    return cte + body
+
+
 def over_raw(select: str) -> str:
-    return RAW_CTE + select
+    return _splice(RAW_CTE, select)
 
 
 def over_cleaned(select: str) -> str:
-    return CLEANED_CTE + select
+    return _splice(CLEANED_CTE, select)
 
 
 def over_processed(select: str) -> str:
-    return PROCESSED_CTE + select
+    return _splice(PROCESSED_CTE, select)
+
+
+# Raw incident columns in order (the derivation's output schema).
+RAW_COLUMNS = [
+    "_order", "ID", "Source", "Severity", "Start_Time", "End_Time", "Start_Lat", "Start_Lng", "End_Lat",
+    "End_Lng", "Distance(mi)", "Description", "Street", "City", "County", "State", "Zipcode", "Country",
+    "Timezone", "Airport_Code", "Weather_Timestamp", "Temperature(F)", "Wind_Chill(F)", "Humidity(%)",
+    "Pressure(in)", "Visibility(mi)", "Wind_Direction", "Wind_Speed(mph)", "Precipitation(in)",
+    "Weather_Condition", "Amenity", "Bump", "Crossing", "Give_Way", "Junction", "No_Exit", "Railway",
+    "Roundabout", "Station", "Stop", "Traffic_Calming", "Traffic_Signal", "Turning_Loop", "Sunrise_Sunset",
+    "Civil_Twilight", "Nautical_Twilight", "Astronomical_Twilight"]
