@@ -93,15 +93,20 @@ def quantile_lookup(q: DataFrame, by: list[str] | tuple = ()) -> dict:
     return out
 
 
-def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """Most frequent non-null value per column (smallest value on ties)."""
-    if not columns:
-        return {}
+def column_modes_df(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, mode): most frequent non-null value, smallest value on ties.
+    Distinct (column, value) pairs are counted with a map-side combine."""
     long = to_long(df, columns, cast="string").where(F.col("v").isNotNull())
     counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column").agg(
+    return counts.groupBy("column").agg(
         F.min_by("v", F.struct((-F.col("n")).alias("k"), F.col("v").alias("t"))).alias("mode"))
-    return {r["column"]: r["mode"] for r in best.collect()}
+
+
+def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Collected ``column_modes_df`` (one value per column)."""
+    if not columns:
+        return {}
+    return {r["column"]: r["mode"] for r in column_modes_df(df, columns).collect()}
 
 
 def running_totals(df: DataFrame, keys: list[str], order_col: str, sum_cols: list[str],

@@ -203,15 +203,9 @@ def percentile_clip(df: DataFrame, column: str, lo_q: float = 0.01, hi_q: float
 
 
 # ---------------------------------------------------------------- C7
-def clean(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, iqr_factor: float = IQR_FACTOR,
-          key: str = "ID", order_by: str = "_order", materialize_as: str | None = "filtered",
-          skip_zero_iqr: bool = False) -> DataFrame:
-    """Reference order: dedup → P1 → P2 → P3 → C5 → C2/C3/C4 → C6.
-
-    Capping is monotone and its bounds lie outside [Q1, Q3], so the median
-    after capping equals the median before: one quantile job gives both the
-    IQR bounds and the imputation medians.
-    """
+def filtered(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, key: str = "ID",
+             order_by: str = "_order", materialize_as: str | None = None):
+    """dedup → P1 → P2 → P3; returns (frame, null fractions after dedup)."""
     from quarry.sources.sinks import materialize
 
     d = dedup(df, key, order_by) if key in df.columns else df
@@ -223,6 +217,19 @@ def clean(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, iqr_factor: flo
         d = validate_coordinates(d)
     if "Severity" in d.columns:
         d = validate_severity(d)
+    return d, fr
+
+
+def clean(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, iqr_factor: float = IQR_FACTOR,
+          key: str = "ID", order_by: str = "_order", materialize_as: str | None = "filtered",
+          skip_zero_iqr: bool = False) -> DataFrame:
+    """Reference order: dedup → P1 → P2 → P3 → C5 → C2/C3/C4 → C6.
+
+    Capping is monotone and its bounds lie outside [Q1, Q3], so the median
+    after capping equals the median before: one quantile job gives both the
+    IQR bounds and the imputation medians.
+    """
+    d, fr = filtered(df, drop_threshold, key, order_by, materialize_as)
     nulls = {c for c, v in fr.items() if 0 < v <= drop_threshold}
     caps = [c for c in CAP_COLUMNS if c in d.columns]
     med_cols = [c for c in numeric_columns(d) if c in nulls]
