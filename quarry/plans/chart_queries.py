@@ -1 +1,93 @@
-"""Registered queries."""
+"""Chart-data queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.stats import pairwise_corr, qcol
+from quarry.operators import charts
+from quarry.plans.catalog import register
+from quarry.plans.oracle_base import over_processed, q
+from quarry.plans.stages import processed
+
+
+def _hist_sql(col: str, bins: int, by: str | None) -> str:
+    g = f"{by} AS g, " if by else "0 AS g, "
+    ret_g = f"s.g AS {by}, " if by else ""
+    return f"""
+WITH hv AS (SELECT {g}CAST({q(col)} AS DOUBLE) AS v FROM processed WHERE {q(col)} IS NOT NULL),
+hr AS (SELECT g, min(v) AS lo, max(v) AS hi, count(*) AS n FROM hv GROUP BY g),
+hc AS (SELECT hv.g, CASE WHEN hr.hi - hr.lo = 0 THEN 0
+         ELSE least(CAST(floor((hv.v - hr.lo) / (hr.hi - hr.lo) * {bins}) AS INTEGER), {bins - 1}) END AS bin,
+       count(*) AS count FROM hv JOIN hr ON hv.g = hr.g GROUP BY 1, 2),
+hs AS (SELECT hr.*, CAST(b.bin AS INTEGER) AS bin FROM hr, (SELECT unnest(range({bins})) AS bin) b)
+SELECT {ret_g}s.bin, round(s.lo + s.bin * ((s.hi - s.lo) / {bins}), 6) AS bin_lo,
+  round(s.lo + (s.bin + 1) * ((s.hi - s.lo) / {bins}), 6) AS bin_hi,
+  CAST(coalesce(c.count, 0) AS BIGINT) AS count,
+  round(CASE WHEN s.hi = s.lo THEN NULL ELSE coalesce(c.count, 0) / (s.n * ((s.hi - s.lo) / {bins})) END, 6) AS density
+FROM hs s LEFT JOIN hc c ON c.g = s.g AND c.bin = s.bin"""
+
+
+def _round_hist(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in ("bin_lo", "bin_hi", "density") else F.col(c)
+                       for c in df.columns])
+
+
+@register("histogram", over_processed(_hist_sql("Temperature(F)", 40, None)))
+def histogram(spark, sf_dir):
+    """H1: 40 equal-width temperature bins, zero-filled."""
+    return _round_hist(charts.histogram(processed(spark, sf_dir), "Temperature(F)", 40))
+
+
+@register("density_by_class", over_processed(_hist_sql("duration_min", 50, "target")))
+def density_by_class(spark, sf_dir):
+    """H2: duration density per class, each class over its own range."""
+    return _round_hist(charts.histogram(processed(spark, sf_dir), "duration_min", 50, by="target"))
+
+
+CORR_COLUMNS = ["Severity", "Distance(mi)", "Temperature(F)", "Humidity(%)", "Pressure(in)",
+                "Visibility(mi)", "Wind_Speed(mph)", "Precipitation(in)", "hour", "month",
+                "duration_min", "weather_severity_score", "road_feature_count", "target"]
+
+
+def _corr_sql(a: str, b: str) -> str:
+    c = f"corr(CAST({q(a)} AS DOUBLE), CAST({q(b)} AS DOUBLE))"
+    return f"CASE WHEN isnan({c}) THEN NULL ELSE round({c}, 6) END"
+
+
+@register("corr_long", over_processed("\nUNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_corr_sql(a, b)} AS r FROM processed"
+    for i, a in enumerate(CORR_COLUMNS) for b in CORR_COLUMNS[i + 1:])))
+def corr_long(spark, sf_dir):
+    """Pearson matrix (upper triangle, long form)."""
+    out = pairwise_corr(processed(spark, sf_dir), CORR_COLUMNS)
+    return out.withColumn("r", F.round("r", 6))
+
+
+_TARGET_FEATURES = [c for c in CORR_COLUMNS if c not in ("target", "Severity")] + [
+    "Start_Lat", "Start_Lng", "is_weekend", "is_rush_hour", "is_night", "day_of_week", "State_enc",
+    "weather_category_enc"]
+
+
+@register("target_corr", over_processed(
+    "SELECT feature, r FROM (" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS feature, {_corr_sql(c, 'target')} AS r FROM processed" for c in _TARGET_FEATURES)
+    + ") ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 20"))
+def target_corr(spark, sf_dir):
+    """The 20 features most correlated with the target (by |r|)."""
+    df = processed(spark, sf_dir)
+    from quarry.functions.stats import to_long
+    long = to_long(df, _TARGET_FEATURES, by=["target"]).withColumnRenamed("column", "feature")
+    both = F.col("v").isNotNull() & F.col("target").isNotNull()
+    x, y = F.when(both, F.col("v")), F.when(both, F.col("target").cast("double"))
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+    out = long.groupBy("feature").agg(F.round(r, 6).alias("r"))
+    return out.orderBy(F.abs("r").desc_nulls_last(), "feature").limit(20)
+
+
+@register("map_points", over_processed(
+    "SELECT ID, Start_Lat, Start_Lng, Severity, City, State FROM processed "
+    "WHERE Start_Lat IS NOT NULL AND Start_Lng IS NOT NULL ORDER BY md5('42:' || ID), ID LIMIT 500"))
+def map_points(spark, sf_dir):
+    """H3: reproducible 500-point sample for a map."""
+    return charts.map_points(processed(spark, sf_dir), 500)
