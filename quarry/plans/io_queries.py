@@ -1 +1,85 @@
-"""Registered queries."""
+"""Source/sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.stats import qcol
+from quarry.plans.catalog import register
+from quarry.plans.oracle_base import over_processed, over_raw
+from quarry.plans.stages import processed_with_meta, raw
+from quarry.session import stage_path
+from quarry.sources import ingest, sinks
+
+_CSV_TYPES = {"ID": "string", "Severity": "int", "Start_Time": "string", "End_Time": "string",
+              "Start_Lat": "double", "Start_Lng": "double", "Distance(mi)": "double", "City": "string",
+              "Temperature(F)": "double", "Junction": "string", "Station": "string"}
+
+
+@register("csv_roundtrip", over_raw(
+    "SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(sum(Severity) AS BIGINT) AS severity_sum, "
+    "round(sum(Start_Lat), 6) AS lat_sum, round(sum(\"Temperature(F)\"), 6) AS temp_sum, "
+    "count(*) FILTER (WHERE Junction) AS n_junction, count(Station) AS n_station, "
+    "min(Start_Time) AS first_start, max(End_Time) AS last_end FROM raw"))
+def csv_roundtrip(spark, sf_dir):
+    """Raw incidents written as CSV and read back through the typed ingest."""
+    path = stage_path(spark, "csv", f"raw-{abs(hash(sf_dir))}")
+    cols = list(_CSV_TYPES)
+    ingest.write_csv(raw(spark, sf_dir).select(*[qcol(c) for c in cols]), path)
+    df = ingest.read_csv_typed(spark, path, _CSV_TYPES, timestamps=["Start_Time", "End_Time"],
+                               booleans=["Junction", "Station"])
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ID").alias("n_ids"),
+                  F.sum("Severity").cast("long").alias("severity_sum"),
+                  F.round(F.sum("Start_Lat"), 6).alias("lat_sum"),
+                  F.round(F.sum(qcol("Temperature(F)")), 6).alias("temp_sum"),
+                  F.count_if("Junction").alias("n_junction"), F.count("Station").alias("n_station"),
+                  F.min("Start_Time").cast("timestamp_ntz").alias("first_start"),
+                  F.max("End_Time").cast("timestamp_ntz").alias("last_end"))
+
+
+_NARROW = ["Severity", "hour", "day_of_week", "year", "road_feature_count", "State_enc",
+           "Distance(mi)", "Temperature(F)", "duration_min"]
+_INTS = {"Severity", "hour", "day_of_week", "year", "road_feature_count", "State_enc"}
+
+
+@register("narrow_types", over_processed("\nUNION ALL ".join(
+    f"SELECT '{c}' AS column, CASE WHEN min(\"{c}\") >= -128 AND max(\"{c}\") <= 127 THEN 'tinyint' "
+    f"WHEN min(\"{c}\") >= -32768 AND max(\"{c}\") <= 32767 THEN 'smallint' ELSE 'int' END AS narrowed_type "
+    f"FROM processed" if c in _INTS else
+    f"SELECT '{c}' AS column, 'float' AS narrowed_type FROM processed HAVING count(*) > 0" for c in _NARROW)))
+def narrow_types(spark, sf_dir):
+    """On-disk type narrowing plan."""
+    df, _, _ = processed_with_meta(spark, sf_dir)
+    return ingest.narrowed_types(df, _NARROW)
+
+
+@register("prediction_log")
+def prediction_log(spark, sf_dir):
+    """Prediction log rows (features JSON, class, probability, model, time)."""
+    from quarry.plans.model_queries import best_model
+    from quarry.operators import ml
+    name, model, feats, data = best_model(spark, sf_dir)
+    scored = ml.score(model, data.where(F.col("split") == "test"))
+    return sinks.prediction_log_rows(scored, feats, name)
+
+
+@register("stream_scoring")
+def stream_scoring(spark, sf_dir):
+    """Test-split requests scored by a Structured Streaming job (availableNow)."""
+    import uuid
+    from quarry.plans.model_queries import best_model
+    from quarry.streaming.scoring import scoring_stream
+    name, model, feats, data = best_model(spark, sf_dir)
+    req_cols = ["hour", "day_of_week", "month", "year", "duration_min", "road_feature_count",
+                "Distance(mi)", "Temperature(F)", "Humidity(%)", "Pressure(in)", "Visibility(mi)",
+                "Wind_Speed(mph)", "Precipitation(in)"]
+    run = uuid.uuid4().hex[:10]
+    src = stage_path(spark, "stream", run, "requests")
+    data.where(F.col("split") == "test").select(*[qcol(c) for c in req_cols]).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    sink, rej = stage_path(spark, "stream", run, "log"), stage_path(spark, "stream", run, "rejected")
+    q1, q2 = scoring_stream(spark, src, schema, model, feats, name, sink, rej,
+                            stage_path(spark, "stream", run, "checkpoints"))
+    q1.awaitTermination()
+    q2.awaitTermination()
+    return spark.read.schema(sinks.PREDICTION_LOG_SCHEMA).parquet(sink)

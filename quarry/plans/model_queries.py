@@ -1 +1,137 @@
-"""Registered queries."""
+"""Model queries (M1–M14, SM2): rows-only where libraries differ, SQL-checked
+where the result is arithmetic (split sizes, hash sample)."""
+
+from __future__ import annotations
+
+import threading
+
+from pyspark.sql import functions as F
+
+from quarry.operators import eda
+from quarry.operators import evaluation as ev
+from quarry.operators import ml
+from quarry.plans.catalog import register
+from quarry.plans.oracle_base import over_processed
+from quarry.plans.stages import processed_with_meta
+from quarry.session import stage_path
+
+_lock = threading.Lock()
+_trained: dict = {}
+
+_U = "CAST(('0x' || substr(md5('42:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+
+
+@register("split_sizes", over_processed(
+    f"SELECT CASE WHEN {_U} < 0.2 THEN 'test' WHEN {_U} < 0.2 + 0.1 THEN 'val' ELSE 'train' END AS split, "
+    "target, count(*) AS count FROM processed GROUP BY 1, 2"))
+def split_sizes(spark, sf_dir):
+    """M2: rows per split and class."""
+    df, _, _ = processed_with_meta(spark, sf_dir)
+    return ml.assign_split(df).groupBy("split", "target").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("hash_sample", over_processed(
+    "SELECT ID, Severity, State FROM processed ORDER BY md5('42:' || ID), ID LIMIT 1000"))
+def hash_sample(spark, sf_dir):
+    """SM2: reproducible 1,000-row sample by hashed key."""
+    df, _, _ = processed_with_meta(spark, sf_dir)
+    return eda.hash_sample(df.select("ID", "Severity", "State"), "ID", 1000)
+
+
+def trained(spark, sf_dir, profile: str = "light"):
+    """Fit all models once per session; models are saved to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, profile)
+    with _lock:
+        if key in _trained:
+            return _trained[key]
+        df, _, feats = processed_with_meta(spark, sf_dir)
+        data = ml.assign_split(ml.model_matrix(df, feats))
+        train = data.where(F.col("split") == "train")
+        val = data.where(F.col("split") == "val")
+        fitted = ml.train_models(train, feats, profile)
+        for name, (m, _) in fitted.items():
+            ml.save_model(m, stage_path(spark, "models", profile, name))
+        _trained[key] = (data, feats, fitted, train, val)
+        return _trained[key]
+
+
+@register("train_summary")
+def train_summary(spark, sf_dir):
+    """M8: validation AUC / weighted F1 / precision / recall, time, sizes per model."""
+    data, feats, fitted, train, val = trained(spark, sf_dir)
+    n_train, n_val = train.count(), val.count()
+    parts = []
+    for name, (model, secs) in fitted.items():
+        s = ml.score(model, val).select(F.lit(name).alias("model"), F.col("target").alias("label"),
+                                        F.col("probability_high").alias("score"))
+        parts.append(s)
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    m = ev.metrics_table(stacked)
+    times = spark.createDataFrame([(n, float(t)) for n, (_, t) in fitted.items()], "model string, train_time_sec double")
+    return m.join(times, "model").select(
+        F.col("model").alias("model_name"), F.col("test_auc").alias("val_auc"), F.col("test_f1").alias("val_f1"),
+        F.col("test_precision").alias("val_precision"), F.col("test_recall").alias("val_recall"),
+        F.round("train_time_sec", 2).alias("train_time_sec"),
+        F.lit(n_train).alias("n_train"), F.lit(n_val).alias("n_val"), F.lit(len(feats)).alias("n_features"))
+
+
+def best_model(spark, sf_dir):
+    """Best model by validation AUC."""
+    data, feats, fitted, train, val = trained(spark, sf_dir)
+    rows = train_summary(spark, sf_dir).orderBy(F.col("val_auc").desc(), "model_name").first()
+    return rows["model_name"], fitted[rows["model_name"]][0], feats, data
+
+
+@register("batch_predict")
+def batch_predict(spark, sf_dir):
+    """Score the held-out test split with the best model."""
+    name, model, feats, data = best_model(spark, sf_dir)
+    test = data.where(F.col("split") == "test")
+    s = ml.score(model, test)
+    return s.select("ID", "target", "prediction", F.col("probability_high").alias("probability"),
+                    "severity_label", "risk_band", F.lit(name).alias("model"))
+
+
+@register("test_metrics")
+def test_metrics(spark, sf_dir):
+    """E9 on model output: test-set metrics of every trained model."""
+    data, feats, fitted, train, val = trained(spark, sf_dir)
+    test = data.where(F.col("split") == "test")
+    parts = [ml.score(m, test).select(F.lit(n).alias("model"), F.col("target").alias("label"),
+                                      F.col("probability_high").alias("score")) for n, (m, _) in fitted.items()]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    return ev.metrics_table(stacked)
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    """Top-20 importances per model."""
+    data, feats, fitted, train, val = trained(spark, sf_dir)
+    rows = [(n, f, v) for n, (m, _) in fitted.items() for f, v in ml.feature_importance(m, feats)]
+    df = spark.createDataFrame(rows, "model string, feature string, importance double")
+    from pyspark.sql import Window
+    w = Window.partitionBy("model").orderBy(F.col("importance").desc(), "feature")
+    return df.withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+
+
+@register("learning_curve")
+def learning_curve(spark, sf_dir):
+    """Logistic regression AUC for 6 training fractions × 3 hash folds."""
+    data, feats, fitted, train, val = trained(spark, sf_dir)
+    d = train.withColumn("_u", ml.unit_hash(F.col("ID"), 7))
+    rows = []
+    for frac in (0.1, 0.28, 0.46, 0.64, 0.82, 1.0):
+        for fold in range(3):
+            lo, hi = fold / 3.0, (fold + 1) / 3.0
+            held = d.where((F.col("_u") >= lo) & (F.col("_u") < hi))
+            rest = d.where((F.col("_u") < lo) | (F.col("_u") >= hi))
+            sub = rest.where(ml.unit_hash(F.col("ID"), 11) < frac)
+            m = ml.train_models(sub, feats, "light", ["logistic_regression"])["logistic_regression"][0]
+            s = ml.score(m, held).select(F.col("target").alias("label"), F.col("probability_high").alias("score"))
+            rows.append((frac, fold, ev.roc_auc(s, by=()).first()["auc"]))
+    df = spark.createDataFrame(rows, "fraction double, fold int, auc double")
+    return df.groupBy("fraction").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
