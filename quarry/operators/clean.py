@@ -46,15 +46,15 @@ def dedup(df: DataFrame, key: str = "ID", order_by: str = "_order",
           keep_order: bool = False) -> DataFrame:
     """First row per key in ``order_by`` order.
 
-    Written as an aggregation (``min_by`` of the whole row) rather than a
-    ``row_number`` window, so duplicates collapse map-side: a key that holds
-    a third of the table costs one row per task in the shuffle.
+    The winner per key is a fixed-width ``min(order)`` hash aggregation,
+    combined map-side, so a key holding a third of the table costs one row
+    per task in that shuffle. Rows are then kept by a semi-join on the pair
+    (key, order), which is unique per row: the hot key's rows hash to many
+    partitions, so the join is not skewed either. (``order_by`` must be
+    unique per row, like a file position.)
     """
-    others = [c for c in df.columns if c != key]
-    row = F.struct(*[qcol(c) for c in others])
-    out = df.groupBy(key).agg(F.min_by(row, qcol(order_by)).alias("_row"))
-    out = out.select(key, *[F.col("_row").getField(c).alias(c) for c in others])
-    out = out.select(*[qcol(c) for c in df.columns])
+    first = df.groupBy(key).agg(F.min(qcol(order_by)).alias(order_by))
+    out = df.join(first, [key, order_by], "left_semi")
     return out if keep_order else out.drop(order_by)
 
 
