@@ -121,8 +121,11 @@ def feature_importance(spark, sf_dir):
 @register("learning_curve")
 def learning_curve(spark, sf_dir):
     """Logistic regression AUC for 6 training fractions × 3 hash folds."""
+    from quarry.sources.sinks import materialize
     data, feats, fitted, train, val = trained(spark, sf_dir)
-    d = train.withColumn("_u", ml.unit_hash(F.col("ID"), 7))
+    # Written once: every fit and evaluation below starts from a short plan.
+    d = materialize(train.select("ID", "target", *[F.col(f"`{c}`") for c in feats])
+                    .withColumn("_u", ml.unit_hash(F.col("ID"), 7)), "lc-train")
     rows = []
     for frac in (0.1, 0.28, 0.46, 0.64, 0.82, 1.0):
         for fold in range(3):
@@ -131,7 +134,8 @@ def learning_curve(spark, sf_dir):
             rest = d.where((F.col("_u") < lo) | (F.col("_u") >= hi))
             sub = rest.where(ml.unit_hash(F.col("ID"), 11) < frac)
             m = ml.train_models(sub, feats, "light", ["logistic_regression"])["logistic_regression"][0]
-            s = ml.score(m, held).select(F.col("target").alias("label"), F.col("probability_high").alias("score"))
+            s = materialize(ml.score(m, held).select(F.col("target").alias("label"),
+                                                     F.col("probability_high").alias("score")), "lc-scores")
             rows.append((frac, fold, ev.roc_auc(s, by=()).first()["auc"]))
     df = spark.createDataFrame(rows, "fraction double, fold int, auc double")
     return df.groupBy("fraction").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))

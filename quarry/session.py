@@ -18,6 +18,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Bound the driver-side job/stage/plan history kept for status reporting:
+    # iterative fits run thousands of small jobs.
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "10000",
+    "spark.sql.ui.retainedExecutions": "50",
 }
 
 

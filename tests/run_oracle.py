@@ -15,7 +15,7 @@ from quarry.session import get_session  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:]
-spark = get_session(master="local[8]", shuffle_partitions=8)
+spark = get_session(master="local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
 spark.sparkContext.setLogLevel("ERROR")
 qs, os_ = E.queries(), E.oracle_sql()
 con = duck_connect(sf)
