@@ -133,22 +133,25 @@ def running_totals(df: DataFrame, keys: list[str], order_col: str, sum_cols: lis
 
 
 def pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long Pearson matrix ``(col_a, col_b, r)`` for a ≠ b pairs a < b by position,
-    on rows where both are present; one aggregation job."""
-    aggs = []
+    """Long Pearson matrix ``(col_a, col_b, r)`` for pairs a < b by position,
+    on rows where both are present.
+
+    Each row emits one (pair, x, y) record per column pair (a Generate in the
+    scan stage), and a three-aggregate ``groupBy(pair)`` combines them map-side:
+    the shuffle carries one row per pair per task, and the generated code stays
+    small however many columns there are."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     d = df.select(*[qcol(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
     idx = {c: i for i, c in enumerate(columns)}
-    for k, (a, b) in enumerate(pairs):
-        x, y = F.col(f"_c{idx[a]}"), F.col(f"_c{idx[b]}")
-        both = x.isNotNull() & y.isNotNull()
-        xx, yy = F.when(both, x), F.when(both, y)
-        r = F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx)) * F.sqrt(F.var_pop(yy)))
-        aggs.append(r.alias(f"_r{k}"))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    wide = d.agg(*aggs)
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{k}").alias("r"))
+    recs = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("p"), F.col(f"_c{idx[a]}").alias("x"), F.col(f"_c{idx[b]}").alias("y"))
         for k, (a, b) in enumerate(pairs)]))
-    return wide.select(stacked.alias("s")).select("s.col_a", "s.col_b", "s.r")
+    long = d.select(recs.alias("s")).select("s.p", "s.x", "s.y")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    xx, yy = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    r = F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx)) * F.sqrt(F.var_pop(yy)))
+    agg = long.groupBy("p").agg(r.alias("r"))
+    names = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in pairs])
+    return agg.select(F.element_at(names, F.col("p") + 1).alias("n"), "r").select("n.col_a", "n.col_b", "r")
