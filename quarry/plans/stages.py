@@ -18,7 +18,7 @@ from quarry.operators.features import build_features
 from quarry.session import stage_path
 from quarry.sources.incidents import incidents
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 _cache: dict[tuple, tuple] = {}
 
 
@@ -27,7 +27,14 @@ def _key(spark: SparkSession, sf_dir: str, stage: str) -> tuple:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents(spark, sf_dir)
+    """Interim stage: the derived incident table, written once per session."""
+    k = _key(spark, sf_dir, "raw")
+    with _lock:
+        if k not in _cache:
+            path = stage_path(spark, f"raw-{_tag(sf_dir)}")
+            incidents(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _cache[k] = (path,)
+    return spark.read.parquet(_cache[k][0])
 
 
 def _tag(sf_dir: str) -> str:
