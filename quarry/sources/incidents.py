@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.sources.tables import load_table
+from quarry.sources.tables import load_table, spread
 
 # Columns of the raw incident table, in order (the reference's raw schema
 # plus ``_order``, the position of the source row, used to pick duplicates).
@@ -115,7 +115,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw incident table (lazy)."""
     return spark.sql(
         incidents_sql("spark"),
-        events=load_table(spark, sf_dir, "events"),
+        events=spread(load_table(spark, sf_dir, "events"), "event_id"),
         customer=load_table(spark, sf_dir, "customer"),
         nation=load_table(spark, sf_dir, "nation"),
     )
