@@ -9,13 +9,19 @@ from quarry.functions.stats import qcol
 
 
 def histogram(df: DataFrame, col: str, bins: int = 40, lo: float | None = None,
-              hi: float | None = None, by: str | None = None) -> DataFrame:
+              hi: float | None = None, by: str | None = None,
+              clip: tuple[float, float] | None = None) -> DataFrame:
     """H1/H2: equal-width bins over [lo, hi] (each group's own min..max when
-    not given), last bin closed; every bin present (zero-filled).
+    not given), last bin closed; every bin present (zero-filled). ``clip``
+    first clips values into a display range (C8), as the reference does for
+    visibility (0–15) and wind speed (0–60).
 
     Output: (by?, bin, bin_lo, bin_hi, count, density)."""
     keys = [by] if by else []
-    d = df.select(*[qcol(k) for k in keys], qcol(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    v = qcol(col).cast("double")
+    if clip is not None:
+        v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(float(clip[0]))), F.lit(float(clip[1]))))
+    d = df.select(*[qcol(k) for k in keys], v.alias("_v")).where(F.col("_v").isNotNull())
     if lo is None or hi is None:
         rng = d.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     else:
@@ -63,19 +69,32 @@ def map_points(df: DataFrame, n: int, key: str = "ID", seed: int = 42,
 
 
 def key_findings(df: DataFrame) -> DataFrame:
-    """H6: (finding, value) rows: dominant severity share, two peak hours,
-    busiest weekday, daylight share."""
+    """H6: (finding, value) rows: dominant severity and its share, target
+    rate, the two peak hours, busiest weekday, daylight share. Small
+    aggregates (per severity / hour / weekday) feed one final row."""
     from quarry.operators.eda import DAY_NAMES
-    n = df.count()
-    sev = df.groupBy("Severity").count().orderBy(F.col("count").desc(), "Severity").first()
-    hours = [r["hour"] for r in df.groupBy("hour").count().orderBy(F.col("count").desc(), "hour").limit(2).collect()]
-    dow = df.groupBy("day_of_week").count().orderBy(F.col("count").desc(), "day_of_week").first()
-    day = df.agg(F.avg((F.col("Sunrise_Sunset") == "Day").cast("double"))).first()[0]
-    rows = [
-        ("dominant_severity", f"{sev['Severity']}"),
-        ("dominant_severity_share_pct", f"{100.0 * sev['count'] / n:.2f}"),
-        ("peak_hours", " and ".join(str(h) for h in hours)),
-        ("busiest_weekday", DAY_NAMES[dow["day_of_week"]]),
-        ("daylight_share_pct", f"{100.0 * (day or 0.0):.2f}"),
+    pct = lambda c: F.format_string("%.2f", c)
+    n = df.agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("rate"),
+               F.avg((F.col("Sunrise_Sunset") == "Day").cast("double")).alias("day"))
+    sev = df.groupBy("Severity").agg(F.count(F.lit(1)).alias("c")).agg(
+        F.min_by("Severity", F.struct((-F.col("c")).alias("k"), F.col("Severity").alias("s"))).alias("sev"),
+        F.max("c").alias("sev_n"))
+    hours = df.groupBy("hour").agg(F.count(F.lit(1)).alias("c")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), F.col("hour").alias("h")))).alias("hs"))
+    dow = df.groupBy("day_of_week").agg(F.count(F.lit(1)).alias("c")).agg(
+        F.min_by("day_of_week", F.struct((-F.col("c")).alias("k"), F.col("day_of_week").alias("d"))).alias("dow"))
+    names = F.array(*[F.lit(d) for d in DAY_NAMES])
+    out = (n.withColumn("_k", F.lit(1))
+           .join(sev.withColumn("_k", F.lit(1)), "_k")
+           .join(hours.withColumn("_k", F.lit(1)), "_k")
+           .join(dow.withColumn("_k", F.lit(1)), "_k"))
+    items = [
+        ("dominant_severity", F.col("sev").cast("string")),
+        ("dominant_severity_share_pct", pct(F.col("sev_n") / F.col("n") * 100)),
+        ("target_rate_pct", pct(F.col("rate") * 100)),
+        ("peak_hours", F.concat_ws(" and ", F.col("hs")[0]["h"].cast("string"), F.col("hs")[1]["h"].cast("string"))),
+        ("busiest_weekday", F.element_at(names, F.col("dow") + 1)),
+        ("daylight_share_pct", pct(F.col("day") * 100)),
     ]
-    return df.sparkSession.createDataFrame(rows, "finding string, value string")
+    rows = F.array(*[F.struct(F.lit(k).alias("finding"), v.alias("value")) for k, v in items])
+    return out.select(F.explode(rows).alias("r")).select("r.finding", "r.value")

@@ -229,6 +229,11 @@ def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5) -> DataF
         F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("count"))
 
 
+def filter_flag(df: DataFrame, flag: str) -> DataFrame:
+    """P10: rows where a boolean flag is true (NULL counts as false)."""
+    return df.where(F.coalesce(qcol(flag), F.lit(False)))
+
+
 # ------------------------------------------------------------------ SM2
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """SM2: the n rows with the smallest md5(seed ‖ key): reproducible,

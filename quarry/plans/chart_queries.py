@@ -11,11 +11,14 @@ from quarry.plans.oracle_base import over_processed, q
 from quarry.plans.stages import processed
 
 
-def _hist_sql(col: str, bins: int, by: str | None) -> str:
+def _hist_sql(col: str, bins: int, by: str | None, clip: tuple | None = None) -> str:
     g = f"{by} AS g, " if by else "0 AS g, "
     ret_g = f"s.g AS {by}, " if by else ""
+    v = f"CAST({q(col)} AS DOUBLE)"
+    if clip is not None:
+        v = f"least(greatest({v}, {float(clip[0])}), {float(clip[1])})"
     return f"""
-WITH hv AS (SELECT {g}CAST({q(col)} AS DOUBLE) AS v FROM processed WHERE {q(col)} IS NOT NULL),
+WITH hv AS (SELECT {g}{v} AS v FROM processed WHERE {q(col)} IS NOT NULL),
 hr AS (SELECT g, min(v) AS lo, max(v) AS hi, count(*) AS n FROM hv GROUP BY g),
 hc AS (SELECT hv.g, CASE WHEN hr.hi - hr.lo = 0 THEN 0
          ELSE least(CAST(floor((hv.v - hr.lo) / (hr.hi - hr.lo) * {bins}) AS INTEGER), {bins - 1}) END AS bin,
@@ -33,10 +36,42 @@ def _round_hist(df):
                        for c in df.columns])
 
 
-@register("histogram", over_processed(_hist_sql("Temperature(F)", 40, None)))
+@register("histogram", over_processed(_hist_sql("Temperature(F)", 50, None)))
 def histogram(spark, sf_dir):
-    """H1: 40 equal-width temperature bins, zero-filled."""
-    return _round_hist(charts.histogram(processed(spark, sf_dir), "Temperature(F)", 40))
+    """H1: 50 equal-width temperature bins, zero-filled."""
+    return _round_hist(charts.histogram(processed(spark, sf_dir), "Temperature(F)", 50))
+
+
+@register("visibility_histogram", over_processed(_hist_sql("Visibility(mi)", 40, None, (0, 15))))
+def visibility_histogram(spark, sf_dir):
+    """H1 + C8: visibility clipped to 0–15 mi, 40 bins."""
+    return _round_hist(charts.histogram(processed(spark, sf_dir), "Visibility(mi)", 40, clip=(0, 15)))
+
+
+@register("wind_histogram", over_processed(_hist_sql("Wind_Speed(mph)", 40, None, (0, 60))))
+def wind_histogram(spark, sf_dir):
+    """H1 + C8: wind speed clipped to 0–60 mph, 40 bins."""
+    return _round_hist(charts.histogram(processed(spark, sf_dir), "Wind_Speed(mph)", 40, clip=(0, 60)))
+
+
+_DAYS = "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
+
+
+@register("key_findings", over_processed(f"""
+WITH n AS (SELECT count(*) AS n, avg(target) AS rate,
+             avg(CAST(Sunrise_Sunset = 'Day' AS DOUBLE)) AS day FROM processed),
+sv AS (SELECT Severity, count(*) AS c FROM processed GROUP BY Severity ORDER BY c DESC, Severity LIMIT 1),
+hr AS (SELECT hour, count(*) AS c FROM processed GROUP BY hour ORDER BY c DESC, hour LIMIT 2),
+dw AS (SELECT day_of_week, count(*) AS c FROM processed GROUP BY day_of_week ORDER BY c DESC, day_of_week LIMIT 1)
+SELECT 'dominant_severity' AS finding, CAST(Severity AS VARCHAR) AS value FROM sv
+UNION ALL SELECT 'dominant_severity_share_pct', printf('%.2f', sv.c / n.n * 100) FROM sv, n
+UNION ALL SELECT 'target_rate_pct', printf('%.2f', rate * 100) FROM n
+UNION ALL SELECT 'peak_hours', string_agg(CAST(hour AS VARCHAR), ' and ' ORDER BY c DESC, hour) FROM hr
+UNION ALL SELECT 'busiest_weekday', {_DAYS}[day_of_week + 1] FROM dw
+UNION ALL SELECT 'daylight_share_pct', printf('%.2f', day * 100) FROM n"""))
+def key_findings(spark, sf_dir):
+    """H6: headline findings of the report."""
+    return charts.key_findings(processed(spark, sf_dir))
 
 
 @register("density_by_class", over_processed(_hist_sql("duration_min", 50, "target")))

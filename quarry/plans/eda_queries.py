@@ -239,3 +239,29 @@ def box_stats(spark, sf_dir):
     out = eda.box_stats(_p(spark, sf_dir), "Temperature(F)", "weather_category")
     return out.select("weather_category", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")],
                       "whisker_low", "whisker_high", "n_outliers", "count")
+
+
+@register("top_weather", over_processed(
+    "SELECT Weather_Condition, count(*) AS count FROM processed WHERE Weather_Condition IS NOT NULL "
+    "GROUP BY Weather_Condition ORDER BY count(*) DESC, Weather_Condition LIMIT 10"))
+def top_weather(spark, sf_dir):
+    """T1 (k = 10) on the weather text."""
+    return eda.top_k(_p(spark, sf_dir), "Weather_Condition", 10)
+
+
+@register("top_city_states", over_processed(
+    "SELECT State, sum(count) AS total FROM (SELECT City, State, count(*) AS count FROM processed "
+    "WHERE City IS NOT NULL AND State IS NOT NULL GROUP BY City, State "
+    "ORDER BY count(*) DESC, City, State LIMIT 20) GROUP BY State"))
+def top_city_states(spark, sf_dir):
+    """State totals over the 20 busiest cities."""
+    top = eda.counts_by(_p(spark, sf_dir), ["City", "State"]).orderBy(
+        F.col("count").desc(), "City", "State").limit(20)
+    return eda.rollup_sum(top, "State")
+
+
+@register("junction_severity", over_processed(
+    "SELECT Severity, count(*) AS count FROM processed WHERE Junction GROUP BY Severity"))
+def junction_severity(spark, sf_dir):
+    """P10: incidents at junctions, by severity."""
+    return eda.counts_by(eda.filter_flag(_p(spark, sf_dir, ["Junction", "Severity"]), "Junction"), ["Severity"])
