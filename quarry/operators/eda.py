@@ -9,7 +9,7 @@ groups).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import exact_quantiles, qcol
@@ -27,10 +27,13 @@ def _nn(df: DataFrame, keys) -> DataFrame:
 
 # ------------------------------------------------------------------ A1 / T1
 def value_counts(df: DataFrame, col: str, normalize: bool = False, name: str = "count") -> DataFrame:
-    """A1: (value, count[, share]); share is computed on the aggregated rows."""
+    """A1: (value, count[, share]). The share divides by a one-row total
+    joined on a constant key (no un-partitioned window over the values)."""
     out = _nn(df, [col]).groupBy(qcol(col).alias(col)).agg(F.count(F.lit(1)).alias(name))
     if normalize:
-        out = out.withColumn("share", F.col(name) / F.sum(name).over(Window.partitionBy()))
+        total = out.agg(F.sum(name).alias("_total")).withColumn("_k", F.lit(1))
+        out = out.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k") \
+            .select(qcol(col), name, (F.col(name) / F.col("_total")).alias("share"))
     return out
 
 

@@ -139,3 +139,24 @@ def learning_curve(spark, sf_dir):
             rows.append((frac, fold, ev.roc_auc(s, by=()).first()["auc"]))
     df = spark.createDataFrame(rows, "fraction double, fold int, auc double")
     return df.groupBy("fraction").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
+
+
+@register("test_split", over_processed(
+    f"SELECT ID, target FROM processed WHERE {_U} < 0.2"))
+def test_split(spark, sf_dir):
+    """M3: the held-out test split, written under the shared folder and read back."""
+    from quarry.sources.sinks import write_parquet
+    df, _, _ = processed_with_meta(spark, sf_dir)
+    path = stage_path(spark, "splits", f"test-{abs(hash(sf_dir))}")
+    write_parquet(ml.assign_split(df).where(F.col("split") == "test").select("ID", "target"), path)
+    return spark.read.parquet(path)
+
+
+@register("model_comparison")
+def model_comparison(spark, sf_dir):
+    """J2 + T5: test metrics left-joined with the training summary (broadcast:
+    one row per model), ranked by test AUC then AP."""
+    tm = test_metrics(spark, sf_dir)
+    ts = train_summary(spark, sf_dir)
+    out = tm.join(F.broadcast(ts), tm["model"] == ts["model_name"], "left").drop("model_name")
+    return out.orderBy(F.col("test_auc").desc(), F.col("test_ap").desc(), "model")
