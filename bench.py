@@ -21,7 +21,8 @@ HEADLINE = [
     "weather_severity_grid", "day_hour_pivot", "flag_stats", "report_facts", "describe", "box_stats",
     "corr_long", "histogram", "missing_fraction", "removed_rows", "dedup", "request_violations",
     "roc_auc", "roc_curve", "average_precision", "metrics_table", "threshold_sweep", "calibration",
-    "split_sizes", "feature_table",
+    "split_sizes", "feature_table", "severity_counts", "key_findings", "visibility_histogram",
+    "top_weather", "top_city_states",
 ]
 
 

@@ -8,7 +8,9 @@ SF = "/root/testdata/sf0.001"
 FAST = ["severity_by_hour", "stats", "top_cities", "weather_severity_grid", "day_hour_pivot", "report_facts",
         "box_stats", "missing_fraction", "removed_rows", "request_violations", "impute", "clean_table",
         "title_case", "label_encode", "feature_table", "histogram", "roc_auc", "roc_curve", "class_report",
-        "calibration", "threshold_sweep", "metrics_table", "split_sizes", "csv_roundtrip"]
+        "calibration", "threshold_sweep", "metrics_table", "split_sizes", "csv_roundtrip",
+        "severity_counts", "key_findings", "visibility_histogram", "top_city_states", "corr_long",
+        "test_split"]
 
 
 @pytest.fixture(scope="module")
