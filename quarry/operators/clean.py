@@ -117,8 +117,8 @@ def align_features(df: DataFrame, expected: list[str], keep: list[str] = ()) ->
 
 
 def filter_flag(df: DataFrame, flag: str) -> DataFrame:
-    """P10: rows where a boolean flag is true."""
-    return df.where(F.coalesce(F.col(flag), F.lit(False)))
+    """P10: rows where a boolean flag is true (NULL excluded; pushable filter)."""
+    return df.where(qcol(flag) == F.lit(True))
 
 
 # ---------------------------------------------------------------- C5 / C2 / C3 / C4

@@ -233,8 +233,9 @@ def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5) -> DataF
 
 
 def filter_flag(df: DataFrame, flag: str) -> DataFrame:
-    """P10: rows where a boolean flag is true (NULL counts as false)."""
-    return df.where(F.coalesce(qcol(flag), F.lit(False)))
+    """P10: rows where a boolean flag is true. ``flag = true`` drops NULL like
+    a false flag, and unlike ``coalesce`` it is pushed into the parquet scan."""
+    return df.where(qcol(flag) == F.lit(True))
 
 
 # ------------------------------------------------------------------ SM2
