@@ -55,22 +55,47 @@ def roc_auc(df: DataFrame, by=("model",), **kw) -> DataFrame:
 
 def roc_curve(df: DataFrame, by=("model",), drop_intermediate: bool = False, **kw) -> DataFrame:
     """(by…, threshold, fpr, tpr), one point per distinct score plus the
-    (0, 0) origin at threshold +inf; optionally drop collinear points."""
+    (0, 0) origin at threshold +inf.
+
+    ``drop_intermediate`` removes a point whose step from its predecessor in
+    both fp and tp equals the step to its successor (second differences both
+    zero; the first and last score points are kept). Neighbours come from
+    lag/lead inside a score bucket and, at bucket edges, from a per-bucket
+    table of end points (models × buckets rows), so no window spans a whole
+    model."""
     k = _keys(by)
     c = cumulative(df, k, **kw)
+    if drop_intermediate:
+        c = _drop_collinear(c, k)
     pts = c.select(*k, F.col("score").alias("threshold"),
                    F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
                    F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"))
     origin = c.groupBy(*k).agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                                F.lit(0.0).alias("tpr"))
-    pts = pts.unionByName(origin)
-    if drop_intermediate:
-        w = Window.partitionBy(*k).orderBy(F.col("threshold").desc())
-        pf, nf = F.lag("fpr").over(w), F.lead("fpr").over(w)
-        pt, nt = F.lag("tpr").over(w), F.lead("tpr").over(w)
-        collinear = ((F.col("fpr") - pf) * (nt - F.col("tpr")) == (F.col("tpr") - pt) * (nf - F.col("fpr")))
-        pts = pts.where(~F.coalesce(collinear, F.lit(False)))
-    return pts
+    return pts.unionByName(origin)
+
+
+def _drop_collinear(c: DataFrame, k: list[str]) -> DataFrame:
+    b = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS)).cast("int")
+    d = c.withColumn("_b", b)
+    pt = F.struct(F.col("score").alias("s"), F.col("fp").alias("fp"), F.col("tp").alias("tp"))
+    ends = d.groupBy(*k, "_b").agg(F.max_by(pt, F.col("score")).alias("_first"),
+                                   F.min_by(pt, F.col("score")).alias("_last"))
+    wb = Window.partitionBy(*k).orderBy(F.col("_b").desc())
+    ends = ends.select(*k, "_b", F.lag("_last").over(wb).alias("_prev_end"),
+                       F.lead("_first").over(wb).alias("_next_start"))
+    w = Window.partitionBy(*k, "_b").orderBy(F.col("score").desc())
+    j = d.join(ends, k + ["_b"])
+    prev_fp = F.coalesce(F.lag("fp").over(w), F.col("_prev_end.fp"))
+    prev_tp = F.coalesce(F.lag("tp").over(w), F.col("_prev_end.tp"))
+    next_fp = F.coalesce(F.lead("fp").over(w), F.col("_next_start.fp"))
+    next_tp = F.coalesce(F.lead("tp").over(w), F.col("_next_start.tp"))
+    j = j.withColumn("_pf", prev_fp).withColumn("_pt", prev_tp) \
+         .withColumn("_nf", next_fp).withColumn("_nt", next_tp)
+    inner = F.col("_pf").isNotNull() & F.col("_nf").isNotNull()
+    flat = ((F.col("_nf") - 2 * F.col("fp") + F.col("_pf")) == 0) & \
+           ((F.col("_nt") - 2 * F.col("tp") + F.col("_pt")) == 0)
+    return j.where(~(inner & flat)).drop("_b", "_prev_end", "_next_start", "_pf", "_pt", "_nf", "_nt")
 
 
 def pr_curve(df: DataFrame, by=("model",), **kw) -> DataFrame:

@@ -62,6 +62,18 @@ def roc_curve(spark, sf_dir):
     return _r(ev.roc_curve(scores(spark, sf_dir)), ["fpr", "tpr"])
 
 
+@register("roc_curve_compact", COUNTS + """, nb AS (SELECT *, lag(fp) OVER o AS pf, lag(tp) OVER o AS pt,
+  lead(fp) OVER o AS nf, lead(tp) OVER o AS nt FROM cum
+  WINDOW o AS (PARTITION BY model ORDER BY score DESC))
+SELECT model, score AS threshold, round(fp / N, 6) AS fpr, round(tp / P, 6) AS tpr FROM nb
+WHERE pf IS NULL OR nf IS NULL OR nf - 2 * fp + pf <> 0 OR nt - 2 * tp + pt <> 0
+UNION ALL SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM scored""".replace(
+    "\n, nb AS", ",\nnb AS"))
+def roc_curve_compact(spark, sf_dir):
+    """E2 with intermediate (equal-step) points dropped."""
+    return _r(ev.roc_curve(scores(spark, sf_dir), drop_intermediate=True), ["fpr", "tpr"])
+
+
 @register("pr_curve", COUNTS + """SELECT model, score AS threshold, round(tp / (tp + fp), 6) AS precision,
   round(tp / P, 6) AS recall FROM cum""")
 def pr_curve(spark, sf_dir):

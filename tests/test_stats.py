@@ -68,3 +68,21 @@ def test_running_totals_match_cumsum(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in vals], "k int, x double")
     out = running_totals(df, [], "k", ["x"], (F.col("k") / 13).cast("int")).orderBy("k").collect()
     assert [r["cum_x"] for r in out] == list(np.cumsum([float(i % 7) for i in vals]))
+
+
+def test_roc_drop_intermediate_across_buckets(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 1500)
+    s = np.round(rng.random(1500), 3)                      # ~1000 distinct scores over all buckets
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
+    got = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in
+                 ev.roc_curve(df, by=(), drop_intermediate=True).collect())
+    thr = np.unique(s)[::-1]
+    tps = np.array([((s >= t) & (y == 1)).sum() for t in thr])
+    fps = np.array([((s >= t) & (y == 0)).sum() for t in thr])
+    keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True]
+    P, N = (y == 1).sum(), (y == 0).sum()
+    exp = sorted([(float(t), f / N, p / P) for t, f, p, k in zip(thr, fps, tps, keep) if k] + [(np.inf, 0.0, 0.0)])
+    assert len(got) == len(exp)
+    for a, b in zip(got, exp):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
