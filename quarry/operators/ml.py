@@ -156,3 +156,20 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def tune(train: DataFrame, features: list[str], folds: int = 3,
+         reg_params=(0.001, 0.01, 0.1, 1.0), parallelism: int = 2):
+    """K-fold grid search of the logistic-regression profile by exact
+    ROC AUC (``numBins=0``); returns the fitted ``CrossValidatorModel``."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    d = with_class_weights(train)
+    pipe = build_pipeline("logistic_regression", features, PROFILES["light"]["logistic_regression"])
+    lr = pipe.getStages()[-1]
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    ev = BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="rawPrediction",
+                                       metricName="areaUnderROC", numBins=0)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
+                        seed=SEED, parallelism=parallelism)
+    return cv.fit(d)

@@ -83,3 +83,32 @@ def stream_scoring(spark, sf_dir):
     q1.awaitTermination()
     q2.awaitTermination()
     return spark.read.schema(sinks.PREDICTION_LOG_SCHEMA).parquet(sink)
+
+
+def _meta_oracle() -> str:
+    from quarry.plans.feature_queries import FEATURES
+    from quarry.plans.oracle_base import ENCODED
+    feats = "\nUNION ALL ".join(f"SELECT 'feature' AS kind, '' AS column, '{f}' AS name, {i} AS position"
+                                for i, f in enumerate(FEATURES))
+    classes = "\nUNION ALL ".join(
+        f"SELECT DISTINCT 'class', '{c}', coalesce(\"{c}\", 'nan'), "
+        f"CAST(dense_rank() OVER (ORDER BY coalesce(\"{c}\", 'nan')) - 1 AS INTEGER) FROM processed"
+        for c in ENCODED)
+    return over_processed(feats + "\nUNION ALL " + classes)
+
+
+@register("feature_metadata", _meta_oracle())
+def feature_metadata(spark, sf_dir):
+    """Feature list and encoder classes written as JSON and read back."""
+    from quarry.operators.features import encoder_classes
+    df, enc, feats = processed_with_meta(spark, sf_dir)
+    path = stage_path(spark, "metadata", f"features-{abs(hash(sf_dir))}")
+    sinks.write_metadata(spark, path, {"features": feats, "label_encoders": encoder_classes(enc),
+                                       "target": "target"})
+    schema = "features array<string>, label_encoders map<string, array<string>>, target string"
+    meta = spark.read.text(path).select(F.from_json("value", schema).alias("m"))
+    f = meta.select(F.posexplode("m.features").alias("position", "name")).select(
+        F.lit("feature").alias("kind"), F.lit("").alias("column"), "name", "position")
+    c = meta.select(F.explode("m.label_encoders").alias("column", "classes")).select(
+        F.lit("class").alias("kind"), "column", F.posexplode("classes").alias("position", "name"))
+    return f.unionByName(c.select("kind", "column", "name", "position"))

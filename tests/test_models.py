@@ -39,3 +39,9 @@ def test_split_is_deterministic(spark):
     a = {r["ID"]: r["split"] for r in ml.assign_split(df).collect()}
     b = {r["ID"]: r["split"] for r in ml.assign_split(df.repartition(9)).collect()}
     assert a == b and set(a.values()) == {"train", "val", "test"}
+
+
+def test_grid_search(spark):
+    df, feats = _fixture(spark)
+    cvm = ml.tune(df, feats, folds=2, reg_params=(0.01, 1.0))
+    assert len(cvm.avgMetrics) == 2 and max(cvm.avgMetrics) > 0.6
