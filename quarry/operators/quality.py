@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.stats import exact_quantiles, qcol, to_long
 from quarry.operators.clean import coordinates_ok, numeric_columns, severity_ok
@@ -147,5 +146,3 @@ def rule_audit(df: DataFrame) -> DataFrame:
     sev = F.coalesce(severity_ok(), F.lit(False))
     return df.agg(F.count_if(~coord).alias("bad_coordinates"), F.count_if(coord & ~sev).alias("bad_severity"))
 
-
-_ = T  # types re-exported for callers building request frames

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import pairwise_corr, qcol
+from quarry.functions.stats import pairwise_corr
 from quarry.operators import charts
 from quarry.plans.catalog import register
 from quarry.plans.oracle_base import over_processed, q

@@ -8,7 +8,7 @@ from quarry.functions.stats import column_modes_df, exact_quantiles, qcol
 from quarry.functions.text import standardise
 from quarry.operators import clean as C
 from quarry.plans.catalog import register
-from quarry.plans.oracle_base import CAP, CLEANED_CTE, over_cleaned, over_raw, q
+from quarry.plans.oracle_base import CAP, over_cleaned, over_raw, q
 from quarry.plans.stages import cleaned, raw
 
 
