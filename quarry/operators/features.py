@@ -60,11 +60,13 @@ def fit_encoders(df: DataFrame, columns: list[str] = ENCODED) -> StringIndexerMo
     if not cols:
         return None
     prepared = df.select(*[F.coalesce(qcol(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
+    # Class lists are collected by the fit: check their size first (HyperLogLog, bounded memory).
+    approx = prepared.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    too_many = {c: approx[c] for c in cols if approx[c] > MAX_LEVELS}
+    if too_many:
+        raise ValueError(f"too many classes to encode {too_many} (MAX_LEVELS={MAX_LEVELS})")
     model = StringIndexer(inputCols=cols, outputCols=[c + "_enc" for c in cols],
                           stringOrderType="alphabetAsc", handleInvalid="keep").fit(prepared)
-    for c, labels in zip(cols, model.labelsArray):
-        if len(labels) > MAX_LEVELS:
-            raise ValueError(f"{c}: {len(labels)} classes exceed MAX_LEVELS={MAX_LEVELS}")
     return model
 
 
