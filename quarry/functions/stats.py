@@ -37,20 +37,29 @@ def to_long(df: DataFrame, columns: list[str], by: list[str] | tuple = (),
     return long.select(*by, F.element_at(names, F.col("_var")).alias("column"), value)
 
 
+PER_OCTAVE = 64
+_LOG2_FLOOR = 1075          # log2 of the smallest positive double is -1074
+
+
+def value_bucket(v: Column, per_octave: int = PER_OCTAVE) -> Column:
+    """Monotone integer bucket of a double, a pure function of the value:
+    ``sign(v) · (floor(log2|v| · per_octave) + offset)``, 0 for 0. Java's log
+    is semi-monotonic, so larger values never land in smaller buckets; the
+    bucket count per octave bounds how many distinct values share a window."""
+    top = F.lit(2 ** 62)
+    mag = F.when(F.abs(v) == float("inf"), top).otherwise(
+        F.floor(F.log2(F.abs(v)) * per_octave) + (_LOG2_FLOOR * per_octave + 1))
+    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    by: list[str] | tuple = (), buckets: int = 128,
-                    accuracy: int = 10000) -> DataFrame:
+                    by: list[str] | tuple = (), per_octave: int = PER_OCTAVE) -> DataFrame:
     """Exact quantiles → ``(by…, column, prob, value)``; NULLs are skipped."""
     by = list(by)
     keys = by + ["column"]
-    long = to_long(df, columns, by).where(F.col("v").isNotNull())
+    long = to_long(df, columns, by).where(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-
-    edges = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx("v", edges, accuracy).alias("_edges"))
-    ranked = (counts.join(bounds, keys)
-              .withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("v"))))
-              .drop("_edges"))
+    ranked = counts.withColumn("_b", value_bucket(F.col("v"), per_octave))
 
     totals = ranked.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,12 +10,13 @@ from quarry.operators import evaluation as ev
 
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
-    vals = np.round(rng.normal(10, 5, 3000), 1)           # many ties
+    vals = np.round(rng.normal(10, 5, 3000), 1)           # many ties, both signs, zeros
+    vals[:50] = 0.0
     groups = rng.integers(0, 3, 3000)
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, x double") \
         .repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["x"], probs, by=["g"], buckets=8).collect()}
+    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["x"], probs, by=["g"], per_octave=2).collect()}
     for g in range(3):
         for p in probs:
             assert got[(g, p)] == pytest.approx(np.quantile(vals[groups == g], p), abs=1e-9)
