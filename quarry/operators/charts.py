@@ -98,3 +98,22 @@ def key_findings(df: DataFrame) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(k).alias("finding"), v.alias("value")) for k, v in items])
     return out.select(F.explode(rows).alias("r")).select("r.finding", "r.value")
+
+
+def report_tables(df: DataFrame, metrics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """H5: the report's tables as lazy DataFrames (each one aggregation);
+    a table whose input columns are absent is left out."""
+    from quarry.operators import eda
+    cols = set(df.columns)
+    specs = {
+        "severity": (["Severity"], lambda: eda.value_counts(df, "Severity", normalize=True)),
+        "years": (["year"], lambda: eda.counts_by(df, ["year"])),
+        "top_states": (["State"], lambda: eda.top_k(df, "State", 10)),
+        "top_cities": (["City", "State"], lambda: eda.top_cities(df, 10)),
+        "top_weather": (["Weather_Condition"], lambda: eda.top_k(df, "Weather_Condition", 10)),
+        "weather_rates": (["weather_category", "target"], lambda: eda.rate_by(df, "weather_category")),
+    }
+    out = {name: build() for name, (need, build) in specs.items() if set(need) <= cols}
+    if metrics is not None:
+        out["models"] = metrics.orderBy(F.col("test_auc").desc(), F.col("test_ap").desc())
+    return out

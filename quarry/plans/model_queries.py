@@ -16,6 +16,7 @@ from quarry.plans.stages import processed_with_meta
 from quarry.session import stage_path
 
 _lock = threading.Lock()
+FALLBACK_MODEL = "boosted_a"
 _trained: dict = {}
 
 _U = "CAST(('0x' || substr(md5('42:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
@@ -80,8 +81,9 @@ def train_summary(spark, sf_dir):
 def best_model(spark, sf_dir):
     """Best model by validation AUC."""
     data, feats, fitted, train, val = trained(spark, sf_dir)
-    rows = train_summary(spark, sf_dir).orderBy(F.col("val_auc").desc(), "model_name").first()
-    return rows["model_name"], fitted[rows["model_name"]][0], feats, data
+    rows = train_summary(spark, sf_dir).orderBy(F.col("val_auc").desc_nulls_last(), "model_name").first()
+    name = rows["model_name"] if rows is not None else FALLBACK_MODEL   # no metrics: fixed fallback
+    return name, fitted[name][0], feats, data
 
 
 @register("batch_predict")

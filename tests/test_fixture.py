@@ -123,3 +123,10 @@ def test_request_rules(spark):
     df = spark.createDataFrame([Row(**good), Row(**bad)])
     got = [r["violations"] for r in request_violations(df).collect()]
     assert got == [[], ["hour"]]
+
+
+def test_report_tables(fixture_df):
+    from quarry.operators.charts import report_tables
+    t = report_tables(FE.build_features(fixture_df)[0])
+    assert {r["Severity"]: r["count"] for r in t["severity"].collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert t["years"].collect()[0]["count"] == 4
