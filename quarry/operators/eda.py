@@ -223,13 +223,17 @@ def box_stats(df: DataFrame, value: str, by: str, whisker: float = 1.5) -> DataF
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
     qw = qw.withColumn("_lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
            .withColumn("_hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-    j = d.join(qw, by)
+    # Fences meet the distinct (group, value, count) table, not the rows:
+    # same answer, and a hot group arrives already collapsed map-side.
+    counts = d.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    j = counts.join(qw, by)
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     return j.groupBy(by).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("count"))
+        F.sum(F.when(~inside, F.col("_n")).otherwise(0)).alias("n_outliers"),
+        F.sum("_n").alias("count"))
 
 
 def filter_flag(df: DataFrame, flag: str) -> DataFrame:
