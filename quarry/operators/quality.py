@@ -67,18 +67,18 @@ def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def removed_rows(raw: DataFrame, key: str = "ID", order_by: str = "_order") -> DataFrame:
-    """Q6: rows removed by each cleaning rule, applied in pipeline order."""
-    per_key = raw.groupBy(key).agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.min_by(F.struct("Start_Lat", "Start_Lng", "Severity"), qcol(order_by)).alias("r"))
-    lat, lng, sev = F.col("r.Start_Lat"), F.col("r.Start_Lng"), F.col("r.Severity")
-    coord = F.coalesce(lat.between(24.0, 50.0) & lng.between(-125.0, -66.0), F.lit(False))
-    sev_ok = F.coalesce(sev.between(1, 4), F.lit(False))
-    wide = per_key.agg(
-        (F.sum("copies") - F.count(F.lit(1))).cast("long").alias("duplicates"),
-        F.count_if(~coord).cast("long").alias("bad_coordinates"),
-        F.count_if(coord & ~sev_ok).cast("long").alias("bad_severity"))
-    return wide.unpivot([], ["duplicates", "bad_coordinates", "bad_severity"], "rule", "removed_rows")
+    """Q6: rows removed by each cleaning rule, applied in pipeline order
+    (de-duplication first, then coordinates, then severity)."""
+    from quarry.operators.clean import dedup
+    dups = raw.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("_extra")).agg(
+        F.lit("duplicates").alias("rule"), F.sum("_extra").cast("long").alias("removed_rows"))
+    first = dedup(raw.select(key, order_by, "Start_Lat", "Start_Lng", "Severity"), key, order_by)
+    coord = F.coalesce(coordinates_ok(), F.lit(False))
+    sev_ok = F.coalesce(severity_ok(), F.lit(False))
+    rules = first.agg(F.count_if(~coord).cast("long").alias("bad_coordinates"),
+                      F.count_if(coord & ~sev_ok).cast("long").alias("bad_severity")) \
+        .unpivot([], ["bad_coordinates", "bad_severity"], "rule", "removed_rows")
+    return dups.unionByName(rules)
 
 
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
