@@ -146,6 +146,7 @@ def zero_filled_grid(df: DataFrame, row_key: str, col_key: str,
     rows = row_values if row_values is not None else domain_values(df, row_key)
     cols = col_values if col_values is not None else domain_values(df, col_key)
     spine = df.sparkSession.createDataFrame(list(itertools.product(rows, cols)), [row_key, col_key])
+    spine = spine.select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in (row_key, col_key)])
     return spine.join(agg, [row_key, col_key], "left").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
 

@@ -181,7 +181,7 @@ def top_states(spark, sf_dir):
 
 
 @register("hour_totals", over_processed(
-    "SELECT hour, sum(count) AS total FROM (SELECT hour, Severity, count(*) AS count FROM processed "
+    "SELECT hour, CAST(sum(count) AS BIGINT) AS total FROM (SELECT hour, Severity, count(*) AS count FROM processed "
     "GROUP BY hour, Severity) GROUP BY hour"))
 def hour_totals(spark, sf_dir):
     """Roll-up of the hour × severity aggregate."""
@@ -250,7 +250,7 @@ def top_weather(spark, sf_dir):
 
 
 @register("top_city_states", over_processed(
-    "SELECT State, sum(count) AS total FROM (SELECT City, State, count(*) AS count FROM processed "
+    "SELECT State, CAST(sum(count) AS BIGINT) AS total FROM (SELECT City, State, count(*) AS count FROM processed "
     "WHERE City IS NOT NULL AND State IS NOT NULL GROUP BY City, State "
     "ORDER BY count(*) DESC, City, State LIMIT 20) GROUP BY State"))
 def top_city_states(spark, sf_dir):
