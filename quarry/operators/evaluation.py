@@ -216,19 +216,40 @@ def best_threshold(sweep: DataFrame, by=("model",)) -> DataFrame:
                                  .alias("best")).select(*k, "best.threshold", "best.f1")
 
 
-def metrics_table(df: DataFrame, by=("model",), threshold: float = 0.5, digits: int = 4, **kw) -> DataFrame:
-    """test_auc, test_ap, test_brier, weighted f1/precision/recall, accuracy."""
+def metrics_table(df: DataFrame, by=("model",), threshold: float = 0.5, digits: int = 4,
+                  label: str = "label", score: str = "score") -> DataFrame:
+    """test_auc, test_ap, test_brier, weighted f1/precision/recall, accuracy.
+
+    Two aggregations: AUC and AP from one cumulative distinct-score table,
+    Brier and the confusion counts from one pass over the rows."""
     k = _keys(by)
-    auc = roc_auc(df, k, **kw)
-    ap = average_precision(df, k, **kw)
-    br = brier(df, k, **kw)
-    rep = class_report(df, k, threshold, **kw)
-    wavg = rep.where(F.col("class") == "weighted avg").select(
-        *k, F.col("f1").alias("test_f1"), F.col("precision").alias("test_precision"),
-        F.col("recall").alias("test_recall"))
-    acc = rep.where(F.col("class") == "accuracy").select(*k, F.col("precision").alias("test_accuracy"))
-    out = auc.join(ap, k).join(br, k).join(wavg, k).join(acc, k)
-    return out.select(*k, *[F.round(c, digits).alias(n) for c, n in [
-        ("auc", "test_auc"), ("ap", "test_ap"), ("brier", "test_brier"), ("test_f1", "test_f1"),
-        ("test_precision", "test_precision"), ("test_recall", "test_recall"),
-        ("test_accuracy", "test_accuracy")]])
+    c = cumulative(df, k, label=label, score=score)
+    rank = c.groupBy(*k).agg(
+        F.try_divide(F.sum(F.col("neg") * ((F.col("tp") - F.col("pos")) + F.col("pos") / 2.0)),
+                     F.first("P") * F.first("N")).alias("auc"),
+        F.sum(F.try_divide(F.col("pos").cast("double"), F.col("P")) *
+              (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
+    pred, act = F.col(score) >= threshold, F.col(label) == 1
+    cm = df.groupBy(*k).agg(
+        F.avg((F.col(score) - F.col(label)) ** 2).alias("brier"),
+        F.count_if(~act & ~pred).alias("c00"), F.count_if(~act & pred).alias("c01"),
+        F.count_if(act & ~pred).alias("c10"), F.count_if(act & pred).alias("c11"))
+
+    def z(x):
+        return F.coalesce(x, F.lit(0.0))
+
+    c00, c01, c10, c11 = (F.col(n).cast("double") for n in ("c00", "c01", "c10", "c11"))
+    total = c00 + c01 + c10 + c11
+    p0, r0 = z(F.try_divide(c00, c00 + c10)), z(F.try_divide(c00, c00 + c01))
+    p1, r1 = z(F.try_divide(c11, c11 + c01)), z(F.try_divide(c11, c11 + c10))
+    f0, f1 = z(F.try_divide(2 * p0 * r0, p0 + r0)), z(F.try_divide(2 * p1 * r1, p1 + r1))
+    s0, s1 = c00 + c01, c10 + c11
+
+    def weighted(a, b):
+        return z(F.try_divide(a * s0 + b * s1, total))
+
+    out = rank.join(cm, k) if k else rank.withColumn("_k", F.lit(1)).join(cm.withColumn("_k", F.lit(1)), "_k")
+    return out.select(*k, *[F.round(e, digits).alias(n) for e, n in [
+        (F.col("auc"), "test_auc"), (F.col("ap"), "test_ap"), (F.col("brier"), "test_brier"),
+        (weighted(f0, f1), "test_f1"), (weighted(p0, p1), "test_precision"),
+        (weighted(r0, r1), "test_recall"), (z(F.try_divide(c00 + c11, total)), "test_accuracy")]])
