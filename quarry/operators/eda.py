@@ -126,6 +126,13 @@ def rate_by(df: DataFrame, key: str, target: str = "target") -> DataFrame:
 
 
 # ------------------------------------------------------------------ A12–A15, J4, J5
+def _literal_rows(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small literal table (JVM-side, no Python data transfer), typed like ``df``'s columns."""
+    structs = [F.struct(*[F.lit(v).cast(df.schema[n].dataType).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return df.sparkSession.range(1).select(F.explode(F.array(*structs)).alias("_r")).select(
+        *[F.col("_r")[n].alias(n) for n in names])
+
+
 def domain_values(df: DataFrame, col: str, max_values: int = 10_000) -> list:
     """Observed distinct values of a key, collected only below a size bound."""
     vals = [r[0] for r in _nn(df, [col]).select(col).distinct().limit(max_values + 1).collect()]
@@ -145,8 +152,7 @@ def zero_filled_grid(df: DataFrame, row_key: str, col_key: str,
     agg = counts_by(df, [row_key, col_key])
     rows = row_values if row_values is not None else domain_values(df, row_key)
     cols = col_values if col_values is not None else domain_values(df, col_key)
-    spine = df.sparkSession.createDataFrame(list(itertools.product(rows, cols)), [row_key, col_key])
-    spine = spine.select(*[F.col(k).cast(df.schema[k].dataType).alias(k) for k in (row_key, col_key)])
+    spine = _literal_rows(df, [row_key, col_key], list(itertools.product(rows, cols)))
     return spine.join(agg, [row_key, col_key], "left").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
 
@@ -159,7 +165,7 @@ def pivot_counts(df: DataFrame, row_key: str, col_key: str, col_values: list,
     wide = _nn(df, [row_key]).groupBy(row_key).agg(*aggs)
     if row_values is None:
         return wide
-    spine = df.sparkSession.createDataFrame([(v,) for v in row_values], [row_key])
+    spine = _literal_rows(df, [row_key], [(v,) for v in row_values])
     out = spine.join(wide, row_key, "left")
     return out.select(row_key, *[F.coalesce(F.col(f"{prefix}{v}"), F.lit(0)).cast("long").alias(f"{prefix}{v}")
                                  for v in col_values])
