@@ -45,3 +45,14 @@ def test_grid_search(spark):
     df, feats = _fixture(spark)
     cvm = ml.tune(df, feats, folds=2, reg_params=(0.01, 1.0))
     assert len(cvm.avgMetrics) == 2 and max(cvm.avgMetrics) > 0.6
+
+
+def test_model_store_roundtrip(spark):
+    import tempfile
+    df, feats = _fixture(spark)
+    model, _ = ml.train_models(df, feats, "light", ["logistic_regression"])["logistic_regression"]
+    path = ml.save_model(model, tempfile.mkdtemp(prefix="quarry-model-") + "/lr")
+    again = ml.load_model(path)
+    a = {r["ID"]: r["probability_high"] for r in ml.score(model, df).collect()}
+    b = {r["ID"]: r["probability_high"] for r in ml.score(again, df).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
