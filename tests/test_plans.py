@@ -37,3 +37,12 @@ def test_metamorphic_repartition(spark):
     a = sorted(ev.metrics_table(s).collect())
     b = sorted(ev.metrics_table(s.repartition(11)).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["describe", "box_stats", "iqr_cap", "roc_auc", "roc_curve",
+                                  "roc_curve_compact", "average_precision", "pr_curve"])
+def test_no_single_partition_exchange(spark, registered, name):
+    """Quantile and ranking operators cumulate inside (key, bucket) windows:
+    no stage may gather the data into one partition."""
+    plan = _plan(registered[name](spark, SF))
+    assert "SinglePartition" not in plan, name
