@@ -93,6 +93,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
 
 
+def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                     by: list[str] | tuple = (), accuracy: int = 10000) -> DataFrame:
+    """Sketch quantiles (``percentile_approx``: bounded memory, one partial
+    aggregation, rank error ≈ 1/accuracy) in the shape of ``exact_quantiles``."""
+    by = list(by)
+    keys = by + ["column"]
+    long = to_long(df, columns, by).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    qs = long.groupBy(*keys).agg(
+        F.percentile_approx("v", [float(p) for p in probs], accuracy).alias("_q"))
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("value"))
+    return qs.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.prob", "_p.value")
+
+
 def quantile_lookup(q: DataFrame, by: list[str] | tuple = ()) -> dict:
     """Collect a quantile table (size = groups × columns × probs) to a dict."""
     out = {}

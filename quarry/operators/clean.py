@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.calendar import clip
-from quarry.functions.stats import column_modes, exact_quantiles, qcol
+from quarry.functions.stats import approx_quantiles, column_modes, exact_quantiles, qcol
 from quarry.functions.text import standardise
 
 # Fixed values from the reference configuration and rules.
@@ -144,11 +144,12 @@ def cap_outliers(df: DataFrame, bounds: dict[str, tuple[float, float]],
     return df.select(*[repl.get(c, qcol(c)) for c in df.columns])
 
 
-def quartiles(df: DataFrame, columns: list[str]) -> dict:
-    """{(column, prob): value} for probs .25 .5 .75 — one distributed job."""
+def quartiles(df: DataFrame, columns: list[str], exact: bool = True) -> dict:
+    """{(column, prob): value} for probs .25 .5 .75 — one distributed job
+    (``exact=False``: sketch quantiles, cheaper on very large columns)."""
     if not columns:
         return {}
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    q = (exact_quantiles if exact else approx_quantiles)(df, columns, [0.25, 0.5, 0.75])
     return {(r["column"], r["prob"]): r["value"] for r in q.collect()}
 
 
@@ -222,7 +223,7 @@ def filtered(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, key: str = "
 
 def clean(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, iqr_factor: float = IQR_FACTOR,
           key: str = "ID", order_by: str = "_order", materialize_as: str | None = "filtered",
-          skip_zero_iqr: bool = False) -> DataFrame:
+          skip_zero_iqr: bool = False, exact: bool = True) -> DataFrame:
     """Reference order: dedup → P1 → P2 → P3 → C5 → C2/C3/C4 → C6.
 
     Capping is monotone and its bounds lie outside [Q1, Q3], so the median
@@ -233,7 +234,7 @@ def clean(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, iqr_factor: flo
     nulls = {c for c, v in fr.items() if 0 < v <= drop_threshold}
     caps = [c for c in CAP_COLUMNS if c in d.columns]
     med_cols = [c for c in numeric_columns(d) if c in nulls]
-    q = quartiles(d, sorted(set(caps) | set(med_cols)))
+    q = quartiles(d, sorted(set(caps) | set(med_cols)), exact)
     d = cap_outliers(d, iqr_bounds(q, caps, iqr_factor), skip_zero_iqr)
     modes = column_modes(d, [c for c in string_columns(d) if c in nulls])
     medians = {c: q.get((c, 0.5)) for c in med_cols}

@@ -87,3 +87,14 @@ def test_roc_drop_intermediate_across_buckets(spark):
     assert len(got) == len(exp)
     for a, b in zip(got, exp):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from quarry.functions.stats import approx_quantiles
+    rng = np.random.default_rng(5)
+    vals = rng.normal(0, 1, 5000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = {r["prob"]: r["value"] for r in approx_quantiles(df, ["x"], [0.25, 0.5, 0.75]).collect()}
+    for p, v in got.items():
+        rank = (vals <= v).mean()
+        assert abs(rank - p) < 0.01
