@@ -155,7 +155,8 @@ def weather_severity_grid(spark, sf_dir):
 @register("day_hour_pivot", over_processed(
     "SELECT d.day_of_week, " + ", ".join(
         f"CAST(coalesce(sum(CASE WHEN p.hour = {h} THEN 1 ELSE 0 END), 0) AS BIGINT) AS h{h}" for h in range(24))
-    + " FROM (SELECT unnest(range(7)) AS day_of_week) d LEFT JOIN processed p ON p.day_of_week = d.day_of_week "
+    + " FROM (SELECT CAST(x AS INTEGER) AS day_of_week FROM (SELECT unnest(range(7)) AS x)) d "
+    "LEFT JOIN processed p ON p.day_of_week = d.day_of_week "
     "GROUP BY d.day_of_week"))
 def day_hour_pivot(spark, sf_dir):
     """Day × hour counts, every day row present, zero-filled."""
