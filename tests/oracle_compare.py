@@ -42,7 +42,23 @@ def rows_of(pdf: pd.DataFrame, digits: int) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT",
+                 "tinyint": "TINYINT", "float": "FLOAT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_diff(spark_df, con, sql: str) -> dict:
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in spark_df.schema.fields}
+    d_types = {r[0]: r[1] for r in con.sql(f"DESCRIBE {sql}").fetchall()}
+    return {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+            if s_types.get(c) != d_types.get(c)}
+
+
 def compare(spark_df, con, sql: str, digits: int = 6) -> tuple[bool, str]:
+    td = type_diff(spark_df, con, sql)
+    if td:
+        return False, f"types differ (spark, duckdb): {td}"
     left = spark_df.toPandas()
     right = con.sql(sql).df()
     lc, rc = sorted(left.columns), sorted(right.columns)

@@ -9,13 +9,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_compare import duck_connect  # noqa: E402
+from oracle_compare import duck_connect, type_diff  # noqa: E402
 from quarry.session import get_session  # noqa: E402
 
-SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT",
-                 "tinyint": "TINYINT", "float": "FLOAT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
-
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
 spark = get_session(master="local[8]", shuffle_partitions=8)
 spark.sparkContext.setLogLevel("ERROR")
@@ -23,11 +19,7 @@ qs, oracles = E.queries(), E.oracle_sql()
 con = duck_connect(sf)
 bad = 0
 for name, sql in oracles.items():
-    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
-               for f in qs[name](spark, sf).schema.fields}
-    d_types = {r[0]: r[1] for r in con.sql(f"DESCRIBE {sql}").fetchall()}
-    diff = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
-            if s_types.get(c) != d_types.get(c)}
+    diff = type_diff(qs[name](spark, sf), con, sql)
     if diff:
         bad += 1
         print(f"TYPE {name}: {diff}", flush=True)
