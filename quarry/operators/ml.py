@@ -111,19 +111,31 @@ def probability_high(scored: DataFrame) -> DataFrame:
 
 
 def train_models(train: DataFrame, features: list[str], profile: str = "light",
-                 models: list[str] | None = None) -> dict[str, tuple[PipelineModel, float]]:
-    """M8: fit every enabled model; returns {name: (model, seconds)}."""
+                 models: list[str] | None = None,
+                 validation: DataFrame | None = None) -> dict[str, tuple[PipelineModel, float]]:
+    """M8: fit every enabled model; returns {name: (model, seconds)}.
+
+    With ``validation``, the second boosted profile (M7) trains on train ∪
+    validation with ``validationIndicatorCol`` and stops early on it."""
     cfg = PROFILES[profile]
     out = {}
     for name in (models or list(cfg)):
         p = cfg[name]
+        base = train
+        use_val = name == "boosted_b" and validation is not None
+        if use_val:
+            base = train.withColumn("is_val", F.lit(False)).unionByName(
+                validation.select(*train.columns).withColumn("is_val", F.lit(True)))
         if name == "boosted_a":
-            d = with_class_weights(train, mode="pos", pos_weight=p["pos_weight"])
+            d = with_class_weights(base, mode="pos", pos_weight=p["pos_weight"])
         else:
-            d = with_class_weights(train)
+            d = with_class_weights(base)
         nw = d.agg(F.sum("weight")).first()[0] if name == "logistic_regression" else None
         t = time.time()
-        model = build_pipeline(name, features, p, nw).fit(d)
+        pipe = build_pipeline(name, features, p, nw)
+        if use_val:
+            pipe.getStages()[-1].setValidationIndicatorCol("is_val")
+        model = pipe.fit(d)
         out[name] = (model, time.time() - t)
     return out
 

@@ -49,7 +49,7 @@ def trained(spark, sf_dir, profile: str = "light"):
         data = ml.assign_split(ml.model_matrix(df, feats))
         train = data.where(F.col("split") == "train")
         val = data.where(F.col("split") == "val")
-        fitted = ml.train_models(train, feats, profile)
+        fitted = ml.train_models(train, feats, profile, validation=val)
         for name, (m, _) in fitted.items():
             ml.save_model(m, stage_path(spark, "models", profile, name))
         _trained[key] = (data, feats, fitted, train, val)
