@@ -56,13 +56,3 @@ def test_model_store_roundtrip(spark):
     a = {r["ID"]: r["probability_high"] for r in ml.score(model, df).collect()}
     b = {r["ID"]: r["probability_high"] for r in ml.score(again, df).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
-
-
-def test_boosted_with_validation_indicator(spark):
-    df, feats = _fixture(spark)
-    data = ml.assign_split(df)
-    train, val = data.where("split = 'train'"), data.where("split = 'val'")
-    fitted = ml.train_models(train, feats, "light", ["boosted_b"], validation=val)
-    model = fitted["boosted_b"][0]
-    assert model.stages[-1].getNumTrees <= 20
-    assert ml.score(model, data.where("split = 'test'")).count() > 0
