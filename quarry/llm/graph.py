@@ -21,16 +21,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the smallest node of its component.
 
-    Each round a node takes the smallest label next to it and then that label's own label, so
-    rounds grow with the logarithm of a component's width. Labels are written each round.
+    Each round every node takes the smallest node next to it, and that one's own choice; edges are
+    then drawn between what was chosen, each once, so they shrink from round to round and a
+    star of any size is gone after one. Edges and labels are written each round.
     """
-    both = written(edges.where("a != b").select("a", "b").union(edges.where("a != b").select(F.col("b"), F.col("a"))).distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = written(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        if new.where("label != old").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+    left = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    label = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
+        choice = written(ends.groupBy(F.col("e.x").alias("x")).agg(F.least(F.col("x"), F.min("e.y")).alias("to")), "choice")
+        onward = choice.select(F.col("x").alias("to"), F.col("to").alias("far"))
+        root = written(choice.join(onward, "to").select("x", F.col("far").alias("root")), "roots")
+        of_a, of_b = (root.select(F.col("x").alias(c), F.col("root").alias("r" + c)) for c in ("a", "b"))
+        moved = left.join(of_a, "a").join(of_b, "b").where("ra != rb")
+        left = written(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        label = written(label.join(root.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+    return label
