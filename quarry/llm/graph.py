@@ -21,17 +21,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the smallest node of its component.
 
-    Each round every node takes the smallest node next to it, and that one's own choice; edges are
-    then drawn between what was chosen, each once, so they shrink from round to round and a
-    star of any size is gone after one. Edges and labels are written each round.
+    Each round every node chooses the smallest node next to it (or itself), chains of choices are followed to
+    their ends by doubling, and edges are drawn between ends, each once. At least half of the
+    linked nodes go each round, and a star of any size goes in one. All is written each round.
     """
     left = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
     while not left.isEmpty():
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
         choice = written(ends.groupBy(F.col("e.x").alias("x")).agg(F.least(F.col("x"), F.min("e.y")).alias("to")), "choice")
-        onward = choice.select(F.col("x").alias("to"), F.col("to").alias("far"))
-        root = written(choice.join(onward, "to").select("x", F.col("far").alias("root")), "roots")
+        root = choice.select("x", F.col("to").alias("root"))
+        while True:  # to the end of each chain of choices, by doubling
+            onward = root.select(F.col("x").alias("root"), F.col("root").alias("far"))
+            jumped = written(root.join(onward, "root").select("x", "root", "far"), "roots")
+            root = jumped.select("x", F.col("far").alias("root"))
+            if jumped.where("root != far").isEmpty():
+                break
         of_a, of_b = (root.select(F.col("x").alias(c), F.col("root").alias("r" + c)) for c in ("a", "b"))
         moved = left.join(of_a, "a").join(of_b, "b").where("ra != rb")
         left = written(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
