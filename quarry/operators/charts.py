@@ -16,18 +16,22 @@ def histogram(df: DataFrame, col: str, bins: int = 40, lo: float | None = None,
     first clips values into a display range (C8), as the reference does for
     visibility (0–15) and wind speed (0–60).
 
+    Values outside [lo, hi] and rows of a NULL group are left out.
     Output: (by?, bin, bin_lo, bin_hi, count, density)."""
     keys = [by] if by else []
     v = qcol(col).cast("double")
     if clip is not None:
         v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(float(clip[0]))), F.lit(float(clip[1]))))
     d = df.select(*[qcol(k) for k in keys], v.alias("_v")).where(F.col("_v").isNotNull())
+    for k in keys:
+        d = d.where(qcol(k).isNotNull())
+    if lo is not None and hi is not None:
+        d = d.where(F.col("_v").between(lo, hi))
     if lo is None or hi is None:
         rng = d.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     else:
         rng = d.groupBy(*keys).agg(F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"),
                                    F.count(F.lit(1)).alias("_n"))
-    d = d.where(F.col("_v").between(lo, hi)) if lo is not None and hi is not None else d
     if keys:
         j = d.join(rng, keys)
     else:

@@ -204,11 +204,19 @@ def percentile_clip(df: DataFrame, column: str, lo_q: float = 0.01, hi_q: float
 
 
 # ---------------------------------------------------------------- C7
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN counts as missing: NULL in every floating-point column."""
+    nan = {f.name: F.nullif(qcol(f.name), F.lit(float("nan")).cast(f.dataType))
+           for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.withColumns(nan) if nan else df
+
+
 def filtered(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, key: str = "ID",
              order_by: str = "_order", materialize_as: str | None = None):
     """dedup → P1 → P2 → P3; returns (frame, null fractions after dedup)."""
     from quarry.sources.sinks import materialize
 
+    df = nan_to_null(df)
     d = dedup(df, key, order_by) if key in df.columns else df
     if materialize_as:
         d = materialize(d, materialize_as)

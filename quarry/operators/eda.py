@@ -133,26 +133,24 @@ def _literal_rows(df: DataFrame, names: list[str], rows: list[tuple]) -> DataFra
         *[F.col("_r")[n].alias(n) for n in names])
 
 
-def domain_values(df: DataFrame, col: str, max_values: int = 10_000) -> list:
-    """Observed distinct values of a key, collected only below a size bound."""
-    vals = [r[0] for r in _nn(df, [col]).select(col).distinct().limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} values; pass its domain explicitly")
-    return sorted(vals)
-
-
 def zero_filled_grid(df: DataFrame, row_key: str, col_key: str,
                      row_values: list | None = None, col_values: list | None = None) -> DataFrame:
     """Counts for every (row, col) combination, zero where absent.
 
-    The spine is the product of two bounded domains (given lists, or the
-    observed values below a size bound), built as a small local table and
-    left-joined to the aggregate, which is the only pass over the data."""
-    import itertools
+    The spine comes from given lists or from the aggregate's own keys, on the
+    executors: its distinct rows, each exploded over the one array of its
+    distinct columns. The data are read by the aggregate only."""
     agg = counts_by(df, [row_key, col_key])
-    rows = row_values if row_values is not None else domain_values(df, row_key)
-    cols = col_values if col_values is not None else domain_values(df, col_key)
-    spine = _literal_rows(df, [row_key, col_key], list(itertools.product(rows, cols)))
+    if row_values is not None:
+        rows = _literal_rows(df, [row_key], [(v,) for v in row_values])
+    else:
+        rows = agg.select(row_key).where(qcol(row_key).isNotNull()).distinct()
+    if col_values is not None:
+        cols = F.explode(F.array(*[F.lit(v).cast(df.schema[col_key].dataType) for v in col_values]))
+        spine = rows.select(row_key, cols.alias(col_key))
+    else:
+        every = agg.where(qcol(col_key).isNotNull()).agg(F.collect_set(col_key).alias("_cols"))
+        spine = rows.join(every).select(row_key, F.explode("_cols").alias(col_key))
     return spine.join(agg, [row_key, col_key], "left").withColumn(
         "count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
 

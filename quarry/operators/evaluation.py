@@ -50,7 +50,7 @@ def roc_auc(df: DataFrame, by=("model",), **kw) -> DataFrame:
     k = _keys(by)
     c = cumulative(df, k, **kw)
     contrib = F.col("neg") * ((F.col("tp") - F.col("pos")) + F.col("pos") / 2.0)
-    return c.groupBy(*k).agg(F.try_divide(F.sum(contrib), F.first("P") * F.first("N")).alias("auc"))
+    return c.groupBy(*k).agg(F.try_divide(F.sum(contrib), F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, by=("model",), drop_intermediate: bool = False, **kw) -> DataFrame:
@@ -226,7 +226,7 @@ def metrics_table(df: DataFrame, by=("model",), threshold: float = 0.5, digits:
     c = cumulative(df, k, label=label, score=score)
     rank = c.groupBy(*k).agg(
         F.try_divide(F.sum(F.col("neg") * ((F.col("tp") - F.col("pos")) + F.col("pos") / 2.0)),
-                     F.first("P") * F.first("N")).alias("auc"),
+                     F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"),
         F.sum(F.try_divide(F.col("pos").cast("double"), F.col("P")) *
               (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
     pred, act = F.col(score) >= threshold, F.col(label) == 1

@@ -122,7 +122,7 @@ def target_corr(spark, sf_dir):
 
 @register("map_points", over_processed(
     "SELECT ID, Start_Lat, Start_Lng, Severity, City, State FROM processed "
-    "WHERE Start_Lat IS NOT NULL AND Start_Lng IS NOT NULL ORDER BY md5('42:' || ID), ID LIMIT 500"))
+    "WHERE Start_Lat IS NOT NULL AND Start_Lng IS NOT NULL ORDER BY md5('42:' || ID), ID LIMIT 50000"))
 def map_points(spark, sf_dir):
-    """H3: reproducible 500-point sample for a map."""
-    return charts.map_points(processed(spark, sf_dir), 500)
+    """H3: reproducible 50,000-point sample for a map."""
+    return charts.map_points(processed(spark, sf_dir), 50_000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import qcol
@@ -23,7 +25,7 @@ _CSV_TYPES = {"ID": "string", "Severity": "int", "Start_Time": "string", "End_Ti
     "min(Start_Time) AS first_start, max(End_Time) AS last_end FROM raw"))
 def csv_roundtrip(spark, sf_dir):
     """Raw incidents written as CSV and read back through the typed ingest."""
-    path = stage_path(spark, "csv", f"raw-{abs(hash(sf_dir))}")
+    path = stage_path(spark, "csv", f"raw-{uuid.uuid4().hex}")
     cols = list(_CSV_TYPES)
     ingest.write_csv(raw(spark, sf_dir).select(*[qcol(c) for c in cols]), path)
     df = ingest.read_csv_typed(spark, path, _CSV_TYPES, timestamps=["Start_Time", "End_Time"],
@@ -102,7 +104,7 @@ def feature_metadata(spark, sf_dir):
     """Feature list and encoder classes written as JSON and read back."""
     from quarry.operators.features import encoder_classes
     df, enc, feats = processed_with_meta(spark, sf_dir)
-    path = stage_path(spark, "metadata", f"features-{abs(hash(sf_dir))}")
+    path = stage_path(spark, "metadata", f"features-{uuid.uuid4().hex}")
     sinks.write_metadata(spark, path, {"features": feats, "label_encoders": encoder_classes(enc),
                                        "target": "target"})
     schema = "features array<string>, label_encoders map<string, array<string>>, target string"

@@ -3,6 +3,8 @@ where the result is arithmetic (split sizes, hash sample)."""
 
 from __future__ import annotations
 
+import uuid
+
 import threading
 
 from pyspark.sql import functions as F
@@ -32,11 +34,11 @@ def split_sizes(spark, sf_dir):
 
 
 @register("hash_sample", over_processed(
-    "SELECT ID, Severity, State FROM processed ORDER BY md5('42:' || ID), ID LIMIT 1000"))
+    "SELECT ID, Severity, State FROM processed ORDER BY md5('42:' || ID), ID LIMIT 50000"))
 def hash_sample(spark, sf_dir):
-    """SM2: reproducible 1,000-row sample by hashed key."""
+    """SM2: reproducible 50,000-row sample by hashed key."""
     df, _, _ = processed_with_meta(spark, sf_dir)
-    return eda.hash_sample(df.select("ID", "Severity", "State"), "ID", 1000)
+    return eda.hash_sample(df.select("ID", "Severity", "State"), "ID", 50_000)
 
 
 def trained(spark, sf_dir, profile: str = "light"):
@@ -131,7 +133,7 @@ def learning_curve(spark, sf_dir):
     # Written once: every fit below starts from a short plan.
     d = materialize(train.select("ID", "target", *[F.col(f"`{c}`") for c in feats])
                     .withColumn("_u", ml.unit_hash(F.col("ID"), 7)), "lc-train")
-    path = stage_path(spark, "learning-curve", f"scores-{abs(hash(sf_dir))}")
+    path = stage_path(spark, "learning-curve", f"scores-{uuid.uuid4().hex}")
     mode = "overwrite"
     for frac in (0.1, 0.28, 0.46, 0.64, 0.82, 1.0):
         for fold in range(3):
@@ -155,7 +157,7 @@ def test_split(spark, sf_dir):
     """M3: the held-out test split, written under the shared folder and read back."""
     from quarry.sources.sinks import write_parquet
     df, _, _ = processed_with_meta(spark, sf_dir)
-    path = stage_path(spark, "splits", f"test-{abs(hash(sf_dir))}")
+    path = stage_path(spark, "splits", f"test-{uuid.uuid4().hex}")
     write_parquet(ml.assign_split(df).where(F.col("split") == "test").select("ID", "target"), path)
     return spark.read.parquet(path)
 

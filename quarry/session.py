@@ -59,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     sc = spark.sparkContext

@@ -1,2 +1,2 @@
-from quarry.sources.tables import TABLES, load_table, load_tables  # noqa: F401
+from quarry.sources.tables import TABLES, load_table  # noqa: F401
 from quarry.sources.incidents import incidents, incidents_sql  # noqa: F401

@@ -25,11 +25,13 @@ def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str],
     cols = list(types)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols] +
                           [T.StructField(CORRUPT, T.StringType())])
-    # Column pruning changes which rows count as malformed; ingest reads all.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+    # Column pruning changes which rows count as malformed; this read parses all columns.
+    raw = (spark.read.option("header", True).option("columnPruning", False).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path))
-    ok = F.col(CORRUPT).isNull() | qcol(cols[-1]).isNull()
+    # A short row is filled with NULL; a row with a field too many is skipped.
+    wide = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(cols) + 1)])
+    extra = F.from_csv(F.col(CORRUPT), wide.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"})[f"f{len(cols)}"]
+    ok = F.col(CORRUPT).isNull() | (qcol(cols[-1]).isNull() & extra.isNull())
     out = []
     for c in cols:
         if c in timestamps:
@@ -39,7 +41,10 @@ def read_csv_typed(spark: SparkSession, path: str, types: dict[str, str],
         elif types[c] == "string":
             out.append(qcol(c))
         else:
-            out.append(F.expr(f"try_cast(`{c}` AS {types[c]})").alias(c))
+            v = F.expr(f"try_cast(`{c}` AS {types[c]})")
+            if types[c] in ("double", "float"):
+                v = F.nullif(v, F.lit(float("nan")).cast(types[c]))    # NaN is missing
+            out.append(v.alias(c))
     df = raw.where(ok).select(*out)
     return df.limit(row_cap) if row_cap else df            # S3
 

@@ -20,18 +20,3 @@ def load_table(spark: SparkSession, sf_dir: str, name: str,
     """Parquet scan; a column list is a projection Catalyst prunes into the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
-    return {n: load_table(spark, sf_dir, n) for n in names}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer partitions than the cluster's
-    parallelism (few large files / row groups), so the wide work after it
-    runs in parallel. A no-op for a big input, whose scan already has many
-    splits. Hashing on a key keeps the placement deterministic for recompute."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key)

@@ -31,3 +31,10 @@ def test_narrowing_plan(spark):
     df = spark.createDataFrame([(1, 300, 70000, 1.5), (100, -5, 2, 2.5)], "a long, b long, c long, x double")
     plan = {r["column"]: r["narrowed_type"] for r in narrowed_types(df).collect()}
     assert plan == {"a": "tinyint", "b": "smallint", "c": "int", "x": "float"}
+
+
+def test_rows_with_a_field_too_many_are_skipped(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("ID,n,x\nA,1,2.5\nB,2,,EXTRA\nC,3,1.5,EXTRA\nD,4\nE,5,NaN\n")
+    df = read_csv_typed(spark, str(tmp_path / "in.csv"), {"ID": "string", "n": "int", "x": "double"})
+    assert [tuple(r) for r in df.orderBy("ID").collect()] == [("A", 1, 2.5), ("D", 4, None), ("E", 5, None)]
+    assert df.select("ID").count() == 3
