@@ -1,14 +1,15 @@
 """Distributed statistics that stay exact without funnelling data into one task.
 
+* ``ranged`` — rows in range partitions of (keys, value), written to the shared
+  folder with their range number. Spark samples the rows for the range bounds, so
+  ranges hold about equally many rows whatever the values are.
 * ``exact_quantiles`` — linear-interpolated quantiles (pandas / DuckDB
   ``quantile_cont`` semantics). Values are first reduced to distinct
   ``(value, count)`` pairs (map-side combine, so a value held by a third of
-  the rows costs one row per task), then ranked with a two-level prefix sum:
-  monotone buckets from an approximate-quantile sketch, bucket totals
-  cumulated over a handful of rows, and a per-bucket running sum. No window
-  ever runs over a whole column in one partition.
-* ``running_totals`` — the same two-level prefix sum for any monotone bucket
-  (used by the ranking metrics).
+  the rows costs one row per task). Range totals are cumulated over a handful of
+  rows, and only the ranges that hold a wanted rank are ranked row by row.
+* ``running_totals`` — the two-level prefix sum for any monotone bucket
+  (used by the ranking metrics and the label codes).
 * ``column_modes`` — most frequent value per column, smallest on ties.
 * ``pairwise_corr`` — Pearson r on pairwise-complete rows, NULL (not an
   ANSI division error) for a constant column.
@@ -37,60 +38,57 @@ def to_long(df: DataFrame, columns: list[str], by: list[str] | tuple = (),
     return long.select(*by, F.element_at(names, F.col("_var")).alias("column"), value)
 
 
-PER_OCTAVE = 64
-_LOG2_FLOOR = 1075          # log2 of the smallest positive double is -1074
+def ranged(df: DataFrame, keys: list[str], order_col: str, ranges: int | None = None) -> DataFrame:
+    """``df`` and a column ``_range``, ascending with (keys, order_col): rows of one key with
+    a smaller ``_range`` have a smaller ``order_col``, and equal ones share a range.
 
+    Written once, so that every reader sees the same ranges and a lost executor re-reads files.
+    Without ``ranges`` there are ``spark.sql.shuffle.partitions`` of them, small ones merged by AQE."""
+    from quarry.sources.sinks import materialize
 
-def value_bucket(v: Column, per_octave: int = PER_OCTAVE) -> Column:
-    """Monotone integer bucket of a double, a pure function of the value:
-    ``sign(v) · (floor(log2|v| · per_octave) + offset)``, 0 for 0. Java's log
-    is semi-monotonic, so larger values never land in smaller buckets; the
-    bucket count per octave bounds how many distinct values share a window."""
-    top = F.lit(2 ** 62)
-    mag = F.when(F.abs(v) == float("inf"), top).otherwise(
-        F.floor(F.log2(F.abs(v)) * per_octave) + (_LOG2_FLOOR * per_octave + 1))
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
+    by = [qcol(c) for c in [*keys, order_col]]
+    split = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return materialize(split.withColumn("_range", F.spark_partition_id()), "ranged")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    by: list[str] | tuple = (), per_octave: int = PER_OCTAVE) -> DataFrame:
+                    by: list[str] | tuple = (), ranges: int | None = None) -> DataFrame:
     """Exact quantiles → ``(by…, column, prob, value)``; NULLs are skipped."""
     by = list(by)
     keys = by + ["column"]
     long = to_long(df, columns, by).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("_b", value_bucket(F.col("v"), per_octave))
+    counts = ranged(long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), keys, "v", ranges)
 
-    totals = ranked.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_b",
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+
+    def pos(p: Column) -> Column:
+        return p * (F.col("_N") - 1)
+
+    def wanted_in(start: Column, end: Column) -> Column:
+        def inside(r: Column) -> Column:
+            return (start <= r) & (r < end)
+        return F.filter(wanted, lambda p: inside(F.floor(pos(p))) | inside(F.ceil(pos(p))))
+
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_bn"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_range", "_bn",
                            F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
                            F.sum("_bn").over(Window.partitionBy(*keys)).alias("_N"))
+    held = totals.where(F.size(wanted_in(F.col("_off"), F.col("_off") + F.col("_bn"))) > 0).drop("_bn")
 
-    upto = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (ranked.join(totals, keys + ["_b"])
+    upto = Window.partitionBy(*keys, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counts.join(held, keys + ["_range"])
               .withColumn("_end", F.col("_off") + F.sum("n").over(upto))      # ranks [start, end)
               .withColumn("_start", F.col("_end") - F.col("n")))
-
-    def covers(r: Column) -> Column:
-        return (F.col("_start") <= r) & (r < F.col("_end"))
-
-    def pos(p: Column) -> Column:
-        return p * (F.col("_N") - 1)
-
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    hits = ranked.withColumn(
-        "_hits", F.filter(wanted, lambda p: covers(F.floor(pos(p))) | covers(F.ceil(pos(p)))))
-    hits = (hits.where(F.size("_hits") > 0)
+    hits = (ranked.withColumn("_hits", wanted_in(F.col("_start"), F.col("_end"))).where(F.size("_hits") > 0)
             .select(*keys, "v", "_start", "_end", "_N", F.explode("_hits").alias("prob")))
     p = pos(F.col("prob"))
-    agg = hits.groupBy(*keys, "prob").agg(
-        F.max(F.when(covers(F.floor(p)), F.col("v"))).alias("_lo"),
-        F.max(F.when(covers(F.ceil(p)), F.col("v"))).alias("_hi"),
-        F.max("_N").alias("_N"))
-    frac = pos(F.col("prob")) - F.floor(pos(F.col("prob")))
-    return agg.select(*keys, "prob",
-                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+
+    def at(r: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.col("v")))
+
+    agg = hits.groupBy(*keys, "prob").agg(at(F.floor(p)).alias("_lo"), at(F.ceil(p)).alias("_hi"), F.max("_N").alias("_N"))
+    return agg.select(*keys, "prob", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (p - F.floor(p))).alias("value"))
 
 
 def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -106,15 +104,6 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return qs.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.prob", "_p.value")
 
 
-def quantile_lookup(q: DataFrame, by: list[str] | tuple = ()) -> dict:
-    """Collect a quantile table (size = groups × columns × probs) to a dict."""
-    out = {}
-    for r in q.collect():
-        key = tuple(r[b] for b in by) + (r["column"], r["prob"])
-        out[key] = r["value"]
-    return out
-
-
 def column_modes_df(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mode): most frequent non-null value, smallest value on ties.
     Distinct (column, value) pairs are counted with a map-side combine."""

@@ -3,8 +3,8 @@
 Everything starts by aggregating rows to distinct scores (pos, neg counts per
 score), which is a map-side-combined shuffle. Curves need cumulative counts
 in score order; a global ordered window would run in one partition, so the
-cumulative sums use ``running_totals`` (bucket totals + per-bucket windows)
-with the monotone bucket ``floor(score · K)`` for scores in [0, 1].
+cumulative sums use ``running_totals`` (range totals + per-range windows) over
+``ranged`` distinct scores, whose ranges hold about equally many of them.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import running_totals
+from quarry.functions.stats import ranged, running_totals
 
-BUCKETS = 1024
 THRESHOLDS = [0.1 + 0.05 * i for i in range(16)]   # 0.10 … 0.85
 
 
@@ -30,15 +29,21 @@ def score_counts(df: DataFrame, by=("model",), label: str = "label", score: str
         F.count_if(F.col(label) != 1).cast("long").alias("neg"))
 
 
-def cumulative(df: DataFrame, by=("model",), label: str = "label", score: str = "score") -> DataFrame:
+def cumulative(df: DataFrame, by=("model",), label: str = "label", score: str = "score",
+               ranges: int | None = None) -> DataFrame:
     """(by…, score, pos, neg, tp, fp, P, N): counts at threshold ≥ score, scores descending."""
-    k = _keys(by)
+    return _cumulative(df, _keys(by), label, score, ranges).drop("_range")
+
+
+def _cumulative(df: DataFrame, k: list[str], label: str = "label", score: str = "score",
+                ranges: int | None = None) -> DataFrame:
+    """``cumulative`` with the ``_range`` of each score."""
     sc = score_counts(df, k, label, score)
     grouped = bool(k)
     if not grouped:                      # one group: a constant key keeps it a keyed join
         sc, k = sc.withColumn("_all", F.lit(0)), ["_all"]
-    bucket = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS)).cast("int")
-    cum = running_totals(sc, k, "score", ["pos", "neg"], bucket, descending=True)
+    sc = ranged(sc, k, "score", ranges)
+    cum = running_totals(sc, k, "score", ["pos", "neg"], F.col("_range"), descending=True)
     cum = cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
     tot = sc.groupBy(*k).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     out = cum.join(tot, k)
@@ -60,11 +65,11 @@ def roc_curve(df: DataFrame, by=("model",), drop_intermediate: bool = False, **k
     ``drop_intermediate`` removes a point whose step from its predecessor in
     both fp and tp equals the step to its successor (second differences both
     zero; the first and last score points are kept). Neighbours come from
-    lag/lead inside a score bucket and, at bucket edges, from a per-bucket
-    table of end points (models × buckets rows), so no window spans a whole
+    lag/lead inside a score range and, at range edges, from a per-range
+    table of end points (models × ranges rows), so no window spans a whole
     model."""
     k = _keys(by)
-    c = cumulative(df, k, **kw)
+    c = _cumulative(df, k, **kw)
     if drop_intermediate:
         c = _drop_collinear(c, k)
     pts = c.select(*k, F.col("score").alias("threshold"),
@@ -76,8 +81,7 @@ def roc_curve(df: DataFrame, by=("model",), drop_intermediate: bool = False, **k
 
 
 def _drop_collinear(c: DataFrame, k: list[str]) -> DataFrame:
-    b = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS)).cast("int")
-    d = c.withColumn("_b", b)
+    d = c.withColumnRenamed("_range", "_b")
     pt = F.struct(F.col("score").alias("s"), F.col("fp").alias("fp"), F.col("tp").alias("tp"))
     ends = d.groupBy(*k, "_b").agg(F.max_by(pt, F.col("score")).alias("_first"),
                                    F.min_by(pt, F.col("score")).alias("_last"))

@@ -16,7 +16,7 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, x double") \
         .repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["x"], probs, by=["g"], per_octave=2).collect()}
+    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["x"], probs, by=["g"], ranges=13).collect()}
     for g in range(3):
         for p in probs:
             assert got[(g, p)] == pytest.approx(np.quantile(vals[groups == g], p), abs=1e-9)
@@ -89,6 +89,22 @@ def test_roc_drop_intermediate_across_buckets(spark):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
 
 
+def test_ranges_stay_even_for_crowded_values(spark):
+    from quarry.functions.stats import ranged
+    n, ranges = 40_000, 16
+    epoch = spark.range(n).select((F.col("id") + 1_700_000_000).cast("double").alias("v"))      # one octave
+    scores = spark.range(n).select((0.05 + F.col("id") / F.lit(n * 1000.0)).alias("v"))         # 0.050 to 0.051
+    for df in (epoch, scores):
+        sizes = [r["count"] for r in ranged(df, [], "v", ranges).groupBy("_range").count().collect()]
+        assert sum(sizes) == n and len(sizes) == ranges and max(sizes) < 2 * n / ranges
+    got = {r["prob"]: r["value"] for r in exact_quantiles(epoch, ["v"], [0.0, 0.3, 1.0], ranges=ranges).collect()}
+    assert got == {0.0: 1.7e9, 0.3: pytest.approx(1.7e9 + 0.3 * (n - 1)), 1.0: 1.7e9 + n - 1}
+    y = (F.col("id") % 3 == 0).cast("int")
+    df = spark.range(3000).select(y.alias("label"), (0.05 + F.col("id") / 3e6).alias("score"))
+    k = np.arange(3000)
+    assert ev.roc_auc(df, by=(), ranges=ranges).first()["auc"] == pytest.approx(_brute_auc((k % 3 == 0).astype(int), k))
+
+
 def test_approx_quantiles_close_to_exact(spark):
     from quarry.functions.stats import approx_quantiles
     rng = np.random.default_rng(5)
