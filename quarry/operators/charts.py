@@ -45,7 +45,6 @@ def histogram(df: DataFrame, col: str, bins: int = 40, lo: float | None = None,
              if keys else
              df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))
     if not keys:
-        r = rng.first()
         spine = spine.withColumn("_lo", F.lit(r["_lo"])).withColumn("_hi", F.lit(r["_hi"])).withColumn("_n", F.lit(r["_n"]))
     out = spine.join(counts, keys + ["bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
     w = (F.col("_hi") - F.col("_lo")) / bins

@@ -239,6 +239,12 @@ def clean(df: DataFrame, drop_threshold: float = DROP_THRESHOLD, iqr_factor: flo
     IQR bounds and the imputation medians.
     """
     d, fr = filtered(df, drop_threshold, key, order_by, materialize_as)
+    return finish(d, fr, drop_threshold, iqr_factor, skip_zero_iqr, exact)
+
+
+def finish(d: DataFrame, fr: dict[str, float], drop_threshold: float = DROP_THRESHOLD,
+           iqr_factor: float = IQR_FACTOR, skip_zero_iqr: bool = False, exact: bool = True) -> DataFrame:
+    """C5 → C2/C3/C4 → C6 on what :func:`filtered` returns."""
     nulls = {c for c, v in fr.items() if 0 < v <= drop_threshold}
     caps = [c for c in CAP_COLUMNS if c in d.columns]
     med_cols = [c for c in numeric_columns(d) if c in nulls]

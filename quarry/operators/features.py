@@ -1,14 +1,13 @@
 """Feature derivation (F1–F11, P7): one projection over the cleaned table plus
-one small fit (label-encoder classes)."""
+one fit (the table of label-encoder classes)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import calendar as cal
-from quarry.functions.stats import qcol
+from quarry.functions.stats import qcol, ranged, running_totals, to_long
 from quarry.functions.weather import road_feature_count, weather_category, weather_score
 from quarry.sources.incidents import ROAD_FLAGS
 
@@ -23,7 +22,6 @@ EXCLUDE = {
     "Nautical_Twilight", "Astronomical_Twilight", "Source", "Weather_Condition",
     "weather_category",
 }
-MAX_LEVELS = 100_000   # encoder classes are collected to the driver: keep them bounded
 
 
 def temporal_features(df: DataFrame, start: str = "Start_Time", end: str = "End_Time") -> DataFrame:
@@ -53,42 +51,40 @@ def build_target(df: DataFrame, threshold: int = SEVERITY_THRESHOLD) -> DataFram
     return df.withColumn("target", (F.col("Severity") >= threshold).cast("int"))
 
 
-def fit_encoders(df: DataFrame, columns: list[str] = ENCODED) -> StringIndexerModel | None:
-    """F8 fit: classes sorted ascending, code = position. NULL is encoded as
-    the text 'nan' (what the reference's text conversion produces)."""
+def _class_text(c: str) -> Column:
+    """NULL is encoded as the text 'nan' (what the reference's text conversion produces)."""
+    return F.coalesce(qcol(c).cast("string"), F.lit("nan"))
+
+
+def fit_encoders(df: DataFrame, columns: list[str] = ENCODED) -> DataFrame | None:
+    """F8 fit: (column, value, code), classes sorted ascending, code = position.
+
+    Distinct values are combined map-side and ranked in value ranges on the executors;
+    any number of classes fits. The table is written once."""
+    from quarry.sources.sinks import materialize
+
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return None
-    prepared = df.select(*[F.coalesce(qcol(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
-    # Class lists are collected by the fit: check their size first (HyperLogLog, bounded memory).
-    approx = prepared.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    too_many = {c: approx[c] for c in cols if approx[c] > MAX_LEVELS}
-    if too_many:
-        raise ValueError(f"too many classes to encode {too_many} (MAX_LEVELS={MAX_LEVELS})")
-    model = StringIndexer(inputCols=cols, outputCols=[c + "_enc" for c in cols],
-                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(prepared)
-    return model
-
-
-def apply_encoders(df: DataFrame, model: StringIndexerModel | None) -> DataFrame:
-    """F8 transform: adds ``<col>_enc`` int columns (unseen classes → class count)."""
-    if model is None:
-        return df
-    cols = model.getInputCols()
-    tmp = {c: f"__enc_in_{i}" for i, c in enumerate(cols)}
-    staged = df.select("*", *[F.coalesce(qcol(c).cast("string"), F.lit("nan")).alias(tmp[c]) for c in cols])
-    m = model.copy()
-    m.setInputCols([tmp[c] for c in cols])
-    out = m.transform(staged)
-    for c in cols:
-        out = out.withColumn(c + "_enc", F.col(c + "_enc").cast("int"))
-    return out.drop(*tmp.values())
+    long = to_long(df.select(*[_class_text(c).alias(c) for c in cols]), cols, cast="string", value="value")
+    classes = ranged(long.distinct().withColumn("one", F.lit(1)), ["column"], "value")
+    ranked = running_totals(classes, ["column"], "value", ["one"], F.col("_range"))
+    return materialize(ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code")), "classes")
 
 
-def encoder_classes(model: StringIndexerModel | None) -> dict[str, list[str]]:
-    if model is None:
-        return {}
-    return {c: list(l) for c, l in zip(model.getInputCols(), model.labelsArray)}
+def apply_encoders(df: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """F8 transform: adds ``<col>_enc`` int columns (unseen classes → class count). One left join a
+    column; the planner broadcasts a class table that is small on disk."""
+    if classes is None:
+        return df
+    size = {r["column"]: r["count"] for r in classes.groupBy("column").count().collect()}  # a row per encoded column
+    out = df
+    for c in [c for c in ENCODED if c in size] + sorted(set(size) - set(ENCODED)):
+        enc = c + "_enc"
+        codes = classes.where(F.col("column") == c).select(F.col("value").alias("_class"), F.col("code").alias(enc))
+        out = out.drop(enc).join(codes, _class_text(c) == F.col("_class"), "left").drop("_class")
+        out = out.withColumn(enc, F.coalesce(enc, F.lit(size[c])).cast("int"))
+    return out
 
 
 def select_features(df: DataFrame) -> list[str]:
@@ -107,7 +103,7 @@ def derive(df: DataFrame, threshold: int = SEVERITY_THRESHOLD) -> DataFrame:
 
 
 def build_features(df: DataFrame, threshold: int = SEVERITY_THRESHOLD,
-                   encoders: StringIndexerModel | None = None):
+                   encoders: DataFrame | None = None):
     """F1→F5→F7→F8→F9, returns (table, encoders, feature list)."""
     out = derive(df, threshold)
     if encoders is None:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import column_modes_df, exact_quantiles, qcol
+from quarry.functions.stats import column_modes_df, exact_quantiles, qcol, to_long
 from quarry.functions.text import standardise
 from quarry.operators import clean as C
 from quarry.plans.catalog import register
 from quarry.plans.oracle_base import CAP, over_cleaned, over_raw, q
-from quarry.plans.stages import cleaned, raw
+from quarry.plans.stages import cleaned, filtered, raw
 
 
 
@@ -17,10 +17,7 @@ from quarry.plans.stages import cleaned, raw
     "SELECT ID, min(_order) AS _order, count(*) AS copies FROM raw GROUP BY ID"))
 def dedup(spark, sf_dir):
     """Surviving source row per ID (first in source order) and copy count."""
-    r = raw(spark, sf_dir)
-    first = C.dedup(r, keep_order=True).select("ID", "_order")
-    copies = r.groupBy("ID").agg(F.count(F.lit(1)).alias("copies"))
-    return first.join(copies, "ID")
+    return raw(spark, sf_dir).groupBy("ID").agg(F.min("_order").alias("_order"), F.count(F.lit(1)).alias("copies"))
 
 
 _MEDIAN_COLS = ["Temperature(F)", "Visibility(mi)", "Precipitation(in)"]
@@ -34,7 +31,7 @@ _MODE_COLS = ["Street", "Timezone", "Weather_Condition"]
        f"ORDER BY count(*) DESC, {q(c)} LIMIT 1)" for c in _MODE_COLS])))
 def impute(spark, sf_dir):
     """The median (numeric) and mode (text) each NULL is replaced by."""
-    d, _ = C.filtered(raw(spark, sf_dir))
+    d, _ = filtered(spark, sf_dir)
     med = exact_quantiles(d, _MEDIAN_COLS, [0.5]).select(
         "column", F.round("value", 6).cast("string").alias("fill_value"))
     modes = column_modes_df(d, _MODE_COLS).select("column", F.col("mode").alias("fill_value"))
@@ -52,14 +49,13 @@ def impute(spark, sf_dir):
     for i, c in enumerate(CAP))))
 def iqr_cap(spark, sf_dir):
     """Quartiles, capping bounds (factor 3) and the number of values capped."""
-    d, _ = C.filtered(raw(spark, sf_dir))
+    d, _ = filtered(spark, sf_dir)
     qs = exact_quantiles(d, CAP, [0.25, 0.75])
     b = qs.groupBy("column").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
     b = b.withColumn("lower", F.col("q1") - C.IQR_FACTOR * (F.col("q3") - F.col("q1"))) \
          .withColumn("upper", F.col("q3") + C.IQR_FACTOR * (F.col("q3") - F.col("q1")))
-    from quarry.functions.stats import to_long
     long = to_long(d, CAP)
     capped = long.join(F.broadcast(b.select("column", "lower", "upper")), "column") \
         .groupBy("column").agg(F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))
@@ -81,14 +77,9 @@ _TITLE_COLS = ["City", "Street", "Weather_Condition", "County"]
     f"FROM raw WHERE {q(c)} IS NOT NULL" for c in _TITLE_COLS)))
 def title_case(spark, sf_dir):
     """Every distinct raw text and its standardised form."""
-    r = raw(spark, sf_dir)
-    parts = [r.where(qcol(c).isNotNull()).select(F.lit(c).alias("column"), qcol(c).alias("raw_value"),
-                                                 standardise(qcol(c)).alias("clean_value")).distinct()
-             for c in _TITLE_COLS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    texts = to_long(raw(spark, sf_dir), _TITLE_COLS, cast="string", value="raw_value").where(
+        F.col("raw_value").isNotNull()).distinct()
+    return texts.select("column", "raw_value", standardise(F.col("raw_value")).alias("clean_value"))
 
 
 _CLEAN_COLS = ["ID", "Severity", "Start_Lat", "Start_Lng", *CAP, "City", "Street", "Weather_Condition",

@@ -38,13 +38,10 @@ def road_features(spark, sf_dir):
     for c in ENCODED)))
 def label_encode(spark, sf_dir):
     """F8: class list and code of every encoded column."""
-    df, enc, _ = processed_with_meta(spark, sf_dir)
-    parts = [df.select(F.lit(c).alias("column"), F.coalesce(qcol(c), F.lit("nan")).alias("value"),
-                       F.col(c + "_enc").alias("code")).distinct() for c in ENCODED]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    df, _, _ = processed_with_meta(spark, sf_dir)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(qcol(c), F.lit("nan")).alias("value"),
+                               F.col(c + "_enc").alias("code")) for c in ENCODED])
+    return df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
 # Fixed: the feature list P7 yields on the processed table (checked in tests).

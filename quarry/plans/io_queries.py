@@ -101,16 +101,7 @@ def _meta_oracle() -> str:
 
 @register("feature_metadata", _meta_oracle())
 def feature_metadata(spark, sf_dir):
-    """Feature list and encoder classes written as JSON and read back."""
-    from quarry.operators.features import encoder_classes
-    df, enc, feats = processed_with_meta(spark, sf_dir)
+    """Feature list and encoder classes written as JSON lines and read back."""
+    _, classes, feats = processed_with_meta(spark, sf_dir)
     path = stage_path(spark, "metadata", f"features-{uuid.uuid4().hex}")
-    sinks.write_metadata(spark, path, {"features": feats, "label_encoders": encoder_classes(enc),
-                                       "target": "target"})
-    schema = "features array<string>, label_encoders map<string, array<string>>, target string"
-    meta = spark.read.text(path).select(F.from_json("value", schema).alias("m"))
-    f = meta.select(F.posexplode("m.features").alias("position", "name")).select(
-        F.lit("feature").alias("kind"), F.lit("").alias("column"), "name", "position")
-    c = meta.select(F.explode("m.label_encoders").alias("column", "classes")).select(
-        F.lit("class").alias("kind"), "column", F.posexplode("classes").alias("position", "name"))
-    return f.unionByName(c.select("kind", "column", "name", "position"))
+    return sinks.read_metadata(spark, sinks.write_metadata(feats, classes, path))

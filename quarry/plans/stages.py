@@ -13,7 +13,8 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators.clean import clean
+from quarry.operators.clean import filtered as filter_rows
+from quarry.operators.clean import finish
 from quarry.operators.features import build_features
 from quarry.session import stage_path
 from quarry.sources.incidents import incidents
@@ -42,28 +43,35 @@ def _tag(sf_dir: str) -> str:
     return hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:10]
 
 
+def filtered(spark: SparkSession, sf_dir: str):
+    """(de-duplicated and validated incidents, NULL fractions), de-duplicated once per session."""
+    k = _key(spark, sf_dir, "filtered")
+    with _lock:
+        if k not in _cache:
+            _cache[k] = filter_rows(raw(spark, sf_dir), materialize_as="filtered")
+    return _cache[k]
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "cleaned")
     with _lock:
         if k not in _cache:
             path = stage_path(spark, f"cleaned-{_tag(sf_dir)}")
-            clean(raw(spark, sf_dir)).write.mode("overwrite").parquet(path)
+            finish(*filtered(spark, sf_dir)).write.mode("overwrite").parquet(path)
             _cache[k] = (path,)
     return spark.read.parquet(_cache[k][0])
 
 
 def processed_with_meta(spark: SparkSession, sf_dir: str):
-    """(processed DataFrame, fitted encoders, feature list)."""
+    """(processed DataFrame, encoder classes, feature list)."""
     k = _key(spark, sf_dir, "processed")
     with _lock:
-        hit = _cache.get(k)
-    if hit is None:
-        table, enc, feats = build_features(cleaned(spark, sf_dir))
-        path = stage_path(spark, f"processed-{_tag(sf_dir)}")
-        table.write.mode("overwrite").parquet(path)
-        hit = (path, enc, feats)
-        with _lock:
-            _cache[k] = hit
+        if k not in _cache:
+            table, enc, feats = build_features(cleaned(spark, sf_dir))
+            path = stage_path(spark, f"processed-{_tag(sf_dir)}")
+            table.write.mode("overwrite").parquet(path)
+            _cache[k] = (path, enc, feats)
+        hit = _cache[k]
     return spark.read.parquet(hit[0]), hit[1], hit[2]
 
 

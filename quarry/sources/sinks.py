@@ -32,17 +32,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_metadata(spark: SparkSession, path: str, record: dict) -> str:
-    """Small metadata record (feature list, class lists) as one JSON line."""
-    import json
-    spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(path)
+METADATA_SCHEMA = "kind string, column string, name string, position int"
+
+
+def write_metadata(features: list[str], classes: DataFrame, path: str) -> str:
+    """The feature list and the encoder classes (column, value, code) as JSON lines."""
+    listed = classes.sparkSession.range(1).select(
+        F.lit("feature").alias("kind"), F.lit("").alias("column"),
+        F.posexplode(F.array(*[F.lit(f) for f in features])).alias("position", "name"))
+    known = classes.select(F.lit("class").alias("kind"), "column", F.col("value").alias("name"), F.col("code").alias("position"))
+    listed.unionByName(known).write.json(path)
     return path
 
 
-def read_metadata(spark: SparkSession, path: str) -> dict:
-    import json
-    return json.loads(spark.read.text(path).first()["value"])
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METADATA_SCHEMA).json(path)
 
 
 # Fixed result schemas (the reference keeps these as relational tables).
