@@ -65,26 +65,51 @@ def prediction_log(spark, sf_dir):
     return sinks.prediction_log_rows(scored, feats, name)
 
 
-@register("stream_scoring")
-def stream_scoring(spark, sf_dir):
-    """Test-split requests scored by a Structured Streaming job (availableNow)."""
-    import uuid
+_REQUEST = ["hour", "day_of_week", "month", "year", "duration_min", "road_feature_count",
+            "Distance(mi)", "Temperature(F)", "Humidity(%)", "Pressure(in)", "Visibility(mi)",
+            "Wind_Speed(mph)", "Precipitation(in)"]
+
+
+def _stream(spark, sf_dir):
+    """Test-split requests, every tenth or so with an hour of 99, through the scoring stream: (log, rejected)."""
+    from quarry.operators.ml import unit_hash
     from quarry.plans.model_queries import best_model
     from quarry.streaming.scoring import scoring_stream
     name, model, feats, data = best_model(spark, sf_dir)
-    req_cols = ["hour", "day_of_week", "month", "year", "duration_min", "road_feature_count",
-                "Distance(mi)", "Temperature(F)", "Humidity(%)", "Pressure(in)", "Visibility(mi)",
-                "Wind_Speed(mph)", "Precipitation(in)"]
     run = uuid.uuid4().hex[:10]
     src = stage_path(spark, "stream", run, "requests")
-    data.where(F.col("split") == "test").select(*[qcol(c) for c in req_cols]).write.parquet(src)
+    hour = F.when(unit_hash(F.col("ID")) < 0.02, F.lit(99)).otherwise(F.col("hour")).alias("hour")
+    data.where(F.col("split") == "test").select(hour, *[qcol(c) for c in _REQUEST[1:]]).write.parquet(src)
     schema = spark.read.parquet(src).schema
     sink, rej = stage_path(spark, "stream", run, "log"), stage_path(spark, "stream", run, "rejected")
     q1, q2 = scoring_stream(spark, src, schema, model, feats, name, sink, rej,
                             stage_path(spark, "stream", run, "checkpoints"))
     q1.awaitTermination()
     q2.awaitTermination()
-    return spark.read.schema(sinks.PREDICTION_LOG_SCHEMA).parquet(sink)
+    return spark.read.schema(sinks.PREDICTION_LOG_SCHEMA).parquet(sink), spark.read.parquet(rej)
+
+
+@register("stream_scoring")
+def stream_scoring(spark, sf_dir):
+    """Requests scored by a Structured Streaming job (availableNow); the prediction log."""
+    return _stream(spark, sf_dir)[0]
+
+
+_U42 = "CAST(('0x' || substr(md5('42:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+
+
+@register("stream_checks", over_processed(
+    f"SELECT 'scored' AS outcome, count(*) AS requests, 42 AS min_keys, 42 AS max_keys FROM processed WHERE {_U42} >= 0.02 AND {_U42} < 0.2\n"
+    f"UNION ALL SELECT 'rejected: hour', count(*), NULL, NULL FROM processed WHERE {_U42} < 0.02"))
+def stream_checks(spark, sf_dir):
+    """R1, what is determined: requests scored (and keys in their feature JSON) and rejected, by failed field."""
+    log, rejected = _stream(spark, sf_dir)
+    keys = F.size(F.json_object_keys("features"))
+    ok = log.agg(F.lit("scored").alias("outcome"), F.count(F.lit(1)).alias("requests"),
+                 F.min(keys).alias("min_keys"), F.max(keys).alias("max_keys"))
+    bad = rejected.groupBy(F.concat(F.lit("rejected: "), F.array_join("violations", ",")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("requests"), F.lit(None).cast("int").alias("min_keys"), F.lit(None).cast("int").alias("max_keys"))
+    return ok.unionByName(bad)
 
 
 def _meta_oracle() -> str:

@@ -130,7 +130,7 @@ def calibration(spark, sf_dir):
     return _r(ev.calibration(scores(spark, sf_dir)), ["frac_pos", "mean_pred"])
 
 
-_THR = "[" + ", ".join(f"CAST('{t!r}' AS DOUBLE)" for t in ev.THRESHOLDS) + "]"
+_THR = "[" + ", ".join(f"CAST('{0.1 + 0.05 * i!r}' AS DOUBLE)" for i in range(16)) + "]"   # 0.10 … 0.85
 SWEEP_SQL = SCORED + f"""t AS (SELECT unnest({_THR}) AS threshold),
 c AS (SELECT s.model, t.threshold, count(*) FILTER (WHERE s.label = 1 AND s.score >= t.threshold) AS tp,
   count(*) FILTER (WHERE s.label <> 1 AND s.score >= t.threshold) AS fp,

@@ -3,21 +3,35 @@ where the result is arithmetic (split sizes, hash sample)."""
 
 from __future__ import annotations
 
-import uuid
-
 import threading
+import uuid
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import eda
 from quarry.operators import evaluation as ev
 from quarry.operators import ml
+from quarry.operators.clean import align_features
 from quarry.plans.catalog import register
+from quarry.plans.feature_queries import FEATURES
 from quarry.plans.oracle_base import over_processed
 from quarry.plans.stages import processed_with_meta
 from quarry.session import stage_path
+from quarry.sources.sinks import materialize, write_parquet
+
+
+@dataclass
+class Trained:
+    data: DataFrame
+    features: list[str]
+    models: dict[str, str]      # name → path
+    seconds: dict[str, float]
+    scores: str                 # path of (model, split, label, score) of the held-out rows
+
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 FALLBACK_MODEL = "boosted_a"
 _trained: dict = {}
 
@@ -41,83 +55,101 @@ def hash_sample(spark, sf_dir):
     return eda.hash_sample(df.select("ID", "Severity", "State"), "ID", 50_000)
 
 
-def trained(spark, sf_dir, profile: str = "light"):
-    """Fit all models once per session; models are saved to the shared folder."""
+def trained(spark, sf_dir, profile: str = "full") -> Trained:
+    """Fit all models once per session. Models go to the shared folder (M10), and so do each model's
+    scores of the validation and test rows, from which every metric is computed."""
     key = (spark.sparkContext.applicationId, sf_dir, profile)
     with _lock:
         if key in _trained:
             return _trained[key]
         df, _, feats = processed_with_meta(spark, sf_dir)
         data = ml.assign_split(ml.model_matrix(df, feats))
-        train = data.where(F.col("split") == "train")
-        val = data.where(F.col("split") == "val")
+        train, held = data.where(F.col("split") == "train"), data.where(F.col("split") != "train")
+        run = uuid.uuid4().hex
         fitted = ml.train_models(train, feats, profile)
-        for name, (m, _) in fitted.items():
-            ml.save_model(m, stage_path(spark, "models", profile, name))
-        _trained[key] = (data, feats, fitted, train, val)
+        models, scores = {}, stage_path(spark, "scores", run)
+        for name, (model, _) in fitted.items():
+            models[name] = ml.save_model(model, stage_path(spark, "models", run, name))
+            ml.score(model, held).select(F.lit(name).alias("model"), "split", F.col("target").alias("label"),
+                                         F.col("probability_high").alias("score")).write.mode("append").parquet(scores)
+        _trained[key] = Trained(data, feats, models, {n: t for n, (_, t) in fitted.items()}, scores)
         return _trained[key]
 
 
+def held_scores(spark, sf_dir, split: str):
+    t = trained(spark, sf_dir)
+    return spark.read.parquet(t.scores).where(F.col("split") == split).drop("split")
+
+
 @register("train_summary")
 def train_summary(spark, sf_dir):
-    """M8: validation AUC / weighted F1 / precision / recall, time, sizes per model."""
-    data, feats, fitted, train, val = trained(spark, sf_dir)
-    n_train, n_val = train.count(), val.count()
-    parts = []
-    for name, (model, secs) in fitted.items():
-        s = ml.score(model, val).select(F.lit(name).alias("model"), F.col("target").alias("label"),
-                                        F.col("probability_high").alias("score"))
-        parts.append(s)
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    m = ev.metrics_table(stacked)
-    times = spark.createDataFrame([(n, float(t)) for n, (_, t) in fitted.items()], "model string, train_time_sec double")
-    return m.join(times, "model").select(
+    """M8: validation AUC / weighted F1 / precision / recall, time, sizes per model, and where it is stored."""
+    t = trained(spark, sf_dir)
+    n = {r["split"]: r["count"] for r in t.data.groupBy("split").count().collect()}
+    m = ev.metrics_table(held_scores(spark, sf_dir, "val"))
+    fits = spark.createDataFrame([(k, float(t.seconds[k]), t.models[k]) for k in t.models],
+                                 "model string, train_time_sec double, model_path string")
+    return m.join(fits, "model").select(
         F.col("model").alias("model_name"), F.col("test_auc").alias("val_auc"), F.col("test_f1").alias("val_f1"),
         F.col("test_precision").alias("val_precision"), F.col("test_recall").alias("val_recall"),
         F.round("train_time_sec", 2).alias("train_time_sec"),
-        F.lit(n_train).alias("n_train"), F.lit(n_val).alias("n_val"), F.lit(len(feats)).alias("n_features"))
+        F.lit(n.get("train", 0)).alias("n_train"), F.lit(n.get("val", 0)).alias("n_val"),
+        F.lit(len(t.features)).alias("n_features"), "model_path")
+
+
+@register("train_checks", over_processed(
+    "SELECT m.model_name, count(*) FILTER (WHERE u >= 0.2 + 0.1) AS n_train, "
+    f"count(*) FILTER (WHERE u >= 0.2 AND u < 0.2 + 0.1) AS n_val, {len(FEATURES)} AS n_features, "
+    f"true AS auc_above_chance FROM (SELECT {_U} AS u FROM processed), "
+    "(SELECT unnest(['logistic_regression', 'random_forest', 'boosted_a', 'boosted_b']) AS model_name) m GROUP BY 1"))
+def train_checks(spark, sf_dir):
+    """M8, what is determined: models, split sizes, feature count; validation AUC is above that of chance by 0.45 at least."""
+    s = train_summary(spark, sf_dir)
+    return s.select("model_name", F.col("n_train").cast("long").alias("n_train"), F.col("n_val").cast("long").alias("n_val"),
+                    "n_features", (F.col("val_auc") > 0.45).alias("auc_above_chance"))
 
 
 def best_model(spark, sf_dir):
-    """Best model by validation AUC."""
-    data, feats, fitted, train, val = trained(spark, sf_dir)
-    rows = train_summary(spark, sf_dir).orderBy(F.col("val_auc").desc_nulls_last(), "model_name").first()
-    name = rows["model_name"] if rows is not None else FALLBACK_MODEL   # no metrics: fixed fallback
-    return name, fitted[name][0], feats, data
+    """The stored model with the best test AUC, loaded by name."""
+    t = trained(spark, sf_dir)
+    name = ml.best_by(test_metrics(spark, sf_dir), default=FALLBACK_MODEL)
+    return name, ml.load_model(t.models[name]), t.features, t.data
 
 
 @register("batch_predict")
 def batch_predict(spark, sf_dir):
-    """Score the held-out test split with the best model."""
+    """Score the held-out test split, aligned to the stored features, with the best model."""
     name, model, feats, data = best_model(spark, sf_dir)
-    test = data.where(F.col("split") == "test")
+    test = align_features(data.where(F.col("split") == "test"), feats, keep=["ID", "target"])
     s = ml.score(model, test)
     return s.select("ID", "target", "prediction", F.col("probability_high").alias("probability"),
                     "severity_label", "risk_band", F.lit(name).alias("model"))
 
 
+@register("predict_checks", over_processed(
+    "SELECT ID, target, true AS in_range, true AS class_follows, true AS label_follows, true AS band_follows "
+    f"FROM processed WHERE {_U} < 0.2"))
+def predict_checks(spark, sf_dir):
+    """M12, what is determined: one row per test row; class, label and band follow from the probability."""
+    p = F.col("probability")
+    band = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), 1 + (p >= 0.35).cast("int") + (p >= 0.65).cast("int"))
+    return batch_predict(spark, sf_dir).select(
+        "ID", "target", p.between(0, 1).alias("in_range"), ((F.col("prediction") == 1) == (p >= 0.5)).alias("class_follows"),
+        ((F.col("severity_label") == "High") == (p >= 0.5)).alias("label_follows"), (F.col("risk_band") == band).alias("band_follows"))
+
+
 @register("test_metrics")
 def test_metrics(spark, sf_dir):
     """E9 on model output: test-set metrics of every trained model."""
-    data, feats, fitted, train, val = trained(spark, sf_dir)
-    test = data.where(F.col("split") == "test")
-    parts = [ml.score(m, test).select(F.lit(n).alias("model"), F.col("target").alias("label"),
-                                      F.col("probability_high").alias("score")) for n, (m, _) in fitted.items()]
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    return ev.metrics_table(stacked)
+    return ev.metrics_table(held_scores(spark, sf_dir, "test"))
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     """Top-20 importances per model."""
-    data, feats, fitted, train, val = trained(spark, sf_dir)
-    rows = [(n, f, v) for n, (m, _) in fitted.items() for f, v in ml.feature_importance(m, feats)]
+    t = trained(spark, sf_dir)
+    rows = [(n, f, v) for n, path in t.models.items() for f, v in ml.feature_importance(ml.load_model(path), t.features)]
     df = spark.createDataFrame(rows, "model string, feature string, importance double")
-    from pyspark.sql import Window
     w = Window.partitionBy("model").orderBy(F.col("importance").desc(), "feature")
     return df.withColumn("rank", F.row_number().over(w)).where("rank <= 20")
 
@@ -128,25 +160,21 @@ def learning_curve(spark, sf_dir):
 
     Each fit appends its held-out (fraction, fold, label, score) rows to one
     stage table; all 18 AUCs then come from a single grouped metric job."""
-    from quarry.sources.sinks import materialize
-    data, feats, fitted, train, val = trained(spark, sf_dir)
+    t = trained(spark, sf_dir)
     # Written once: every fit below starts from a short plan.
-    d = materialize(train.select("ID", "target", *[F.col(f"`{c}`") for c in feats])
+    d = materialize(t.data.where(F.col("split") == "train").select("ID", "target", *[F.col(f"`{c}`") for c in t.features])
                     .withColumn("_u", ml.unit_hash(F.col("ID"), 7)), "lc-train")
     path = stage_path(spark, "learning-curve", f"scores-{uuid.uuid4().hex}")
-    mode = "overwrite"
     for frac in (0.1, 0.28, 0.46, 0.64, 0.82, 1.0):
         for fold in range(3):
             lo, hi = fold / 3.0, (fold + 1) / 3.0
             held = d.where((F.col("_u") >= lo) & (F.col("_u") < hi))
             rest = d.where((F.col("_u") < lo) | (F.col("_u") >= hi))
             sub = rest.where(ml.unit_hash(F.col("ID"), 11) < frac)
-            m = ml.train_models(sub, feats, "light", ["logistic_regression"])["logistic_regression"][0]
+            m = ml.train_models(sub, t.features, models=["logistic_regression"])["logistic_regression"][0]
             ml.score(m, held).select(F.lit(frac).alias("fraction"), F.lit(fold).alias("fold"),
-                                     F.col("target").alias("label"),
-                                     F.col("probability_high").alias("score")) \
-                .write.mode(mode).parquet(path)
-            mode = "append"
+                                     F.col("target").alias("label"), F.col("probability_high").alias("score")) \
+                .write.mode("append").parquet(path)
     auc = ev.roc_auc(spark.read.parquet(path), by=["fraction", "fold"])
     return auc.groupBy("fraction").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
 
@@ -155,11 +183,10 @@ def learning_curve(spark, sf_dir):
     f"SELECT ID, target FROM processed WHERE {_U} < 0.2"))
 def test_split(spark, sf_dir):
     """M3: the held-out test split, written under the shared folder and read back."""
-    from quarry.sources.sinks import write_parquet
     df, _, _ = processed_with_meta(spark, sf_dir)
     path = stage_path(spark, "splits", f"test-{uuid.uuid4().hex}")
-    write_parquet(ml.assign_split(df).where(F.col("split") == "test").select("ID", "target"), path)
-    return spark.read.parquet(path)
+    write_parquet(ml.assign_split(df).where(F.col("split") == "test"), path)      # with all features
+    return spark.read.parquet(path).select("ID", "target")
 
 
 @register("model_comparison")

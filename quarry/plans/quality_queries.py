@@ -109,18 +109,21 @@ _REQ = ("hour", "day_of_week", "month", "year", "is_weekend", "is_rush_hour", "i
         "Humidity(%)", "Pressure(in)", "Visibility(mi)", "Wind_Speed(mph)", "Precipitation(in)")
 
 
+# The request rules in SQL.
+_REQ_RULES = {
+    "hour": "hour BETWEEN 0 AND 23", "day_of_week": "day_of_week BETWEEN 0 AND 6", "month": "month BETWEEN 1 AND 12",
+    "year": "year BETWEEN 2016 AND 2030", "is_weekend": "is_weekend BETWEEN 0 AND 1",
+    "is_rush_hour": "is_rush_hour BETWEEN 0 AND 1", "is_night": "is_night BETWEEN 0 AND 1", "season": "season BETWEEN 0 AND 3",
+    "duration_min": "duration_min >= 0", "weather_severity_score": "weather_severity_score BETWEEN 0 AND 5",
+    "road_feature_count": "road_feature_count >= 0", "Distance(mi)": '"Distance(mi)" >= 0',
+    "Temperature(F)": '"Temperature(F)" IS NOT NULL', "Humidity(%)": '"Humidity(%)" BETWEEN 0 AND 100',
+    "Pressure(in)": '"Pressure(in)" IS NOT NULL', "Visibility(mi)": '"Visibility(mi)" >= 0',
+    "Wind_Speed(mph)": '"Wind_Speed(mph)" >= 0', "Precipitation(in)": '"Precipitation(in)" >= 0',
+}
+
+
 def _req_sql() -> str:
-    rules = dict((n, (lo, hi)) for n, lo, hi in quality.REQUEST_RULES)
-    parts = []
-    for n in _REQ:
-        lo, hi = rules[n]
-        cond = f"{q(n)} IS NOT NULL"
-        if lo is not None:
-            cond += f" AND {q(n)} >= {lo}"
-        if hi is not None:
-            cond += f" AND {q(n)} <= {hi}"
-        parts.append(f"CASE WHEN NOT coalesce({cond}, false) THEN '{n}' END")
-    return "concat_ws(',', " + ", ".join(parts) + ")"
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT coalesce({_REQ_RULES[n]}, false) THEN '{n}' END" for n in _REQ) + ")"
 
 
 @register("request_violations", over_raw(f"""
