@@ -66,11 +66,11 @@ def spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: its bytes are taken eight at a time."""
+    """64-bit hash of each word, also of an empty one: its bytes are taken eight at a time."""
     if len(start) == 0:
         return np.zeros(0, np.uint64)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(buf),), "<u8", padded.data, 0, (1,))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
     size = end - start
     h = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _P)
     done, more = 8, np.flatnonzero(size > 8)
