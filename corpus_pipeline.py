@@ -23,8 +23,10 @@ MAX_BITS = 9.0
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language. Texts that are null, have no letter, or fit no language go."""
     model = langid.train(docs.where(F.col("lang").isNotNull()).select("text", "lang"))
-    out = langid.identify(docs, model, "_language")
-    return out.where((F.col("_language.lang_pred") != langid.UNDETERMINED) & (F.col("_language.bits") <= MAX_BITS)).select(*docs.columns)
+    name = graph.unused("_language", docs.columns)
+    told = F.col(name)
+    out = langid.identify(docs, model, name)
+    return out.where((told["lang_pred"] != langid.UNDETERMINED) & (told["bits"] <= MAX_BITS)).drop(name)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +38,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars follows. What loses all its words goes."""
-    out = substring.dedup_substrings(docs)
-    gone = F.col("dedup.n_removed")
-    left = out.where((gone == 0) | (gone < F.col("dedup.n_words")))
-    return left.withColumn("n_chars", F.when(gone > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    name = graph.unused("_dedup", docs.columns)
+    out = substring.dedup_substrings(docs, name=name)
+    gone = F.col(name)["n_removed"]
+    left = out.where((gone == 0) | (gone < F.col(name)["n_words"]))
+    return left.withColumn("n_chars", F.when(gone > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(name)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, in Spark."""
+"""Written tables, and connected components of an edge table, in Spark."""
 
 from __future__ import annotations
 
@@ -18,6 +18,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the smallest node of its component.
 

@@ -51,10 +51,11 @@ def _distinct(code, aligned):
     return s[at], order, at, hit
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S.SLICE_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S.SLICE_BYTES,
+                     name: str = "dedup") -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, any others), with ``text`` the kept words joined
     by one space where words were removed and unchanged elsewhere, and n_words, n_removed,
-    repeats (the word spans removed, [start, end)) in a struct column ``dedup``.
+    repeats (the word spans removed, [start, end)) in a struct column ``name``, replacing any of that name.
 
     A null text has no words and stays null. Rows of equal doc_id do not remove
     each other's words; a null doc_id counts as larger than all. Texts shorter than
@@ -192,8 +193,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
     flagged = around.groupBy("bucket").applyInArrow(earlier, "slice int, data binary")
     out = grouped.cogroup(flagged.groupBy("slice")).applyInArrow(remove, out_type)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cols = [F.col(f"_rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns]
-    return out.select(*cols, F.struct("n_words", "n_removed", "repeats").alias("dedup"))
+    cols = [F.col(f"_rest.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns if c.lower() != name.lower()]
+    return out.select(*cols, F.struct("n_words", "n_removed", "repeats").alias(name))
 
 
 def _rows(u, flag, sl: int, buckets: int) -> pa.Table:
