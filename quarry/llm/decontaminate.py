@@ -1,10 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
-The n-grams of each test item are counted over all documents; its rarer half are its seeds. A
-document position with a seed's n-gram proposes the passage around it as a copy of the item, and the
-passage is aligned with the item word by word, so edited and paraphrased copies score too.
+An alignment of an item of n words at ``threshold`` has at most B = 2n(1 - threshold) to lose: 3 for a word
+replaced or left out, 2 for one past either end, 1 for one put in. A pair of neighbours of the item meets in the
+document side by side or with one word between, unless a word of it is lost or two are put in, so at least
+n - 1 - 2B/3 pairs do meet, within n + B words. Half of so many pairs, those most frequent over all documents,
+are left out; passages in which the others meet often enough are aligned with the item word by
+word. By this count no alignment at a threshold above 1/4 is lost, however the copy was edited.
 
-On Spark: the test set is taken in blocks of at most BLOCK_BYTES of text; a block's n-grams are
+On Spark: the test set is taken in blocks of at most BLOCK_BYTES of text; a block's pairs are
 broadcast and every document is read against them where it lies, without a shuffle of documents.
 A test set of any size is processed, in as many blocks as it needs.
 """
@@ -20,11 +23,13 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-GRAM = 4
+LEAST = 4  # words of an item
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5  # of the best alignment's score, as a share of the item's own
 BLOCK_BYTES = 8 << 20
 _CHUNK = 2 << 20
+_HITS = 4 << 20  # of a group of texts, or one text
+_Q = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _fold_table() -> np.ndarray:
@@ -54,16 +59,21 @@ def normal_words(col):
         i = j
 
 
+def pairs(h: np.ndarray, step: int) -> np.ndarray:
+    """Hash of each word and the one ``step`` further."""
+    return W.mix(h[:-step] * _Q + h[step:])
+
+
 class Items:
-    """Test items: word hashes, and each n-gram's occurrences by a table of distinct n-grams."""
+    """Test items: word hashes, and each pair's occurrences by a table of distinct pairs."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, threshold: float):
         self.ids, self.words, grams, item, at = ids, [], [], [], []
         for i0, first, h in normal_words(pa.array(texts, pa.string())):
             for k in range(len(first) - 1):
                 w = h[first[k]:first[k + 1]]
                 self.words.append(w)
-                g = W.grams(w, GRAM)
+                g = pairs(w, 1) if len(w) >= LEAST else w[:0]
                 grams.append(g)
                 item.append(np.full(len(g), i0 + k))
                 at.append(np.arange(len(g)))
@@ -71,6 +81,11 @@ class Items:
         self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.item = np.concatenate(item) if item else empty
         self.at = np.concatenate(at) if at else empty
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        lose = MATCH * self.size * (1 - threshold)
+        self.slack = np.ceil(lose).astype(np.int64) + 1
+        self.least = np.maximum(1, np.ceil(self.size - 1 - lose * 2 / 3 - 1e-9)).astype(np.int64)
+        self.need = self.least
         self.index(np.ones(len(self.gram), bool))
 
     def index(self, use: np.ndarray) -> None:
@@ -86,14 +101,15 @@ class Items:
         table.add(self.seed, 0)
         return table
 
-    def rare(self, counts: dict[int, int]) -> None:
-        """Keep the rarer half of each item's n-grams, ties to the earlier ones."""
+    def leave_out(self, counts: dict[int, int]) -> None:
+        """Leave out each item's most frequent pairs, half as many as must meet, and need so many fewer."""
         n = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)])
-        order = np.lexsort((self.at, n, self.item))
+        order = np.lexsort((self.at, -n, self.item))
         size = np.bincount(self.item, minlength=len(self.ids))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        self.index(rank < -(-size[self.item] // 2))
+        self.need = self.least - self.least // 2
+        self.index(rank >= (self.least // 2)[self.item])
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -112,23 +128,51 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def hits(table: W.Table, first: np.ndarray, h: np.ndarray):
+    """(position, row) of all pairs in the table, side by side or with one word between, by position."""
+    doc = W.doc_of(first)
+    at, rows = [], []
+    for step in (1, 2):
+        row = table.find(pairs(h, step))
+        at.append(np.flatnonzero((row >= 0) & (doc[:-step] == doc[step:])))
+        rows.append(row[at[-1]])
+    at, rows = np.concatenate(at), np.concatenate(rows)
+    order = np.argsort(at, kind="stable")
+    return at[order], rows[order]
+
+
 def passages(items: Items, table: W.Table, first: np.ndarray, h: np.ndarray):
-    """Yield (text, item, start, end): word ranges of texts that a seed proposes as copies of items."""
+    """Yield (text, item, start, end): word ranges of texts in which as many seeds of an item meet as a copy needs."""
     doc = W.doc_of(first)
-    row = table.find(W.grams(h, GRAM))
-    at = np.flatnonzero((row >= 0) & W.inside(doc, GRAM))
-    if not len(at):
-        return
-    n = items.cut[row[at] + 1] - items.cut[row[at]]
-    occ = items.where[np.repeat(items.cut[row[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    at, row = hits(table, first, h)
+    n = items.cut[row + 1] - items.cut[row]
+    total = np.cumsum(n)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + _HITS, side="right")))
+        if j < len(at):
+            border = int(np.searchsorted(at, first[doc[at[j]]]))
+            j = border if border > i else int(np.searchsorted(at, first[doc[at[j]] + 1]))
+        yield from _passages(items, doc, first, at[i:j], row[i:j])
+        i = j
+
+
+def _passages(items: Items, doc: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray):
+    n = items.cut[row + 1] - items.cut[row]
+    occ = items.where[np.repeat(items.cut[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     at = np.repeat(at, n)
-    size = np.array([len(w) for w in items.words])[items.item[occ]]
-    slack = size // 2 + 2
-    lo = np.maximum(first[doc[at]], at - items.at[occ] - slack)
-    hi = np.minimum(first[doc[at] + 1], at - items.at[occ] + size + slack)
-    order = np.lexsort((lo, items.item[occ], doc[at]))
-    key = doc[at][order].astype(np.int64) * len(items.ids) + items.item[occ][order]
-    lo, hi = lo[order], hi[order]
+    key = doc[at].astype(np.int64) * len(items.ids) + items.item[occ]
+    order = np.lexsort((at, key))
+    key, at, occ = key[order], at[order], occ[order]
+    of = items.item[occ]
+    last = np.arange(len(key)) + items.need[of] - 1
+    end = np.minimum(last, len(key) - 1)
+    good = np.flatnonzero((last < len(key)) & (key[end] == key) & (at[end] - at < items.size[of] + items.slack[of]))
+    key, at, occ, of = key[good], at[good], occ[good], of[good]
+    lo = np.maximum(first[doc[at]], at - items.at[occ] - items.slack[of])
+    hi = np.minimum(first[doc[at] + 1], at - items.at[occ] + items.size[of] + items.slack[of])
+    order = np.lexsort((lo, key))
+    key, lo, hi = key[order], lo[order], hi[order]
     i = 0
     while i < len(key):
         j, end = i + 1, hi[i]
@@ -151,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     scores at least ``threshold`` of the item's own score, once, with the doc's word range that was
     aligned up to the best alignment's end.
 
-    Items of fewer than GRAM words, null and empty texts match nothing. Rows of equal doc_id are judged
+    Items of fewer than LEAST words, null and empty texts match nothing. Rows of equal doc_id are judged
     one by one; equal items are reported each. Only doc_id and text are read.
     """
     spark = docs.sparkSession
@@ -160,12 +204,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     found = []
     for block in _blocks(benchmark, block_bytes):
         rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        items = Items([r[0] for r in rows], [r[1] for r in rows])
+        items = Items([r[0] for r in rows], [r[1] for r in rows], threshold)
         if not len(items.gram):
             continue
         shared = spark.sparkContext.broadcast(items)
         counts = texts.select("text").mapInArrow(_counter(shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        items.rare({r["gram"]: r["n"] for r in counts})
+        items.leave_out({r["gram"]: r["n"] for r in counts})
         found.append(texts.mapInArrow(_finder(spark.sparkContext.broadcast(items), threshold), schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
@@ -176,9 +220,7 @@ def _counter(shared):
         table, n = items.open(), np.zeros(len(items.seed), np.int64)
         for b in batches:
             for _, first, h in normal_words(b.column(b.schema.get_field_index("text"))):
-                row = table.find(W.grams(h, GRAM))
-                row = row[(row >= 0) & W.inside(W.doc_of(first), GRAM)]
-                n += np.bincount(row, minlength=len(n))
+                n += np.bincount(hits(table, first, h)[1], minlength=len(n))
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(items.seed[some].view(np.int64)), "n": pa.array(n[some])})
     return run

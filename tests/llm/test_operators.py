@@ -255,6 +255,33 @@ def test_alignment_and_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_decontamination_finds_every_edited_copy(spark, exact):
+    rng = random.Random(11)
+    items = [prose(rng.randint(4, 45), rng).split() for _ in range(24)]
+
+    def edited(words, share, kinds):
+        out = []
+        for w in words:
+            kind = rng.choice(kinds) if rng.random() < share else "keep"
+            out += {"keep": [w], "swap": [prose(1, rng)], "drop": [], "add": [w, prose(1, rng)]}[kind]
+        return out
+
+    texts = [prose(30, rng).split() + edited(w, share, kinds) + prose(30, rng).split()
+             for w in items for share in (0.1, 0.15, 0.2, 0.25) for kinds in (["swap"], ["swap", "drop", "add"])]
+    for w in items:
+        texts += [[x for k, v in enumerate(w) for x in ([v, prose(1, rng)] if k % 2 else [v])], [x if k % step else "zzz" for step in (5, 7) for k, x in enumerate(w)],
+                  [x for v in w for x in (v, "zzz")][:-1]]
+    texts += items if exact else []
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    number = {w: i for i, w in enumerate({w for t in texts + items for w in t})}
+    code = lambda t: np.array([number[w] for w in t], np.int64)
+    share = {(d, i): decontaminate.align(code(w), code(t))[0] / (2 * len(w)) for d, t in enumerate(texts) for i, w in enumerate(items)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {k: s for k, s in share.items() if s >= decontaminate.THRESHOLD}
+
+
 def test_language_model(spark, docs, empty):
     learn = F.col("doc_id") % 3 != 0
     texts = {d: [w.translate({i: i + 32 for i in range(65, 91)}) for w in split(t)] + ["\0"] for d, t, *_ in corpus()}
