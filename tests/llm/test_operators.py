@@ -377,3 +377,23 @@ def test_licences(spark, docs):
     rows = [(i, prose(30) + "\n" + t + "\n" + prose(200)) for i, t in enumerate(lines)] + [(100 + i, prose(50) + "\nthe rights of the work\n") for i in range(40)] + [(900, None), (901, "")]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(i, 1, f) for i, f in enumerate(lines.values())}
+
+
+def test_wrapped_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    rng = random.Random(5)
+    text = lambda n: "\n".join(prose(9, rng) for _ in range(n))
+    comment = "\r\n".join(" * " + x for x in gpl.split("\n"))
+    texts = {1: bsd, 2: gpl, 3: text(2) + "\n" + bsd + "\n" + text(3), 4: text(12) + "\n\n" + gpl + "\n\n" + text(2), 5: prose(150, rng) + "\n" + comment,
+             6: bsd + "\n" + bsd, 7: bsd.replace("\n", " ") + "\n" + bsd, 8: bsd.replace("\n", "\n\n"), 9: text(30), 10: "Released under\nthe MIT License."}
+    for i in range(8):
+        texts[20 + i] = text(i) + "\n" + bsd + "\n\n" + text(i) + "\n" + gpl
+    rows = [*texts.items(), *[(100 + i, prose(50, rng) + "\nthe rights of the work\n") for i in range(40)]]
+    want = {(1, 0, "bsd"), (2, 0, "gpl"), (3, 2, "bsd"), (4, 13, "gpl"), (5, 1, "gpl"), (6, 0, "bsd"), (6, 3, "bsd"), (7, 0, "bsd"), (7, 1, "bsd"), (10, 0, "mit")}
+    for i in range(8):
+        lead = max(1, i)
+        want |= {(20 + i, lead, "bsd"), (20 + i, lead + 4 + max(1, i), "gpl")}
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == want
