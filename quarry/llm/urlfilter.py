@@ -1,7 +1,7 @@
 """URL filters by rules, and by link-graph propagation where no rule decides.
 
-Hosts that are mostly allowed (blocked) by rules are trusted (blocked) seeds. Trust spreads from
-trusted seeds along links between hosts, distrust from blocked seeds against them, both as
+Every host with pages that rules allow (block) is a seed of trust (distrust), weighted by the share of
+such pages among its own. Trust spreads along links between hosts, distrust against them, both as
 personalised PageRank. A host whose share of all distrust exceeds its share of all trust by
 MARGIN is blocked.
 
@@ -20,7 +20,6 @@ DAMPING = 0.85
 ROUNDS = 30
 TOLERANCE = 1e-7
 MARGIN = 0.0
-SEED_SHARE = 0.5  # of a host's pages that rules must allow (block) to make it a seed
 #: Links to other hosts: absolute or without a scheme.
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,8 +109,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], margin: float = MARGIN
     seen = ruled(own).groupBy("host").agg(
         F.count("*").alias("pages"), F.sum((F.coalesce(F.col("best.action") == "allow", F.lit(False))).cast("long")).alias("allowed"),
         F.sum((F.coalesce(F.col("best.action") == "block", F.lit(False))).cast("long")).alias("blocked"))
-    seeds = seen.select("host", (F.col("allowed") >= F.col("pages") * SEED_SHARE).cast("double").alias("trust"),
-                        (F.col("blocked") >= F.col("pages") * SEED_SHARE).cast("double").alias("distrust"))
+    seeds = seen.select("host", (F.col("allowed") / F.col("pages")).alias("trust"), (F.col("blocked") / F.col("pages")).alias("distrust"))
     ranks = written(propagate(host_links(pages), seeds), "ranks")
     out = ruled(own).join(ranks, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     method = F.when(F.col("distrust") > F.col("trust") + margin, F.lit("block")).otherwise(F.lit("allow"))

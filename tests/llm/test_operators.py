@@ -371,6 +371,19 @@ def test_urls_and_ranks(spark):
     assert urlfilter.judge(pages.limit(0), rules).collect() == []
 
 
+def test_hosts_with_few_ruled_pages_are_seeds(spark):
+    link = '<a href="https://{}/">t</a>'
+    rows = [(1, "http://a.example.com/de/1", "")] + [(10 + i, f"http://a.example.com/x/{i}", "") for i in range(9)]
+    rows += [(30, "http://b.org/fr/1", link.format("friend.info"))] + [(40 + i, f"http://b.org/x/{i}", "") for i in range(3)]
+    rows += [(50, "http://shady.info/", link.format("a.example.com")), (51, "http://friend.info/", ""), (52, "http://other.info/", "")]
+    rows += [(60, "http://mixed.example.com/de/1", ""), (61, "http://mixed.example.com/x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlfilter.judge(pages, [("example.com/de/", "block"), ("org/fr/", "allow")]).collect()}
+    assert {got[i].verdict for i in (1, 10, 50, 60, 61)} == {"block"} and {got[i].verdict for i in (30, 40, 51, 52)} == {"allow"}
+    assert got[40].trust > got[51].trust > 0 and got[10].distrust > got[50].distrust > 0
+    assert got[61].distrust > 4 * got[10].distrust
+
+
 def test_licences(spark, docs):
     lines = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "All rights reserved.": "proprietary",
              "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
