@@ -7,13 +7,14 @@ texts and repeats: windows of toxic texts with the largest gains train the next
 ordinary windows that gain join the ordinary body. A text's largest gains, their number and
 its number of windows are then calibrated on held-back labelled rows by a logistic fit.
 
-On Spark: a bounded sample of labelled rows trains on the driver; dictionaries (under MAX_BODY +
-TOXIC_BYTES) are broadcast; scoring is one map over the documents, whole texts.
+On Spark: a bounded number of labelled rows is drawn and written; executors read their whole texts in each
+round and send a few windows a text, and six numbers a calibration row. The first dictionaries are made of windows drawn by hash from
+whole texts. Dictionaries (a few 100 KB) are made on the driver and broadcast; scoring is one map over the documents, whole texts.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .graph import written
 
 TOXIC_ROWS = 2400  # sampled labelled rows, about; one third of each class calibrates
 ORDINARY_ROWS = 4500
-ROW_BYTES = 20_000  # of a sampled row's text
+FIRST_TOXIC, FIRST_ORDINARY = 100_000, 6_000  # windows, about, that the first dictionaries are made of
 WINDOW = 12  # words
 ORDINARY_BYTES = 150_000
 HARD_BYTES = 100_000
@@ -91,32 +93,68 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], prior: float | None = None) -> Model | None:
-    """A model from texts of both classes; None if one has none. ``prior`` is the share of toxic rows."""
-    toxic, ordinary = ([t[:ROW_BYTES] for t in sorted(x, key=lambda t: hashlib.md5(t).digest())] for x in (toxic, ordinary))
-    if not toxic or not ordinary:
+def _each(rows: DataFrame, use: dict, schema: str, run) -> list:
+    """Rows that ``run(key, text)`` gives, a tuple or None, with _toxic and key before, of rows (_toxic, key, text) whose
+    key is among ``use`` of their class; by class and key."""
+    shared = rows.sparkSession.sparkContext.broadcast(use)
+    fields = T._parse_datatype_string("_toxic int, key string, " + schema)
+
+    def go(batches):
+        use = shared.value
+        for b in batches:
+            kinds, keys = W.column(b, "_toxic").to_pylist(), W.column(b, "key").to_pylist()
+            buf, offs = W.text_buffer(W.column(b, "text"))
+            raw, out = memoryview(buf), []
+            for i, (t, k) in enumerate(zip(kinds, keys, strict=True)):
+                got = run(k, bytes(raw[offs[i]:offs[i + 1]])) if use is None or k in use[t] else None
+                if got is not None:
+                    out.append((t, k, *got))
+            yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in out], schema=arrow)
+
+    kind = {"int": pa.int32(), "string": pa.string(), "array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64())}
+    arrow = pa.schema([(f.name, kind[f.dataType.simpleString()]) for f in fields])
+    return sorted(rows.mapInArrow(go, fields).collect(), key=lambda r: tuple(r))
+
+
+def _drawn(key: str, wins: list[bytes], share: float) -> list[bytes]:
+    """Windows drawn by a hash of the text's key and their number."""
+    u = W.mix(np.uint64(int(key[:15], 16)) + np.arange(len(wins), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) / 2.0**64
+    return [wins[i] for i in np.flatnonzero(u < share)]
+
+
+def fit(rows: DataFrame, prior: float | None = None) -> Model | None:
+    """A model from rows (_toxic 1 or 0, key: md5 of the text, text); None if a class has none. ``prior`` is the share of
+    toxic rows. A third of each class's different texts calibrates, whole."""
+    count = _each(rows, None, "n int", lambda k, text: (-(-len(text.translate(_FOLD).split()) // WINDOW),))
+    keys = {t: sorted({r["key"] for r in count if r["_toxic"] == t}) for t in (0, 1)}
+    if not keys[0] or not keys[1]:
         return None
-    cal_t, cal_o = toxic[::3], ordinary[::3]
-    fit_t = [t for i, t in enumerate(toxic) if i % 3] or toxic
-    fit_o = [t for i, t in enumerate(ordinary) if i % 3] or ordinary
-    wt, wo = [windows(t) for t in fit_t], [windows(t) for t in fit_o]
-    flat_o = [w for d in wo for w in d]
-    step = max(1, len(flat_o) // 6000)
-    body = b"".join(w[len(_HEAD):] for w in flat_o[::step])[:ORDINARY_BYTES]
-    new, hard = trained([w for d in wt for w in d], TOXIC_BYTES), {}
-    model = None
+    cal = {t: set(k[::3]) for t, k in keys.items()}
+    use = {t: set(k) - cal[t] or cal[t] for t, k in keys.items()}
+    total = Counter()
+    for r in count:
+        total[r["_toxic"]] += r["n"] * (r["key"] in use[r["_toxic"]])
+    first = {}
+    for t, many in ((1, FIRST_TOXIC), (0, FIRST_ORDINARY)):
+        share = min(1.0, many / max(1, total[t]))
+        got = _each(rows.where(F.col("_toxic") == t), use, "wins array<binary>", lambda k, text, share=share: (_drawn(k, windows(text), share),))
+        first[t] = [bytes(w) for r in got for w in r["wins"]]
+    order = np.argsort(W.mix(np.arange(len(first[0]), dtype=np.uint64)), kind="stable")
+    body = b"".join(first[0][i][len(_HEAD):] for i in order)[:ORDINARY_BYTES]
+    new, hard = trained(first[1], TOXIC_BYTES), {}
     for _ in range(ROUNDS):
-        shared = b"".join(reversed(hard))[:HARD_BYTES] + body
-        model = Model(b"\0" * TOXIC_BYTES + shared + _HEAD, new + shared + _HEAD, np.zeros(5), np.ones(5), np.zeros(6))
-        chosen = _best(model, wt)
-        hard |= dict.fromkeys(w[len(_HEAD):] for w in _best(model, wo))
+        model = _model(new, hard, body)
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+        got = _each(rows, use, "wins array<binary>", lambda k, text, shared=shared: (_best(shared.value, windows(text)) or None,))
+        chosen = [bytes(w) for r in got if r["_toxic"] == 1 for w in r["wins"] or ()]
+        hard |= dict.fromkeys(bytes(w)[len(_HEAD):] for r in got if r["_toxic"] == 0 for w in r["wins"] or ())
         if len(chosen) < 2:
             break
         new = trained(chosen, TOXIC_BYTES)
-    shared = b"".join(reversed(hard))[:HARD_BYTES] + body
-    model = Model(b"\0" * TOXIC_BYTES + shared + _HEAD, new + shared + _HEAD, np.zeros(5), np.ones(5), np.zeros(6))
-    x = np.array([model.features(t) for t in [*cal_t, *cal_o]])
-    y = np.array([1.0] * len(cal_t) + [0.0] * len(cal_o))
+    model = _model(new, hard, body)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    got = _each(rows, cal, "x array<double>", lambda k, text: (shared.value.features(text),))
+    x, y = np.array([r["x"] for r in got]), np.array([float(r["_toxic"]) for r in got])
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w, ridge = np.zeros(a.shape[1]), np.diag([0.5] * 5 + [1e-6])
@@ -124,18 +162,20 @@ def fit(toxic: list[bytes], ordinary: list[bytes], prior: float | None = None) -
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w -= np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
     if prior is not None and 0 < prior < 1:
-        w[-1] += np.log(prior / (1 - prior)) - np.log(len(cal_t) / len(cal_o))
+        w[-1] += np.log(prior / (1 - prior)) - np.log(y.sum() / (len(y) - y.sum()))
     model.weights = w
     return model
 
 
-def _best(model: Model, texts: list[list[bytes]]) -> list[bytes]:
-    """The windows of each text with the largest gains above 0, TOP at most."""
-    out = []
-    for wins in texts:
-        g = model.gains(wins)
-        out += [wins[i] for i in np.argsort(-g, kind="stable")[:TOP] if g[i] > 0]
-    return out
+def _model(new: bytes, hard: dict, body: bytes) -> Model:
+    shared = b"".join(reversed(hard))[:HARD_BYTES] + body
+    return Model(b"\0" * TOXIC_BYTES + shared + _HEAD, new + shared + _HEAD, np.zeros(5), np.ones(5), np.zeros(6))
+
+
+def _best(model: Model, wins: list[bytes]) -> list[bytes]:
+    """The windows of a text with the largest gains above 0, TOP at most."""
+    g = model.gains(wins)
+    return [wins[i] for i in np.argsort(-g, kind="stable")[:TOP] if g[i] > 0]
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
@@ -149,12 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("_toxic") == 1, min(1.0, toxic_rows / count[1])).otherwise(min(1.0, ordinary_rows / count[0]))
     drawn = known.where(u < share)
-    rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select(
-        "_toxic", F.substr("text", F.lit(1), F.lit(ROW_BYTES)).alias("text")).collect()
-    texts: dict[int, list] = {0: [], 1: []}
-    for r in rows:
-        texts[int(r["_toxic"] == 1)].append(r["text"].encode())
-    return fit(texts[1], texts[0], count[1] / (count[0] + count[1]))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = written(rows.select(F.when(F.col("_toxic") == 1, 1).otherwise(0).alias("_toxic"), F.md5("text").alias("key"), "text"), "toxicity")
+    return fit(rows, count[1] / (count[0] + count[1]))
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "toxicity") -> DataFrame:

@@ -235,6 +235,23 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(edge, None).count() == 3 and toxicity.score(empty, model).collect() == []
 
 
+def test_toxicity_late_in_long_texts(spark):
+    rng = random.Random(9)
+    bad = ["idiotic", "worthless", "scumbag"]
+    rows = []
+    for i in range(150):
+        w = prose(rng.randint(6500, 8000), rng).split()
+        toxic = i % 3 == 0
+        for _ in range(4 * toxic):
+            w.insert(rng.randrange(6300, len(w)), " ".join(rng.choice(bad) for _ in range(3)))
+        rows.append((i, " ".join(w), int(toxic)))
+    assert all(not set(bad) & set(t[:20_000].split()) for _, t, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.where("doc_id < 100").select("doc_id", "toxic"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(df, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(t) for i, _, t in rows[100:]]) > 0.9
+
+
 def test_alignment_and_decontamination(spark, docs, empty):
     for _ in range(60):
         a, b = (np.array([RNG.randint(0, 4) for _ in range(RNG.randint(1, 15))]) for _ in range(2))
