@@ -10,7 +10,7 @@ from quarry.llm import graph, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = {"documents": DOCS, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string",
-          "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>"}
+          "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>, label int"}
 CLASH = ["_first", "_language", "language", "dedup", "_rest", "slice", "_slice", "bucket", "data", "key", "path", "class_id",
          "n_words", "n_removed", "score", "tokens", "ids", "start", "length", "sequence_id", "offset", "_bad", "item_id", "label"]
 
@@ -31,7 +31,8 @@ def nulls(spark, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("nulls"), {n: [(None,) * len(s.split(", "))] * 3 for n, s in TABLES.items()})
 
 
-PER_ROW = {"op1_language_id", "op2_substring_dedup", "op3_toxicity", "op4_ngram_jaccard_join", "op6_url_filters", "op9_lm_scoring"}
+PER_ROW = {"op1_language_id", "op2_substring_dedup", "op3_toxicity", "op4_ngram_jaccard_join", "op6_url_filters", "op9_lm_scoring",
+           "op12_warc", "op13_periodic_runs"}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
@@ -46,7 +47,7 @@ def test_null_rows(spark, nulls, name):
         assert len(out) == 3
     if name == "op5_packing":  # a null text is an empty one: its end is a token
         assert [r.length for r in out] == [1, 1, 1]
-    if name in ("op7_license_scans", "op8_decontamination", "op10_ann", "pipeline"):
+    if name in ("op7_license_scans", "op8_decontamination", "op10_ann", "op11_hard_negatives", "pipeline"):
         assert out == []
 
 
