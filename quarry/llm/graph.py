@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from quarry.session import stage_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written under the shared checkpoint folder and read again: lineage ends there."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The rows, written under the shared checkpoint folder and read again: lineage ends there. ``compression`` is a
+    Parquet codec (none given: the session's)."""
     spark = df.sparkSession
     path = stage_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = DA
     others are responses. A null url or page_id has no header line; a null page_id orders last. Rows of equal page_id
     are records of their own. Other columns are not read.
     """
-    chunks = G.written(chunk_table(pages), "chunks")
+    chunks = G.written(chunk_table(pages), "chunks", "zstd")  # payloads: the size on disk is theirs
     ends = chunks.where("last").select("record", "page_id", "url", "n_bytes", "digest")
     heads = referred(ends, least).select("record", F.lit(-1).cast("long").alias("chunk"), "page_id", "url", "n_bytes", "digest", "first",
                                          F.lit(False).alias("last"), F.lit(None).cast("binary").alias("data"))
