@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import exact_quantiles, qcol
+from quarry.functions.stats import kth_smallest, exact_quantiles, qcol
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -249,8 +249,9 @@ def filter_flag(df: DataFrame, flag: str) -> DataFrame:
 
 # ------------------------------------------------------------------ SM2
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """SM2: the n rows with the smallest md5(seed ‖ key): reproducible,
-    independent of partitioning, a top-k rather than a full sort."""
+    """SM2: the n rows with the smallest md5(seed ‖ key): reproducible and independent of partitioning. The n-th
+    smallest hash is found by counting, and a filter keeps the rows up to it: no sort, no single task.
+    Keys are unique (rows that share the last one all stay); rows without key are left out."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), qcol(key).cast("string")))
-    return df.withColumn("_h", h).orderBy("_h", qcol(key)).limit(n).drop("_h")
-
+    bound = kth_smallest(df.select(h.alias("_h")).where("_h IS NOT NULL"), None, "_h", {0: [n]})[0][0]
+    return df.where(h <= F.lit(bound))

@@ -14,13 +14,14 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import qcol
+from quarry.functions.stats import kth_smallest, qcol
+from quarry.operators import boosting
 
 SEED = 42
 TEST_SIZE, VAL_SIZE = 0.2, 0.1
@@ -31,14 +32,17 @@ PROFILES = {
     "full": {
         "logistic_regression": {"C": 1.0, "max_iter": 1000},
         "random_forest": {"trees": 300, "depth": 15, "min_leaf": 4},
-        "boosted_a": {"rounds": 500, "depth": 8, "lr": 0.05, "subsample": 0.8, "pos_weight": 3.0},
-        "boosted_b": {"rounds": 500, "depth": 8, "lr": 0.05, "subsample": 0.8, "balanced": True},
+        "boosted_a": {"rounds": 500, "depth": 8, "lr": 0.05, "subsample": 0.8, "colsample": 0.8, "min_child_weight": 5.0,
+                      "gamma": 0.1, "l1": 0.1, "l2": 1.0, "pos_weight": 3.0},
+        # Row samples of this profile's library are off unless a sampling frequency is set, which is not.
+        "boosted_b": {"rounds": 500, "depth": 8, "lr": 0.05, "colsample": 0.8, "max_leaves": 63, "min_child_samples": 20,
+                      "l1": 0.1, "l2": 1.0, "balanced": True},
     },
     "light": {
         "logistic_regression": {"C": 1.0, "max_iter": 100},
         "random_forest": {"trees": 20, "depth": 8, "min_leaf": 4},
         "boosted_a": {"rounds": 20, "depth": 5, "lr": 0.1, "subsample": 0.8, "pos_weight": 3.0},
-        "boosted_b": {"rounds": 20, "depth": 5, "lr": 0.1, "subsample": 0.8, "balanced": True},
+        "boosted_b": {"rounds": 20, "depth": 5, "lr": 0.1, "max_leaves": 15, "min_child_samples": 20, "balanced": True},
     },
 }
 
@@ -59,6 +63,28 @@ def assign_split(df: DataFrame, key: str = "ID", seed: int = SEED,
                          .when(u < test_size + val_size, "val").otherwise("train"))
 
 
+def hash_key(key: Column, seed: int = SEED) -> Column:
+    """128 bits of hash as text of fixed length, whose order is a reproducible random order of the keys."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def exact_split(df: DataFrame, key: str = "ID", target: str = "target", seed: int = SEED) -> DataFrame:
+    """M2, exact: of each class's n rows, ceil(n / 5) are test and an eighth of the rest (rounded up) val, by
+    the order of hashed keys (unique, not null). A map with two bounds a class: no row is sorted or moved."""
+    d = df.withColumn("_hash", hash_key(qcol(key), seed))
+    sizes = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
+    wanted = {}
+    for c, n in sizes.items():
+        test = -(-n // 5)
+        wanted[c] = [test, test + -(-(n - test) // 8)]
+    bounds = kth_smallest(d, target, "_hash", wanted)
+    split = F.lit(None).cast("string")
+    for c, (a, b) in bounds.items():
+        mine = qcol(target).eqNullSafe(F.lit(c))
+        split = F.when(mine, F.when(F.col("_hash") <= F.lit(a), "test").when(F.col("_hash") <= F.lit(b), "val").otherwise("train")).otherwise(split)
+    return d.withColumn("split", split).drop("_hash")
+
+
 # ---------------------------------------------------------------- M1 / M9
 def model_matrix(df: DataFrame, features: list[str], target: str = "target") -> DataFrame:
     """M1: complete cases over features + target, booleans as numbers."""
@@ -96,13 +122,7 @@ def build_pipeline(name: str, features: list[str], params: dict, n_weighted: flo
         clf = RandomForestClassifier(featuresCol="raw_features", labelCol="target", weightCol="weight",
                                      numTrees=params["trees"], maxDepth=params["depth"],
                                      minInstancesPerNode=params["min_leaf"], featureSubsetStrategy="sqrt",
-                                     seed=SEED)
-        return Pipeline(stages=[asm, clf])
-    if name in ("boosted_a", "boosted_b"):
-        clf = GBTClassifier(featuresCol="raw_features", labelCol="target", weightCol="weight",
-                            maxIter=params["rounds"], maxDepth=params["depth"], stepSize=params["lr"],
-                            subsamplingRate=params["subsample"], featureSubsetStrategy="0.8",
-                            seed=SEED, checkpointInterval=10)
+                                     cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024, seed=SEED)
         return Pipeline(stages=[asm, clf])
     raise ValueError(name)
 
@@ -112,26 +132,33 @@ def probability_high(scored: DataFrame) -> DataFrame:
     return scored.withColumn("probability_high", vector_to_array("probability").getItem(1))
 
 
+def boosting_params(p: dict) -> boosting.Params:
+    return boosting.Params(**{k: v for k, v in p.items() if k not in ("pos_weight", "balanced")}, seed=SEED)
+
+
+def fit_model(name: str, train: DataFrame, features: list[str], profile: str = "full", saved=None, save=None):
+    """One fitted model of a profile (M4–M7). ``saved`` and ``save`` keep the trees of unfinished boosted models."""
+    p = PROFILES[profile][name]
+    d = with_class_weights(train, mode="pos", pos_weight=p["pos_weight"]) if "pos_weight" in p else with_class_weights(train)
+    if name in ("boosted_a", "boosted_b"):
+        return boosting.fit(d, features, boosting_params(p), saved=saved, save=save)
+    return build_pipeline(name, features, p, d.agg(F.sum("weight")).first()[0]).fit(d)
+
+
 def train_models(train: DataFrame, features: list[str], profile: str = "full",
-                 models: list[str] | None = None, parallelism: int = 4) -> dict[str, tuple[PipelineModel, float]]:
+                 models: list[str] | None = None, parallelism: int = 4) -> dict:
     """M8: fit every enabled model, ``parallelism`` at a time; returns {name: (model, seconds)}."""
-    cfg = PROFILES[profile]
-    balanced = with_class_weights(train)
-    total = balanced.agg(F.sum("weight")).first()[0]
-
     def fit(name: str):
-        p = cfg[name]
-        d = with_class_weights(train, mode="pos", pos_weight=p["pos_weight"]) if "pos_weight" in p else balanced
         t = time.time()
-        return name, (build_pipeline(name, features, p, total).fit(d), time.time() - t)
+        return name, (fit_model(name, train, features, profile), time.time() - t)
 
     with ThreadPool(parallelism) as pool:
-        return dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), models or list(cfg)))
+        return dict(pool.map(inheritable_thread_target(train.sparkSession)(fit), models or list(PROFILES[profile])))
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Probability of the high class, class at ≥ threshold, labels and bands."""
-    s = probability_high(model.transform(df))
+    s = model.transform(df) if isinstance(model, boosting.BoostedModel) else probability_high(model.transform(df))
     p = F.col("probability_high")
     return s.withColumn("prediction", (p >= threshold).cast("int")) \
         .withColumn("severity_label", F.when(F.col("prediction") == 1, "High").otherwise("Low")) \
@@ -139,8 +166,10 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
         .withColumn("risk_band", F.when(p < 0.35, "low").when(p < 0.65, "medium").otherwise("high"))
 
 
-def feature_importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
+def feature_importance(model, features: list[str]) -> list[tuple[str, float]]:
     """Tree importances, or absolute standardised coefficients."""
+    if isinstance(model, boosting.BoostedModel):
+        return list(zip(model.features, [float(v) for v in model.importances()]))
     clf = model.stages[-1]
     if hasattr(clf, "featureImportances"):
         vals = clf.featureImportances.toArray()
@@ -149,8 +178,14 @@ def feature_importance(model: PipelineModel, features: list[str]) -> list[tuple[
     return list(zip(features, [float(v) for v in vals]))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def kind_of(model) -> str:
+    return "boosted" if isinstance(model, boosting.BoostedModel) else "pipeline"
+
+
+def save_model(model, path: str) -> str:
     """M10."""
+    if isinstance(model, boosting.BoostedModel):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
     return path
 
@@ -161,7 +196,9 @@ def best_by(metrics: DataFrame, by: str = "test_auc", default: str = "boosted_a"
     return top["model"] if top is not None else default
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str, kind: str = "pipeline"):
+    if kind == "boosted":
+        return boosting.BoostedModel.load(SparkSession.active(), path)
     return PipelineModel.load(path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stats import qcol
 from quarry.plans.catalog import register
+from quarry.plans.model_queries import _SPLIT
 from quarry.plans.oracle_base import over_processed, over_raw
 from quarry.plans.stages import processed_with_meta, raw
 from quarry.session import stage_path
@@ -99,8 +100,8 @@ _U42 = "CAST(('0x' || substr(md5('42:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294
 
 
 @register("stream_checks", over_processed(
-    f"SELECT 'scored' AS outcome, count(*) AS requests, 42 AS min_keys, 42 AS max_keys FROM processed WHERE {_U42} >= 0.02 AND {_U42} < 0.2\n"
-    f"UNION ALL SELECT 'rejected: hour', count(*), NULL, NULL FROM processed WHERE {_U42} < 0.02"))
+    f"SELECT 'scored' AS outcome, count(*) AS requests, 42 AS min_keys, 42 AS max_keys FROM ({_SPLIT}) WHERE {_U42} >= 0.02 AND split = 'test'\n"
+    f"UNION ALL SELECT 'rejected: hour', count(*), NULL, NULL FROM ({_SPLIT}) WHERE {_U42} < 0.02 AND split = 'test'"))
 def stream_checks(spark, sf_dir):
     """R1, what is determined: requests scored (and keys in their feature JSON) and rejected, by failed field."""
     log, rejected = _stream(spark, sf_dir)

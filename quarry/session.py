@@ -73,3 +73,8 @@ def stage_path(spark: SparkSession, *parts: str) -> str:
     """A location under the shared checkpoint folder for a written stage table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "quarry", spark.sparkContext.applicationId, *parts)
+
+
+def store_path(spark: SparkSession, *parts: str) -> str:
+    """A location under the shared checkpoint folder that later sessions find again."""
+    return os.path.join(checkpoint_dir(spark), "quarry", "store", *parts)

@@ -58,12 +58,16 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("test_recall", T.DoubleType()),
     T.StructField("test_accuracy", T.DoubleType()),
     T.StructField("test_ap", T.DoubleType()),
+    T.StructField("n_train", T.LongType()),
+    T.StructField("n_test", T.LongType()),
+    T.StructField("created_at", T.TimestampType()),
 ])
 
 PREDICTION_LOG_SCHEMA = T.StructType([
     T.StructField("features", T.StringType()),
     T.StructField("prediction", T.IntegerType()),
     T.StructField("probability", T.DoubleType()),
+    T.StructField("severity_label", T.StringType()),
     T.StructField("model_name", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
 ])
@@ -82,5 +86,5 @@ def prediction_log_rows(scored: DataFrame, feature_cols: list[str], model_name:
     feats = F.to_json(F.struct(*[F.col(f"`{c}`") for c in feature_cols]))
     return conform(scored.select(
         feats.alias("features"), F.col("prediction").cast("int").alias("prediction"),
-        F.col("probability_high").alias("probability"), F.lit(model_name).alias("model_name"),
+        F.col("probability_high").alias("probability"), F.col("severity_label"), F.lit(model_name).alias("model_name"),
         F.current_timestamp().alias("created_at")), PREDICTION_LOG_SCHEMA)
