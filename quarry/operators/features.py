@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import calendar as cal
 from quarry.functions.stats import qcol, ranged, running_totals, to_long
@@ -89,7 +90,6 @@ def apply_encoders(df: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 def select_features(df: DataFrame) -> list[str]:
     """numeric/boolean columns not excluded, in column order."""
-    from pyspark.sql import types as T
     keep = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType, T.BooleanType)
     return [f.name for f in df.schema.fields
@@ -112,9 +112,37 @@ def build_features(df: DataFrame, threshold: int = SEVERITY_THRESHOLD,
     return out, encoders, select_features(out)
 
 
+#: Fields of a scoring request and their types. Fixed: names and order of the reference's request.
+REQUEST_FIELDS = {
+    "hour": T.IntegerType(), "day_of_week": T.IntegerType(), "month": T.IntegerType(), "year": T.IntegerType(),
+    "duration_min": T.DoubleType(), "road_feature_count": T.IntegerType(), "Distance(mi)": T.DoubleType(),
+    "Temperature(F)": T.DoubleType(), "Humidity(%)": T.DoubleType(), "Pressure(in)": T.DoubleType(),
+    "Visibility(mi)": T.DoubleType(), "Wind_Speed(mph)": T.DoubleType(), "Precipitation(in)": T.DoubleType(),
+}
+
+# What a field counts as where it is left open (or, in the second list, zero).
+OPEN_DEFAULTS = {"duration_min": 30.0, "Pressure(in)": 29.9, "road_feature_count": 0, "Precipitation(in)": 0.0}
+ZERO_DEFAULTS = {"Distance(mi)": 0.5, "Temperature(F)": 55.0, "Humidity(%)": 70.0, "Visibility(mi)": 10.0, "Wind_Speed(mph)": 10.0}
+
+
+def fill_defaults(df: DataFrame) -> DataFrame:
+    """scoring defaults. ``weather_severity_score`` is derived first, from what the request says: an open field is no
+    bad weather, and neither is its default. An open or zero field of ZERO_DEFAULTS gets its default."""
+    out = df
+    if "weather_severity_score" not in out.columns:
+        said = out.select(*[F.nullif(qcol(c), F.lit(0).cast(out.schema[c].dataType)).alias(c) if c in ZERO_DEFAULTS else qcol(c) for c in out.columns])
+        out = said.withColumn("weather_severity_score", weather_score(said.columns))
+    filled = {}
+    for c, v in {**OPEN_DEFAULTS, **ZERO_DEFAULTS}.items():
+        if c in out.columns:
+            given = F.nullif(qcol(c), F.lit(0).cast(out.schema[c].dataType)) if c in ZERO_DEFAULTS else qcol(c)
+            filled[c] = F.coalesce(given, F.lit(v).cast(out.schema[c].dataType))
+    return out.withColumns(filled)
+
+
 def request_features(df: DataFrame) -> DataFrame:
-    """derive flags and season from hour/day/month on a scoring request
-    and fill defaults; the same rules as training (no form/training skew)."""
+    """derive flags and season from hour/day/month on a scoring request, by the rules of
+    training. Defaults are filled by :func:`fill_defaults`."""
     out = df
     if "day_of_week" in df.columns and "is_weekend" not in df.columns:
         out = out.withColumn("is_weekend", cal.is_weekend(F.col("day_of_week")))

@@ -66,28 +66,35 @@ def prediction_log(spark, sf_dir):
     return sinks.prediction_log_rows(scored, feats, name)
 
 
-_REQUEST = ["hour", "day_of_week", "month", "year", "duration_min", "road_feature_count",
-            "Distance(mi)", "Temperature(F)", "Humidity(%)", "Pressure(in)", "Visibility(mi)",
-            "Wind_Speed(mph)", "Precipitation(in)"]
+_U42 = "CAST(('0x' || substr(md5('42:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+_OPEN = ("Temperature(F)", "Visibility(mi)")
 
 
-def _stream(spark, sf_dir):
-    """Test-split requests, every tenth or so with an hour of 99, through the scoring stream: (log, rejected)."""
+def _requests(df):
+    """Rows as JSON request texts (``value``): by hashed id some with an hour of 99, some cut off, some without two fields."""
+    from quarry.operators.features import REQUEST_FIELDS
     from quarry.operators.ml import unit_hash
+    u = unit_hash(F.col("ID"))
+    hour = F.when(u < 0.02, F.lit(99)).otherwise(F.col("hour").cast("int")).alias("hour")
+    open_ = (u >= 0.04) & (u < 0.08)
+    fields = [F.when(~open_, qcol(c)).alias(c) if c in _OPEN else qcol(c).cast(t).alias(c) for c, t in REQUEST_FIELDS.items() if c != "hour"]
+    text = F.to_json(F.struct(hour, *fields))  # open fields are left out
+    return df.select("ID", F.when((u >= 0.02) & (u < 0.04), F.substring(text, 1, 40)).otherwise(text).alias("value"))
+
+
+def _stream(spark, sf_dir):
+    """Test rows as JSON requests through the scoring stream; the last batch runs twice: (log, rejected, dead letters)."""
     from quarry.plans.model_queries import best_model
-    from quarry.streaming.scoring import scoring_stream
+    from quarry.streaming.scoring import batch_writer, read_sink, scoring_stream
     name, model, feats, data = best_model(spark, sf_dir)
     run = uuid.uuid4().hex[:10]
-    src = stage_path(spark, "stream", run, "requests")
-    hour = F.when(unit_hash(F.col("ID")) < 0.02, F.lit(99)).otherwise(F.col("hour")).alias("hour")
-    data.where(F.col("split") == "test").select(hour, *[qcol(c) for c in _REQUEST[1:]]).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    sink, rej = stage_path(spark, "stream", run, "log"), stage_path(spark, "stream", run, "rejected")
-    q1, q2 = scoring_stream(spark, src, schema, model, feats, name, sink, rej,
-                            stage_path(spark, "stream", run, "checkpoints"))
-    q1.awaitTermination()
-    q2.awaitTermination()
-    return spark.read.schema(sinks.PREDICTION_LOG_SCHEMA).parquet(sink), spark.read.parquet(rej)
+    src, sink = stage_path(spark, "stream", run, "requests"), stage_path(spark, "stream", run, "sink")
+    _requests(data.where(F.col("split") == "test")).select("value").write.text(src)
+    q = scoring_stream(spark, src, {name: model}, name, feats, sink, stage_path(spark, "stream", run, "checkpoint"))
+    q.awaitTermination()
+    if q.lastProgress:  # replayed: its rows are the same, so the sinks stay as they are
+        batch_writer({name: model}, name, feats, sink)(spark.read.text(src), q.lastProgress["batchId"])
+    return read_sink(spark, sink)
 
 
 @register("stream_scoring")
@@ -96,21 +103,43 @@ def stream_scoring(spark, sf_dir):
     return _stream(spark, sf_dir)[0]
 
 
-_U42 = "CAST(('0x' || substr(md5('42:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
-
-
 @register("stream_checks", over_processed(
-    f"SELECT 'scored' AS outcome, count(*) AS requests, 42 AS min_keys, 42 AS max_keys FROM ({_SPLIT}) WHERE {_U42} >= 0.02 AND split = 'test'\n"
-    f"UNION ALL SELECT 'rejected: hour', count(*), NULL, NULL FROM ({_SPLIT}) WHERE {_U42} < 0.02 AND split = 'test'"))
+    f"SELECT 'scored' AS outcome, count(*) AS requests, 42 AS min_keys, 42 AS max_keys FROM ({_SPLIT}) WHERE {_U42} >= 0.04 AND split = 'test'\n"
+    f"UNION ALL SELECT 'rejected: hour', count(*), NULL, NULL FROM ({_SPLIT}) WHERE {_U42} < 0.02 AND split = 'test'\n"
+    f"UNION ALL SELECT 'dead letter', count(*), NULL, NULL FROM ({_SPLIT}) WHERE {_U42} >= 0.02 AND {_U42} < 0.04 AND split = 'test'"))
 def stream_checks(spark, sf_dir):
-    """R1, what is determined: requests scored (and keys in their feature JSON) and rejected, by failed field."""
-    log, rejected = _stream(spark, sf_dir)
+    """R1, what is determined: requests scored (and keys in their feature JSON), rejected by failed field, and unreadable, after a batch was replayed."""
+    log, rejected, dead = _stream(spark, sf_dir)
     keys = F.size(F.json_object_keys("features"))
+    none = [F.lit(None).cast("int").alias(c) for c in ("min_keys", "max_keys")]
     ok = log.agg(F.lit("scored").alias("outcome"), F.count(F.lit(1)).alias("requests"),
                  F.min(keys).alias("min_keys"), F.max(keys).alias("max_keys"))
     bad = rejected.groupBy(F.concat(F.lit("rejected: "), F.array_join("violations", ",")).alias("outcome")).agg(
-        F.count(F.lit(1)).alias("requests"), F.lit(None).cast("int").alias("min_keys"), F.lit(None).cast("int").alias("max_keys"))
-    return ok.unionByName(bad)
+        F.count(F.lit(1)).alias("requests"), *none)
+    lost = dead.agg(F.lit("dead letter").alias("outcome"), F.count(F.lit(1)).alias("requests"), *none)
+    return ok.unionByName(bad).unionByName(lost)
+
+
+_DEFAULTS = {"Distance(mi)": 0.5, "Temperature(F)": 55.0, "Humidity(%)": 70.0, "Visibility(mi)": 10.0, "Wind_Speed(mph)": 10.0}
+
+
+@register("request_defaults", over_raw(
+    "SELECT _order, " + ", ".join(f"coalesce(nullif(round(\"{c}\", 6), 0), {v}) AS \"{c}\"" for c, v in _DEFAULTS.items())
+    + ", round(coalesce(\"Pressure(in)\", 29.9), 6) AS \"Pressure(in)\", round(coalesce(\"Precipitation(in)\", 0.0), 6) AS \"Precipitation(in)\", "
+    "CAST(30.0 AS DOUBLE) AS duration_min, 0 AS road_feature_count, CAST(least("
+    "coalesce(CAST(nullif(round(\"Temperature(F)\", 6), 0) < 32 OR nullif(round(\"Temperature(F)\", 6), 0) > 95 AS INTEGER), 0)"
+    " + CASE WHEN nullif(round(\"Visibility(mi)\", 6), 0) < 1.0 THEN 2 WHEN nullif(round(\"Visibility(mi)\", 6), 0) <= 3.0 THEN 1 ELSE 0 END"
+    " + coalesce(CAST(nullif(round(\"Wind_Speed(mph)\", 6), 0) > 30 AS INTEGER), 0)"
+    " + coalesce(CAST(round(\"Precipitation(in)\", 6) > 0.1 AS INTEGER), 0), 5) AS DOUBLE) AS weather_severity_score FROM raw"))
+def request_defaults(spark, sf_dir):
+    """raw incidents as JSON requests, parsed, with weather score and defaults."""
+    from quarry.operators.features import fill_defaults
+    from quarry.streaming.scoring import parse_requests
+    said = [*_DEFAULTS, "Pressure(in)", "Precipitation(in)"]
+    lines = raw(spark, sf_dir).select(F.to_json(F.struct(F.col("_order").alias("year"), *[F.round(qcol(c), 6).alias(c) for c in said])).alias("value"))
+    out = fill_defaults(parse_requests(lines))
+    return out.select(F.col("year").cast("long").alias("_order"), *[qcol(c) for c in said], "duration_min", "road_feature_count",
+                      F.col("weather_severity_score").cast("double").alias("weather_severity_score"))
 
 
 def _meta_oracle() -> str:

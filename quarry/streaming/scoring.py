@@ -1,41 +1,81 @@
-"""Online scoring as a stream (R1): request files → validation → derived
-flags → model → append-only prediction log.
+"""Online scoring as a stream (R1): JSON requests → defaults and derived flags → validation → model → prediction log.
 
-Stateless, so no watermark; exactly-once via the sink's checkpoint. Invalid
-requests go to a rejected sink with their failed fields.
+One read feeds three sinks: the prediction log, rejected requests (with their failed fields) and dead letters (texts that
+are no request). Every micro-batch writes its rows to folders named by its batch id, and a batch that
+runs again overwrites them, so a replay adds no row. Stateless, so no watermark.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.stats import qcol
 from quarry.operators.clean import align_features
-from quarry.operators.features import request_features
+from quarry.operators.features import REQUEST_FIELDS, fill_defaults, request_features
 from quarry.operators.ml import score
 from quarry.operators.quality import request_violations
-from quarry.sources.sinks import prediction_log_rows
+from quarry.sources.sinks import PREDICTION_LOG_SCHEMA, prediction_log_rows
+
+_BAD = "_malformed"
+REQUEST_SCHEMA = T.StructType([*[T.StructField(n, t) for n, t in REQUEST_FIELDS.items()],
+                               T.StructField("model_name", T.StringType()), T.StructField(_BAD, T.StringType())])
+
+
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """Text rows (``value``) as request fields and ``request`` (the text). A text that is no JSON object or has
+    a field of another type is in ``_malformed`` too; absent fields are NULL, unknown ones are ignored."""
+    r = F.from_json("value", REQUEST_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    out = lines.select(F.col("value").alias("request"), r.alias("r")).select("request", "r.*")
+    no_object = ~F.coalesce(F.startswith(F.trim("request"), F.lit("{")), F.lit(False))
+    return out.withColumn(_BAD, F.when(no_object, F.coalesce("request", F.lit(""))).otherwise(F.col(_BAD)))
+
+
+def scored_batch(lines: DataFrame, models: dict, default: str, features: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prediction log, rejected, dead letters) of text rows. A request names its model or gets ``default``; an
+    unknown name is a failed field."""
+    parsed = parse_requests(lines)
+    dead = parsed.where(qcol(_BAD).isNotNull()).select("request")
+    named = F.coalesce(F.nullif(F.col("model_name"), F.lit("")), F.lit(default))
+    requests = parsed.where(qcol(_BAD).isNull()).drop(_BAD).withColumn("model_name", named)
+    checked = request_violations(request_features(fill_defaults(requests)))
+    known = F.col("model_name").isin(list(models))
+    checked = checked.withColumn("violations", F.when(known, F.col("violations")).otherwise(F.array_append("violations", F.lit("model_name"))))
+    rejected = checked.where(F.size("violations") > 0).select("request", "violations")
+    valid = checked.where(F.size("violations") == 0)
+    log = None
+    for name, model in models.items():
+        mine = align_features(valid.where(F.col("model_name") == name), features)
+        rows = prediction_log_rows(score(model, mine), features, name)
+        log = rows if log is None else log.unionByName(rows)
+    return log, rejected, dead
+
 
+def batch_writer(models: dict, default: str, features: list[str], sink: str) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` calls: writes a batch's rows to ``sink``/log, /rejected and /dead."""
+    def write(lines: DataFrame, batch_id: int) -> None:
+        lines = lines.persist()
+        try:
+            for rows, name in zip(scored_batch(lines, models, default, features), ("log", "rejected", "dead"), strict=True):
+                rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
+        finally:
+            lines.unpersist()
+    return write
 
-def scoring_stream(spark: SparkSession, source: str, schema: T.StructType, model: PipelineModel,
-                   features: list[str], model_name: str, sink: str, rejected_sink: str,
-                   checkpoint: str, available_now: bool = True):
-    """Start the stream; returns the two StreamingQuery handles."""
-    reqs = spark.readStream.schema(schema).parquet(source)
-    checked = request_violations(request_features(reqs))
-    valid = checked.where(F.size("violations") == 0).drop("violations")
-    rejected = checked.where(F.size("violations") > 0)
 
-    aligned = align_features(valid, features)
-    scored = score(model, aligned)
-    log = prediction_log_rows(scored, features, model_name)
+def scoring_stream(spark: SparkSession, source: str, models: dict, default: str, features: list[str], sink: str, checkpoint: str,
+                   available_now: bool = True):
+    """Start the stream over text files of one JSON request a line; returns its StreamingQuery."""
+    w = spark.readStream.text(source).writeStream.foreachBatch(batch_writer(models, default, features, sink)) \
+        .option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")).start()
 
-    def start(df: DataFrame, path: str, name: str):
-        w = df.writeStream.format("parquet").option("path", path) \
-            .option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append")
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-        return w.start()
 
-    return start(log, sink, "log"), start(rejected, rejected_sink, "rejected")
+def read_sink(spark: SparkSession, sink: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(log, rejected, dead letters) that were written so far."""
+    log = spark.read.schema(PREDICTION_LOG_SCHEMA).parquet(f"{sink}/log")
+    return (log, spark.read.schema("request string, violations array<string>").parquet(f"{sink}/rejected"),
+            spark.read.schema("request string").parquet(f"{sink}/dead"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import ml
-from quarry.streaming.scoring import scoring_stream
+from quarry.streaming.scoring import batch_writer, parse_requests, read_sink, scoring_stream
 
 FIELDS = ["hour", "day_of_week", "month", "year", "duration_min", "road_feature_count", "Distance(mi)",
           "Temperature(F)", "Humidity(%)", "Pressure(in)", "Visibility(mi)", "Wind_Speed(mph)",
@@ -34,15 +34,36 @@ def test_stream_scores_valid_and_rejects_invalid(spark):
     model, _ = ml.train_models(ml.model_matrix(train, FEATURES), FEATURES, "light", ["logistic_regression"])["logistic_regression"]
 
     base = tempfile.mkdtemp(prefix="quarry-stream-")
-    src = f"{base}/requests"
-    spark.createDataFrame(_requests(40, 2, bad=3), schema).write.parquet(src)
-    q1, q2 = scoring_stream(spark, src, spark.read.parquet(src).schema, model, FEATURES, "logistic_regression",
-                            f"{base}/log", f"{base}/rejected", f"{base}/ckpt")
-    q1.awaitTermination()
-    q2.awaitTermination()
-    log = spark.read.parquet(f"{base}/log")
-    rej = spark.read.parquet(f"{base}/rejected")
-    assert log.count() == 37 and rej.count() == 3
+    src, sink = f"{base}/requests", f"{base}/sink"
+    asked = spark.createDataFrame(_requests(40, 2, bad=3), schema)
+    lines = [r["j"] for r in asked.select(F.to_json(F.struct("*")).alias("j")).collect()]
+    lines += ['{"hour": 1', "[]", "", "not json", '{"hour": "x"}', '{"hour": 5, "day_of_week": 1, "month": 2, "year": 2020, "extra": [1]}',
+              lines[5][:-1] + ', "model_name": "nobody"}', lines[5][:-1] + ', "model_name": "again"}', lines[5][:-1] + ', "model_name": ""}']
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(3).write.text(src)
+    models = {"logistic_regression": model, "again": model}
+    q = scoring_stream(spark, src, models, "logistic_regression", FEATURES, sink, f"{base}/ckpt")
+    q.awaitTermination()
+
+    def state():
+        return [sorted(map(str, d.drop("created_at").collect())) for d in read_sink(spark, sink)]
+
+    log, rej, dead = read_sink(spark, sink)
+    assert (log.count(), rej.count(), dead.count()) == (40, 4, 5)
     assert log.where((F.col("probability") < 0) | (F.col("probability") > 1)).count() == 0
-    assert set(r["model_name"] for r in log.select("model_name").distinct().collect()) == {"logistic_regression"}
-    assert all(r["violations"] == ["hour"] for r in rej.select("violations").collect())
+    assert {r["model_name"]: r["count"] for r in log.groupBy("model_name").count().collect()} == {"logistic_regression": 39, "again": 1}
+    assert sorted(str(r["violations"]) for r in rej.collect()) == ["['hour']"] * 3 + ["['model_name']"]
+    before = state()
+    batch_writer(models, "logistic_regression", FEATURES, sink)(spark.read.text(src), 0)  # the batch is replayed
+    assert state() == before
+    spark.createDataFrame([(lines[6],)], "value string").write.mode("append").text(src)  # a second batch
+    scoring_stream(spark, src, models, "logistic_regression", FEATURES, sink, f"{base}/ckpt").awaitTermination()
+    assert read_sink(spark, sink)[0].count() == 41
+
+
+def test_defaults(spark):
+    from quarry.operators.features import fill_defaults
+    rows = parse_requests(spark.createDataFrame([('{"Temperature(F)": 0, "Visibility(mi)": 0.5, "Precipitation(in)": 0.2}',), ("{}",), (None,)], "value string"))
+    out = fill_defaults(rows).collect()
+    assert [(r["Temperature(F)"], r["Visibility(mi)"], r["Wind_Speed(mph)"], r["Pressure(in)"], r["duration_min"], r["weather_severity_score"]) for r in out] == [
+        (55.0, 0.5, 10.0, 29.9, 30.0, 3), (55.0, 10.0, 10.0, 29.9, 30.0, 0), (55.0, 10.0, 10.0, 29.9, 30.0, 0)]
+    assert [r["_malformed"] for r in out] == [None, None, ""]
