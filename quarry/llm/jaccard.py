@@ -252,6 +252,34 @@ def _with_sets(batches):
             yield pa.RecordBatch.from_arrays(cols, names=["key", "comp", "copies", "blocks", "shingles"]).filter(pa.array(ok))
 
 
+def _keyed(batches):
+    """(key, shingles) of each text with a set."""
+    for b in batches:
+        for _, cut, g in sets(W.column(b, "text")):
+            data = pa.array([g[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(cut, g)), data], names=["key", "shingles"])
+
+
+def _one_text_a_set(texts: DataFrame, member: DataFrame, marked: DataFrame) -> DataFrame:
+    """``member`` rows (key, comp, blocks, set_id, copies) with the shingles of their set. Where set_id names one row, texts are
+    joined by it. It may be null, name several sets or several equal rows: those texts' sets are made first, made single by
+    their key, and joined by key, so n rows of one id or none give n rows, not n * n."""
+    out = ["key", "comp", "copies", "blocks"]
+    rows = marked.where("doc_id is not null").groupBy("key", F.col("doc_id").alias("set_id")).agg(F.count("*").alias("rows")).where("rows > 1")
+    of_id = member.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("sets")).where("sets > 1")
+    member = G.written(member.join(rows, ["key", "set_id"], "left").join(of_id, "set_id", "left").withColumn(
+        "vague", F.col("set_id").isNull() | F.col("rows").isNotNull() | F.col("sets").isNotNull()).drop("rows", "sets"), "members")
+    plain = texts.join(member.where("not vague"), F.col("doc_id") == F.col("set_id")).select(*out, "text").mapInArrow(
+        _with_sets, "key long, comp long, copies long, blocks int, shingles binary")
+    vague = member.where("vague")
+    if vague.isEmpty():
+        return plain
+    ids = vague.select(F.col("set_id").alias("doc_id")).where("doc_id is not null").distinct()
+    asked = texts.where("doc_id is null").unionByName(texts.join(ids, "doc_id", "left_semi").select(*texts.columns))
+    single = asked.select("text").mapInArrow(_keyed, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return plain.unionByName(vague.select(*out).join(single, "key").select(*out, "shingles"))
+
+
 def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """One row (doc_id, class_id, set_id, copies, n_links) per document of ``docs`` (doc_id, text).
 
@@ -268,8 +296,7 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     size = loose.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = loose.join(size, "label").select(F.col("node").alias("key"), F.col("label").alias("comp"), "blocks").join(
         per_set.select("key", "set_id", "copies"), "key")
-    with_text = texts.where("text is not null").join(member, F.col("doc_id").eqNullSafe(F.col("set_id"))).select("key", "comp", "copies", "blocks", "text")
-    shingled = with_text.mapInArrow(_with_sets, "key long, comp long, copies long, blocks int, shingles binary")
+    shingled = _one_text_a_set(texts.where("text is not null"), member, marked)
     told = G.written(_block_pairs(shingled, ["comp"]).groupBy("comp", "i", "j").applyInArrow(_exact, "key long, links long, b long"), "links")
     links = told.where("b is null").groupBy("key").agg(F.sum("links").alias("links"))
     classes = G.components(told.where("b is not null").select(F.col("key").alias("a"), "b"))

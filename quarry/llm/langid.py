@@ -160,7 +160,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, row_chars: int =
     part = F.create_map(*[x for k, n in count.items() for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))])
     u = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     at = F.pmod(F.xxhash64("text", F.lit(8)), F.greatest(F.length("text") - row_chars, F.lit(0)) + 1).cast("int") + 1
-    drawn = known.where(u < part[F.col("lang")]).select("lang", F.substr("text", at, F.lit(row_chars)).alias("t"), F.xxhash64("text").alias("h"))
+    drawn = known.where(u < part[F.col("lang")]).select("lang", F.substr("text", at, F.lit(row_chars)).alias("t"), F.xxhash64("text").alias("h")).distinct()  # copies are drawn together, and come once
     texts: dict[str, list] = {}
     for r in drawn.collect():
         texts.setdefault(r["lang"], []).append((r["h"], r["t"]))

@@ -451,9 +451,11 @@ def _fit(texts: DataFrame, vocab: Vocabulary, start_docs: int) -> GRU | None:
     if not vocab.n_words:
         return None
     spark = texts.sparkSession
-    many = max(1, int(vocab.counts[np.flatnonzero(vocab.words == END)].sum()) or 1)
+    many, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    part = min(1.0, start_docs / max(1, many), START_BYTES / max(1, size))
     u = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    sample = texts.where((u < min(1.0, start_docs / many)) | F.lit(many <= start_docs)).select(F.lit(0).alias("one"), "text")
+    # Copies of one text are drawn together, and are one text of the sample.
+    sample = texts.where((u < part) | F.lit(part >= 1)).select("text").distinct().select(F.lit(0).alias("one"), "text")
     shared = spark.sparkContext.broadcast(vocab)
 
     def start(key, t):

@@ -2,8 +2,8 @@
 
 Every host with pages that rules allow (block) is a seed of trust (distrust), weighted by the share of
 such pages among its own. Trust spreads along links between hosts, distrust against them, both as
-personalised PageRank. A host whose share of all distrust exceeds its share of all trust by
-MARGIN is blocked.
+personalised PageRank. Both are on one scale, that of the seeds' weights: the ranks of a kind sum to the weight of
+its seeds, so the kind with fewer seeds has no advantage. A host whose distrust exceeds its trust by MARGIN is blocked.
 
 DataFrame functions only. Pages are aggregated to hosts and host links before any join on hosts; links
 and ranks have a row per host pair and host. Each round is written under the checkpoint folder.
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .graph import written
 
 DAMPING = 0.85
-ROUNDS = 30
-TOLERANCE = 1e-7
+ROUNDS = 1000  # a bound on what TOLERANCE needs (about 90); beyond it is an error
+TOLERANCE = 1e-6  # of the summed change of a kind's ranks to their sum
 MARGIN = 0.0
 #: Links to other hosts: absolute or without a scheme.
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
@@ -57,11 +57,12 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust), shares that sum to one each, of all hosts reached.
+    """(host, trust, distrust) of all hosts reached; each kind sums to the weight of its seeds.
     ``links``: (src, dst, n). ``seeds``: (host, trust, distrust), weights.
 
     Ranks of hosts without onward links return to the seeds, which only scales the ranks of a kind; they
-    are scaled to sum to one at the end."""
+    are scaled to their sum at the end. Rounds go on until the summed change of each kind is at most ``tolerance`` of
+    its sum, hosts reached for the first time included; RuntimeError if ``rounds`` are not enough."""
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("out"))
@@ -78,10 +79,13 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, toleranc
                 "kind", "host", F.coalesce("x", F.lit(0.0)).alias("x"), F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))).alias("change"))
             new = written(new, "rank")
             rank = new.select("kind", "host", "x")
-            if (new.agg(F.max("change").alias("c")).first()["c"] or 0) < tolerance:
+            moving = new.groupBy("kind").agg(F.sum("change").alias("c"), F.sum("x").alias("s")).where(F.col("c") > F.col("s") * tolerance)
+            if moving.isEmpty():
                 break
-    total = rank.groupBy("kind").agg(F.sum("x").alias("total"))
-    share = rank.join(total, "kind").withColumn("x", F.col("x") / F.col("total"))
+        else:
+            raise RuntimeError(f"ranks still change after {rounds} rounds")
+    reached = rank.groupBy("kind").agg(F.sum("x").alias("reached"))
+    share = rank.join(reached.join(total, "kind"), "kind").withColumn("x", F.col("x") / F.col("reached") * F.col("total"))
     return share.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("x")).otherwise(0.0)).alias("trust"),
                                      F.sum(F.when(F.col("kind") == "distrust", F.col("x")).otherwise(0.0)).alias("distrust"))
 
