@@ -30,10 +30,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near copies. Rows without doc_id stay."""
+    """The document with the least doc_id of each class of near copies, one row of each (doc_id, text). Rows without doc_id
+    stay, one of each text."""
     first = jaccard.join(docs.select("doc_id", "text")).where(F.col("class_id") == F.col("doc_id")).select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    often = docs.groupBy(F.col("doc_id").alias("_often")).agg(F.count("*").alias("_n")).where("_n > 1 and _often is not null").drop("_n")
+    alone = kept.join(often, kept["doc_id"] == often["_often"], "left_anti")
+    again = kept.join(often, kept["doc_id"] == often["_often"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
