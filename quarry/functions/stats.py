@@ -11,12 +11,15 @@
 * ``running_totals`` — the two-level prefix sum for any monotone bucket
   (used by the ranking metrics and the label codes).
 * ``column_modes`` — most frequent value per column, smallest on ties.
-* ``pairwise_corr`` — Pearson r on pairwise-complete rows, NULL (not an
-  ANSI division error) for a constant column.
+* ``co_moments``, ``pairwise_corr`` — masked Gram sums of all column pairs in one pass, and
+  Pearson r on pairwise-complete rows, NULL (not an ANSI division error) for a constant column.
+* ``kth_smallest`` — ranks of hashes by counting, without a sort.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,29 +146,79 @@ def running_totals(df: DataFrame, keys: list[str], order_col: str, sum_cols: lis
         (F.col(f"_o{i}") + F.sum(c).over(upto)).alias(prefix + c) for i, c in enumerate(sum_cols)])
 
 
-def pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long Pearson matrix ``(col_a, col_b, r)`` for pairs a < b by position,
-    on rows where both are present.
-
-    Each row emits one (pair, x, y) record per column pair (a Generate in the
-    scan stage), and a three-aggregate ``groupBy(pair)`` combines them map-side:
-    the shuffle carries one row per pair per task, and the generated code stays
-    small however many columns there are."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+_MOMENTS = "part int, n binary, x binary, y binary, xx binary, yy binary, xy binary"
+
+
+def _task_moments(batches):
+    """One row a task: counts, means and centred sums of each pair of columns over the rows that have both."""
+    total = None
+    for b in batches:
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns], axis=1)
+        there = ~np.isnan(x)
+        m = there.astype(np.float64)
+        n = m.T @ m
+        shift = np.where(there.any(axis=0), np.nansum(x, axis=0) / np.maximum(there.sum(axis=0), 1), 0.0)
+        v = np.where(there, x - shift, 0.0)     # near zero, so that the products below lose no digits
+        safe = np.maximum(n, 1.0)
+        sx, sy = v.T @ m, m.T @ v
+        sxx, syy = (v * v).T @ m, m.T @ (v * v)
+        one = (n, sx / safe + shift[:, None], sy / safe + shift[None, :], sxx - sx * sx / safe, syy - sy * sy / safe, v.T @ v - sx * sy / safe)
+        total = one if total is None else _merged_moments(total, one)
+    if total is not None:
+        yield _moment_row(0, total)
+
+
+def _merged_moments(a, b):
+    """Moments of two sets of rows together (pairwise update of centred sums)."""
+    n = a[0] + b[0]
+    safe = np.maximum(n, 1.0)
+    dx, dy, w = b[1] - a[1], b[2] - a[2], a[0] * b[0] / safe
+    return (n, np.where(a[0] > 0, a[1] + dx * b[0] / safe, b[1]), np.where(a[0] > 0, a[2] + dy * b[0] / safe, b[2]),
+            a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w)
+
+
+def _moment_row(part: int, m) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in m]],
+                                      names=[c.split()[0] for c in _MOMENTS.split(", ")])
+
+
+def _merge_moments(key, t):
+    total = None
+    for r in t.to_pylist():
+        one = tuple(np.frombuffer(r[c]) for c in ("n", "x", "y", "xx", "yy", "xy"))
+        total = one if total is None else _merged_moments(total, one)
+    return pa.Table.from_batches([_moment_row(int(key[0].as_py()), total)])
+
+
+def co_moments(df: DataFrame, columns: list[str], parts: int = 64) -> DataFrame:
+    """(col_a, col_b, n, mean_a, mean_b, var_a, var_b, cov) of every pair a before b, population moments over the rows where both are
+    present. One pass: a task adds up masked Gram sums and hands on one row, which are merged in ``parts`` groups and then in one."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    schema = "col_a string, col_b string, n long, mean_a double, mean_b double, var_a double, var_b double, cov double"
     if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    d = df.select(*[qcol(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
-    idx = {c: i for i, c in enumerate(columns)}
-    recs = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("p"), F.col(f"_c{idx[a]}").alias("x"), F.col(f"_c{idx[b]}").alias("y"))
-        for k, (a, b) in enumerate(pairs)]))
-    long = d.select(recs.alias("s")).select("s.p", "s.x", "s.y")
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    xx, yy = F.when(both, F.col("x")), F.when(both, F.col("y"))
-    r = F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx)) * F.sqrt(F.var_pop(yy)))
-    agg = long.groupBy("p").agg(r.alias("r"))
-    names = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in pairs])
-    return agg.select(F.element_at(names, F.col("p") + 1).alias("n"), "r").select("n.col_a", "n.col_b", "r")
+        return df.sparkSession.createDataFrame([], schema)
+    k = len(columns)
+
+    def unfold(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                n, x, y, xx, yy, xy = (np.frombuffer(r[c]).reshape(k, k) for c in ("n", "x", "y", "xx", "yy", "xy"))
+                rows = [(columns[i], columns[j], int(n[i, j]), *([float(v[i, j]) for v in (x, y)] + [float(v[i, j] / n[i, j]) for v in (xx, yy, xy)]
+                                                               if n[i, j] else [None] * 5)) for i, j in pairs]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], schema=types)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[t]) for c, t in (f.split() for f in schema.split(", "))])
+    task = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_task_moments, _MOMENTS)
+    some = task.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).groupBy("part").applyInArrow(_merge_moments, _MOMENTS)
+    return some.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(_merge_moments, _MOMENTS).mapInArrow(unfold, schema)
+
+
+def pairwise_corr(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Long Pearson matrix ``(col_a, col_b, r)`` for pairs a < b by position, on rows where both are present; NULL for a
+    constant column and for a table without rows (then no pair is listed)."""
+    r = F.try_divide(F.col("cov"), F.sqrt("var_a") * F.sqrt("var_b"))
+    return co_moments(df, columns).select("col_a", "col_b", r.alias("r"))
 
 
 def kth_smallest(df: DataFrame, group: str | None, text: str, ranks: dict, digits: int = 3, few: int = 20_000) -> dict:

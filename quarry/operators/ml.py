@@ -217,3 +217,58 @@ def tune(train: DataFrame, features: list[str], folds: int = 3,
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                         seed=SEED, parallelism=parallelism)
     return cv.fit(d)
+
+
+#: Draws and folds of the random search.
+SEARCH_DRAWS, SEARCH_FOLDS = 20, 3
+
+
+def search_draws(n: int = SEARCH_DRAWS, seed: int = SEED) -> list[dict]:
+    """Parameter draws of the logistic profile: inverse regularisation log-uniform in [1e-4, 1e2], elastic-net share uniform
+    in [0, 1], and class weights balanced or none, each from its own stream of the seed."""
+    import random
+
+    c, share, balance = (random.Random(f"{seed}-{k}") for k in ("C", "l1_ratio", "weight"))
+    return [{"draw": i, "C": 10 ** c.uniform(-4, 2), "l1_ratio": share.uniform(0, 1), "balanced": balance.random() < 0.5} for i in range(n)]
+
+
+def random_search(train: DataFrame, features: list[str], scores: str, draws: list[dict] | None = None, folds: int = SEARCH_FOLDS,
+                  key: str = "ID", target: str = "target", max_iter: int = 100, parallelism: int = 4) -> DataFrame:
+    """(draw, C, l1_ratio, balanced, mean_auc, std_auc, rank) of every draw over ``folds`` folds.
+
+    Rows are dealt to folds by hashed key. Every fold's training rows are assembled and written once, and all
+    draws fit on that table; each fit appends its held-out scores to ``scores``, and one grouped job gives all AUCs."""
+    from quarry.operators.evaluation import roc_auc
+    from quarry.sources.sinks import materialize
+
+    spark = train.sparkSession
+    draws = draws or search_draws()
+    asm = VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep")
+    fold = F.floor(unit_hash(qcol(key), 13) * folds).cast("int")
+    rows = asm.transform(train).select(F.col(target).alias("target"), "raw_features", fold.alias("fold"))
+    tables = []
+    for k in range(folds):
+        fit_rows = with_class_weights(rows.where(F.col("fold") != k))
+        scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(fit_rows)
+        tables.append((materialize(scaler.transform(fit_rows).withColumn("one", F.lit(1.0)).drop("raw_features"), "fold-train"),
+                       materialize(scaler.transform(rows.where(F.col("fold") == k)).select("target", "features"), "fold-held")))
+    sizes = [t.agg(F.sum("weight"), F.sum("one")).first() for t, _ in tables]
+
+    def fit(job) -> None:
+        d, k = job
+        train_, held = tables[k]
+        total = sizes[k][0 if d["balanced"] else 1] or 1.0
+        lr = LogisticRegression(featuresCol="features", labelCol="target", weightCol="weight" if d["balanced"] else "one", maxIter=max_iter,
+                                regParam=1.0 / (d["C"] * total), elasticNetParam=d["l1_ratio"], standardization=False)
+        out = probability_high(lr.fit(train_).transform(held))
+        out.select(F.lit(d["draw"]).alias("draw"), F.lit(k).alias("fold"), F.col("target").alias("label"), F.col("probability_high").alias("score")) \
+            .write.parquet(f"{scores}/{d['draw']}-{k}")
+
+    with ThreadPool(parallelism) as pool:
+        pool.map(inheritable_thread_target(spark)(fit), [(d, k) for d in draws for k in range(folds)])
+    auc = roc_auc(spark.read.parquet(f"{scores}/*"), by=["draw", "fold"])
+    told = spark.createDataFrame([(d["draw"], d["C"], d["l1_ratio"], d["balanced"]) for d in draws], "draw int, C double, l1_ratio double, balanced boolean")
+    out = auc.groupBy("draw").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc")).join(F.broadcast(told), "draw")
+    from pyspark.sql import Window
+    best = Window.orderBy(F.col("mean_auc").desc_nulls_last(), "draw")  # a row a draw
+    return out.select("draw", "C", "l1_ratio", "balanced", "mean_auc", "std_auc", F.row_number().over(best).alias("rank"))

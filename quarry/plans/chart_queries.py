@@ -110,13 +110,8 @@ _TARGET_FEATURES = [c for c in CORR_COLUMNS if c not in ("target", "Severity")]
     + ") ORDER BY abs(r) DESC NULLS LAST, feature LIMIT 20"))
 def target_corr(spark, sf_dir):
     """The 20 features most correlated with the target (by |r|)."""
-    df = processed(spark, sf_dir)
-    from quarry.functions.stats import to_long
-    long = to_long(df, _TARGET_FEATURES, by=["target"]).withColumnRenamed("column", "feature")
-    both = F.col("v").isNotNull() & F.col("target").isNotNull()
-    x, y = F.when(both, F.col("v")), F.when(both, F.col("target").cast("double"))
-    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
-    out = long.groupBy("feature").agg(F.round(r, 6).alias("r"))
+    r = pairwise_corr(processed(spark, sf_dir), [*_TARGET_FEATURES, "target"]).where("col_b = 'target'")
+    out = r.select(F.col("col_a").alias("feature"), F.round("r", 6).alias("r"))
     return out.orderBy(F.abs("r").desc_nulls_last(), "feature").limit(20)
 
 

@@ -40,6 +40,47 @@ def csv_roundtrip(spark, sf_dir):
                   F.max("End_Time").cast("timestamp_ntz").alias("last_end"))
 
 
+_LINE_TYPES = {"ID": "string", "Severity": "int", "Start_Lat": "double", "City": "string", "_order": "bigint"}
+
+
+def _csv_lines(spark, sf_dir):
+    """Raw incidents as CSV texts: by place, one in ten has a field too many, is short, or has cells that are no numbers."""
+    c = F.col("_order") % 10
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.coalesce("City", F.lit("")), '"', '\\\\"'), F.lit('"'))
+    lat = F.when(c == 7, F.lit("x")).otherwise(F.coalesce(F.col("Start_Lat").cast("string"), F.lit("")))
+    severity = F.when(c == 7, F.lit("two")).otherwise(F.coalesce(F.col("Severity").cast("string"), F.lit("")))
+    whole = F.concat_ws(",", "ID", severity, lat, quoted, F.col("_order").cast("string"))
+    text = F.when(c == 3, F.concat(whole, F.lit(",EXTRA"))).when(c == 5, F.concat_ws(",", "ID", severity)).otherwise(whole)
+    return raw(spark, sf_dir).select("_order", text.alias("value"))
+
+
+_LINES_SQL = ("SELECT _order AS place, ID, CASE WHEN _order % 10 <> 7 THEN Severity END AS Severity, "
+              "CASE WHEN _order % 10 NOT IN (5, 7) THEN round(Start_Lat, 6) END AS Start_Lat, "
+              "CASE WHEN _order % 10 <> 5 THEN City END AS City, CASE WHEN _order % 10 <> 5 THEN _order END AS line FROM raw WHERE _order % 10 <> 3")
+
+
+@register("csv_malformed", over_raw(f"SELECT ID, Severity, Start_Lat, City, line FROM ({_LINES_SQL})"))
+def csv_malformed(spark, sf_dir):
+    """CSV lines with a field too many (skipped), short ones (filled with NULL) and bad cells (NULL)."""
+    path = stage_path(spark, "csv", f"lines-{uuid.uuid4().hex}")
+    _csv_lines(spark, sf_dir).select("value").write.text(path)
+    df = ingest.read_csv_typed(spark, path, _LINE_TYPES, header=False)
+    return df.select("ID", "Severity", F.round("Start_Lat", 6).alias("Start_Lat"), "City", F.col("_order").alias("line"))
+
+
+@register("csv_ordered", over_raw(
+    f"SELECT ID, Severity, Start_Lat, City, line FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY place) AS rn "
+    f"FROM (SELECT * FROM ({_LINES_SQL}) ORDER BY place LIMIT 5000)) WHERE rn = 1"))
+def csv_ordered(spark, sf_dir):
+    """The first 5,000 good rows of many files in file order, and of each ID the first row."""
+    from quarry.operators.clean import dedup
+    path = stage_path(spark, "csv", f"files-{uuid.uuid4().hex}")
+    _csv_lines(spark, sf_dir).repartitionByRange(7, "_order").sortWithinPartitions("_order").select("value").write.text(path)
+    types = {("line" if c == "_order" else c): t for c, t in _LINE_TYPES.items()}
+    df = ingest.read_csv_ordered(spark, path, types, first=5000, header=False)
+    return dedup(df, "ID", "_order").select("ID", "Severity", F.round("Start_Lat", 6).alias("Start_Lat"), "City", "line")
+
+
 _NARROW = ["Severity", "hour", "day_of_week", "year", "road_feature_count", "State_enc",
            "Distance(mi)", "Temperature(F)", "duration_min"]
 _INTS = {"Severity", "hour", "day_of_week", "year", "road_feature_count", "State_enc"}

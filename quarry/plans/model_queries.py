@@ -258,3 +258,30 @@ def model_comparison(spark, sf_dir):
     tm = tm.drop("n_train", "n_test")
     out = tm.join(F.broadcast(ts), tm["model"] == ts["model_name"], "left").drop("model_name")
     return out.drop("class_distribution").orderBy(F.col("test_auc").desc(), F.col("test_ap").desc(), "model")
+
+
+def _search(spark, sf_dir):
+    rows, feats = data(spark, sf_dir)
+    path = stage_path(spark, "search", uuid.uuid4().hex)
+    out = ml.random_search(rows.where(F.col("split") == "train"), feats, path)
+    return out, path
+
+
+@register("random_search")
+def random_search(spark, sf_dir):
+    """20 draws x 3 folds of the logistic profile, ranked by mean AUC."""
+    return _search(spark, sf_dir)[0]
+
+
+_U13 = "CAST(('0x' || substr(md5('13:' || ID), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+
+
+@register("search_folds", over_processed(
+    f"SELECT d.draw, CAST(floor({_U13} * 3) AS INTEGER) AS fold, count(*) AS held, CAST(sum(target) AS BIGINT) AS held_high, true AS in_range "
+    f"FROM ({_SPLIT}), (SELECT CAST(unnest(range({ml.SEARCH_DRAWS})) AS INTEGER) AS draw) d WHERE split = 'train' GROUP BY 1, 2"))
+def search_folds(spark, sf_dir):
+    """M15, what is determined: held-out rows and classes of every draw and fold; scores are probabilities."""
+    _, path = _search(spark, sf_dir)
+    rows = spark.read.parquet(f"{path}/*")
+    return rows.groupBy("draw", "fold").agg(F.count(F.lit(1)).alias("held"), F.sum("label").cast("long").alias("held_high"),
+                                            F.min(F.col("score").between(0, 1)).alias("in_range"))

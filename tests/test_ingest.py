@@ -38,3 +38,25 @@ def test_rows_with_a_field_too_many_are_skipped(spark, tmp_path):
     df = read_csv_typed(spark, str(tmp_path / "in.csv"), {"ID": "string", "n": "int", "x": "double"})
     assert [tuple(r) for r in df.orderBy("ID").collect()] == [("A", 1, 2.5), ("D", 4, None), ("E", 5, None)]
     assert df.select("ID").count() == 3
+
+
+def test_file_order_over_many_splits(spark, tmp_path):
+    from quarry.sources.ingest import read_csv_ordered
+    want = []
+    for f in range(5):
+        lines = []
+        for i in range(400 if f != 2 else 0):
+            n = f * 1000 + i
+            lines.append(f"k{n % 700},{n}" + (",EXTRA" if n % 9 == 0 else ""))
+            if n % 9:
+                want.append((f"k{n % 700}", n))
+        (tmp_path / f"part-{f}.csv").write_text("ID,n\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for first in (None, 0, 1, 355, 356, 700, 10_000):
+            df = read_csv_ordered(spark, str(tmp_path), {"ID": "string", "n": "int"}, first=first)
+            rows = df.orderBy("_order").collect()
+            assert [(r["ID"], r["n"]) for r in rows] == want[:first], first
+            assert len({r["_order"] for r in rows}) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

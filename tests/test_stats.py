@@ -114,3 +114,29 @@ def test_approx_quantiles_close_to_exact(spark):
     for p, v in got.items():
         rank = (vals <= v).mean()
         assert abs(rank - p) < 0.01
+
+
+def test_co_moments_against_numpy(spark):
+    import numpy as np
+    from quarry.functions.stats import co_moments, pairwise_corr
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 5)) * [1, 1e-3, 50, 1, 1] + [0, 1e6, -3, 0, 0]
+    x[:, 4] = 7.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) and k % 2 else float(v) for k, v in enumerate(r)) for r in x],
+                               "a double, b double, `c(x)` double, d double, e double").repartition(7)
+    names = ["a", "b", "c(x)", "d", "e"]
+    got = {(r["col_a"], r["col_b"]): r for r in co_moments(df, names, parts=3).collect()}
+    assert len(got) == 10
+    for i, a in enumerate(names):
+        for j in range(i + 1, 5):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            r, u, v = got[a, names[j]], x[both, i], x[both, j]
+            assert r["n"] == both.sum()
+            if r["n"]:
+                want = [u.mean(), v.mean(), u.var(), v.var(), ((u - u.mean()) * (v - v.mean())).mean()]
+                assert np.allclose([r[c] for c in ("mean_a", "mean_b", "var_a", "var_b", "cov")], want, rtol=1e-5, atol=1e-10)
+    corr = {(r["col_a"], r["col_b"]): r["r"] for r in pairwise_corr(df, names).collect()}
+    assert corr["a", "e"] is None and corr["a", "d"] is None and abs(corr["a", "b"]) < 0.2
+    assert pairwise_corr(df.where("false"), names).count() == 0 and co_moments(df, ["a"]).count() == 0
