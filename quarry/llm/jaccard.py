@@ -269,7 +269,8 @@ def _one_text_a_set(texts: DataFrame, member: DataFrame, marked: DataFrame) -> D
     of_id = member.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("sets")).where("sets > 1")
     member = G.written(member.join(rows, ["key", "set_id"], "left").join(of_id, "set_id", "left").withColumn(
         "vague", F.col("set_id").isNull() | F.col("rows").isNotNull() | F.col("sets").isNotNull()).drop("rows", "sets"), "members")
-    plain = texts.join(member.where("not vague"), F.col("doc_id") == F.col("set_id")).select(*out, "text").mapInArrow(
+    # Members grow with the rows: the join is by shuffle at every size.
+    plain = texts.join(member.where("not vague").hint("merge"), F.col("doc_id") == F.col("set_id")).select(*out, "text").mapInArrow(
         _with_sets, "key long, comp long, copies long, blocks int, shingles binary")
     vague = member.where("vague")
     if vague.isEmpty():
