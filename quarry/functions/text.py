@@ -27,3 +27,22 @@ def standardise(c: Column) -> Column:
 
 def city_state(city: Column, state: Column) -> Column:
     return F.concat_ws(", ", city, state)
+
+
+def last_part(c: Column, separator: str = ", ") -> Column:
+    """What follows the last separator (all of it, without one)."""
+    return F.substring_index(c, separator, -1)
+
+
+def format_int(c: Column) -> Column:
+    """Whole numbers with thousands marks."""
+    return F.format_number(c, 0)
+
+
+def format_pct(c: Column, digits: int = 2) -> Column:
+    return F.format_string(f"%.{digits}f%%", c)
+
+
+def title_of(c: Column) -> Column:
+    """An identifier with underscores as a title."""
+    return title_case(F.replace(c, F.lit("_"), F.lit(" ")))

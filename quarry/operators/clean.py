@@ -116,11 +116,6 @@ def align_features(df: DataFrame, expected: list[str], keep: list[str] = ()) ->
     return df.select(*cols)
 
 
-def filter_flag(df: DataFrame, flag: str) -> DataFrame:
-    """P10: rows where a boolean flag is true (NULL excluded; pushable filter)."""
-    return df.where(qcol(flag) == F.lit(True))
-
-
 # ---------------------------------------------------------------- C5 / C2 / C3 / C4
 def iqr_bounds(q: dict, columns: list[str], factor: float) -> dict[str, tuple[float, float]]:
     out = {}

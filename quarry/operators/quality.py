@@ -33,10 +33,11 @@ def total_missing(df: DataFrame) -> DataFrame:
     return df.agg(total.cast("long").alias("missing_cells"))
 
 
-def type_counts(df: DataFrame) -> list[tuple[str, int]]:
-    """Q3: schema-only, computed on the driver from ``df.dtypes``."""
+def type_count_table(df: DataFrame) -> DataFrame:
+    """Q3: (type, n_columns), from the schema alone."""
     from collections import Counter
-    return sorted(Counter(t for _, t in df.dtypes).items())
+    rows = sorted(Counter(t for _, t in df.dtypes).items())
+    return df.sparkSession.createDataFrame(rows, "type string, n_columns long")
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -114,7 +115,7 @@ REQUEST_RULES = [
 
 def request_violations(df: DataFrame) -> DataFrame:
     """Q9: adds ``violations`` (array of failed field names; a missing field
-    fails). Split with ``valid_requests`` / ``rejected_requests``."""
+    fails). ``rejected_requests`` keeps the rows with any."""
     checks = []
     for name, lo, hi in REQUEST_RULES:
         c = qcol(name) if name in df.columns else F.lit(None)
@@ -127,10 +128,6 @@ def request_violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
-def valid_requests(df: DataFrame) -> DataFrame:
-    return request_violations(df).where(F.size("violations") == 0).drop("violations")
-
-
 def rejected_requests(df: DataFrame) -> DataFrame:
     return request_violations(df).where(F.size("violations") > 0)
 
@@ -138,11 +135,3 @@ def rejected_requests(df: DataFrame) -> DataFrame:
 def shape(df: DataFrame) -> DataFrame:
     """Q10: row and column count."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
-
-
-def rule_audit(df: DataFrame) -> DataFrame:
-    """Q6 helper on an already de-duplicated table."""
-    coord = F.coalesce(coordinates_ok(), F.lit(False))
-    sev = F.coalesce(severity_ok(), F.lit(False))
-    return df.agg(F.count_if(~coord).alias("bad_coordinates"), F.count_if(coord & ~sev).alias("bad_severity"))
-

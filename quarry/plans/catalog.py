@@ -25,4 +25,4 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from quarry.plans import (  # noqa: F401
         eda_queries, quality_queries, clean_queries, feature_queries,
-        chart_queries, metric_queries, model_queries, io_queries)
+        chart_queries, metric_queries, model_queries, io_queries, report_queries)

@@ -63,6 +63,21 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+# Fixed: column of the result table → column of the cleaned table, in order.
+INCIDENT_COLUMNS = {
+    "accident_id": "ID", "severity": "Severity", "start_time": "Start_Time", "start_lat": "Start_Lat", "start_lng": "Start_Lng",
+    "city": "City", "state": "State", "county": "County", "zipcode": "Zipcode", "temperature_f": "Temperature(F)",
+    "humidity_pct": "Humidity(%)", "visibility_mi": "Visibility(mi)", "wind_speed_mph": "Wind_Speed(mph)",
+    "precipitation_in": "Precipitation(in)", "weather_condition": "Weather_Condition", "distance_mi": "Distance(mi)",
+    "sunrise_sunset": "Sunrise_Sunset", "junction": "Junction", "traffic_signal": "Traffic_Signal", "crossing": "Crossing",
+    "description": "Description",
+}
+_INCIDENT_TYPES = {"severity": T.IntegerType(), "start_time": T.TimestampType(), "junction": T.BooleanType(), "traffic_signal": T.BooleanType(),
+                   "crossing": T.BooleanType(), **{c: T.DoubleType() for c in ("start_lat", "start_lng", "temperature_f", "humidity_pct", "visibility_mi",
+                                                                            "wind_speed_mph", "precipitation_in", "distance_mi")}}
+INCIDENT_SCHEMA = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, _INCIDENT_TYPES.get(c, T.StringType())) for c in INCIDENT_COLUMNS],
+                                T.StructField("created_at", T.TimestampType())])
+
 PREDICTION_LOG_SCHEMA = T.StructType([
     T.StructField("features", T.StringType()),
     T.StructField("prediction", T.IntegerType()),
@@ -88,3 +103,14 @@ def prediction_log_rows(scored: DataFrame, feature_cols: list[str], model_name:
         feats.alias("features"), F.col("prediction").cast("int").alias("prediction"),
         F.col("probability_high").alias("probability"), F.col("severity_label"), F.lit(model_name).alias("model_name"),
         F.current_timestamp().alias("created_at")), PREDICTION_LOG_SCHEMA)
+
+
+def incident_rows(df: DataFrame) -> DataFrame:
+    """Incidents in the fixed 23-column table; ``id`` is the rank of the incident's id, cumulated over ranges. Absent columns are NULL."""
+    from quarry.functions.stats import ranged, running_totals
+
+    have = {c.lower(): c for c in df.columns}
+    named = df.select(*[F.col(f"`{have[c.lower()]}`").alias(n) for n, c in INCIDENT_COLUMNS.items() if c.lower() in have])
+    ranks = running_totals(ranged(df.select(F.col("ID").alias("accident_id")).withColumn("_one", F.lit(1)), [], "accident_id"), [], "accident_id", ["_one"], F.col("_range"))
+    out = named.join(ranks.select("accident_id", F.col("cum__one").alias("id")), "accident_id")
+    return conform(out.withColumn("created_at", F.current_timestamp()), INCIDENT_SCHEMA)
