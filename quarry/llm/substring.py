@@ -4,7 +4,8 @@ A repeat of ``window`` words or more contains a whole aligned block of
 ``block = (window + 1) // 2`` words of its reference text. So non-overlapping blocks are
 indexed, every rolling window of ``block`` words probes them, and a hit is extended to
 both sides for as long as each run of ``window`` words around it also stands in a text with a
-smaller doc_id. The covered words form the maximal exact repeats, and are removed.
+smaller doc_id. The covered words form the maximal exact repeats, and are removed. Windows without a hit are never compared,
+neither within a slice nor across slices.
 
 On Spark: documents are dealt into slices by ranges of doc_id. Two exchanges of packed keys
 (see :mod:`slices`) follow: one of block hashes, which tells each slice the probes that
@@ -51,6 +52,27 @@ def _distinct(code, aligned):
     return s[at], order, at, hit
 
 
+def _anchored(doc, first, ids, h, block: int, window: int, buckets: int, far: list) -> np.ndarray:
+    """Positions of the whole windows that hold a block that hits: one that texts of several ids in this slice hold, aligned in
+    one of them, or one of the codes in ``far``."""
+    code, pos, aligned = _blocks(doc, first, h, block, window, buckets)
+    u, order, at, indexed = _distinct(code, aligned)
+    if not len(u):
+        return np.zeros(0, np.int64)
+    who = ids[doc[pos]][order]
+    local = np.minimum.reduceat(who, at) != np.maximum.reduceat(who, at)
+    hit = (local & indexed) | (np.isin(u, np.concatenate(far)) if far else False)
+    run = np.zeros(len(order), np.int64)
+    run[at[1:]] = 1
+    back = np.empty(len(order), bool)
+    back[order] = hit[np.cumsum(run)]
+    hot = np.zeros(len(doc) + 1, np.int64)
+    hot[pos[back] + 1] = 1
+    hot = np.cumsum(hot)
+    whole = np.flatnonzero(W.inside(doc, window))
+    return whole[hot[whole + window - block + 1] > hot[whole]]
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S.SLICE_BYTES,
                      name: str = "dedup") -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, text, any others), with ``text`` the kept words joined
@@ -103,26 +125,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
         _, _, _, first, h = W.table_words(t.column("text"))
         ids = W.ints(t, "doc_id")
         doc = W.doc_of(first)
-        code, pos, aligned = _blocks(doc, first, h, block, window, buckets)
-        u, order, at, indexed = _distinct(code, aligned)
-        if not len(u):
-            return _rows64(np.zeros(0, np.uint64), 0, buckets)
-        who = ids[doc[pos]][order]
-        local = np.minimum.reduceat(who, at) != np.maximum.reduceat(who, at)
         far = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32)
                for b, x in zip(hits.column("bucket").to_pylist(), hits.column("data").to_pylist(), strict=True)]
-        hit = (local & indexed) | (np.isin(u, np.concatenate(far)) if far else False)
-        run = np.zeros(len(order), np.int64)
-        run[at[1:]] = 1
-        back = np.empty(len(order), bool)
-        back[order] = hit[np.cumsum(run)]
-        hot = np.zeros(len(doc) + 1, np.int64)
-        hot[pos[back] + 1] = 1
-        hot = np.cumsum(hot)
-        ok = W.inside(doc, window)
-        at13 = np.flatnonzero(ok)
-        inner = window - block + 1
-        at13 = at13[hot[at13 + inner] > hot[at13]]
+        at13 = _anchored(doc, first, ids, h, block, window, buckets, far)
+        if not len(at13):
+            return _rows64(np.zeros(0, np.uint64), 0, buckets)
         g = W.grams(h, window, _SEED)[at13]
         return _rows64(np.unique(g), key[0].as_py(), buckets)
 
@@ -149,22 +156,26 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
         ids = W.ints(t, "doc_id")
         doc = W.doc_of(first)
         n = len(doc)
-        at13 = np.flatnonzero(W.inside(doc, window))
-        g = W.grams(h, window, _SEED)[at13]
+        grams = W.grams(h, window, _SEED)
+        # Within the slice, windows around hits are followed: those that a text of a smaller id has too.
+        at13 = _anchored(doc, first, ids, h, block, window, buckets, [])
+        g = grams[at13]
         order = np.argsort(g, kind="stable")
         s = g[order]
-        gone = np.zeros(len(g), bool)
+        gone = np.zeros(len(doc), bool)
         if len(s):
             at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            size = np.diff(np.append(at, len(s)))
-            who = ids[doc[at13]]
-            least = np.repeat(np.minimum.reduceat(who[order], at), size)
-            far = [np.frombuffer(x, np.uint64) for x in flagged.column("data").to_pylist()]
-            there = np.repeat(np.isin(s[at], np.concatenate(far)), size) if far else False
-            gone[order] = (least < who[order]) | there
+            who = ids[doc[at13]][order]
+            least = np.repeat(np.minimum.reduceat(who, at), np.diff(np.append(at, len(s))))
+            gone[at13[order]] = least < who
+        far = [np.frombuffer(x, np.uint64) for x in flagged.column("data").to_pylist()]
+        if far:
+            whole = np.flatnonzero(W.inside(doc, window))
+            gone[whole] |= np.isin(grams[whole], np.concatenate(far))
+        gone = np.flatnonzero(gone)
         cover = np.zeros(n + 1, np.int64)
-        cover += np.bincount(at13[gone], minlength=n + 1)
-        cover -= np.bincount(at13[gone] + window, minlength=n + 1)
+        cover += np.bincount(gone, minlength=n + 1)
+        cover -= np.bincount(gone + window, minlength=n + 1)
         removed = np.cumsum(cover)[:n] > 0
         count = np.concatenate([[0], np.cumsum(removed)])
         lost = count[first[1:]] - count[first[:-1]]
