@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quarry.functions.stats import qcol
 
 BINS = 256
-LOCAL_ROWS = 65_536
+LOCAL_ROWS = 262_144  # some 1 KB a row while a tree grows
 ROUNDS_A_JOB = 50
 CHECKPOINT_ROUNDS = 10
 EPS = 1e-6

@@ -32,7 +32,7 @@ def report_tables(spark, sf_dir):
             "top_cities": F.col("city_state"), "top_weather": F.col("Weather_Condition"), "weather_rates": F.col("weather_category")}
     out = None
     for name, df in t.items():
-        share = text.format_pct(F.col("share") * 100) if name == "severity" else text.format_pct(F.col("rate") * 100) if name == "weather_rates" else none
+        share = text.format_pct(F.col("share") * 100) if name == "severity" else text.format_pct(F.col("high_severity_rate")) if name == "weather_rates" else none
         count = none if name == "weather_rates" else text.format_int(F.col("count"))
         rows = df.select(F.lit(name).alias("tab"), item[name].alias("item"), count.alias("accidents"), share.alias("share"))
         out = rows if out is None else out.unionByName(rows)
