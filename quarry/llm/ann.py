@@ -7,7 +7,8 @@ boundary distances, by rank, of least expected sum of squares (Lv et al., 2007).
 candidates are merged and ranked by exact distance.
 
 The number of probes is fitted on a bounded sample: the least that finds TARGET of the
-sample's true neighbours. Every vector is indexed.
+sample's true neighbours. Every vector is indexed. Where MAX_PROBES do not reach the target, all queries
+are answered by the exact scan, in parts.
 
 On Spark: equal vectors become one with its k + 1 smallest ids. Vectors go to (table, region of
 buckets, part); a region with more than PART_ROWS vectors has several parts, so a hot
@@ -69,6 +70,7 @@ class Hashing:
         self.width = max(width * spread, 1e-12)
         self.code = rng.integers(1, 1 << 63, size=tables * functions, dtype=np.uint64) | np.uint64(1)
         self.probes = 1
+        self.exact = False  # the sample's target was not reached: queries are answered by the exact scan
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -123,7 +125,8 @@ def fit(sample: np.ndarray, k: int, target: float = TARGET) -> Hashing:
             ok = (at < len(plan)) & (keys[i, t][order][np.minimum(at, len(plan) - 1)] == b[near, t])
             first[i, ok] = np.minimum(first[i, ok], order[at[ok]])
     need = np.sort(first.reshape(-1))
-    h.probes = int(min(len(plan), need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)] + 1))
+    last = need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]
+    h.probes, h.exact = int(min(len(plan), last + 1)), bool(last >= len(plan))
     return h
 
 
@@ -180,7 +183,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
             best[x] = sorted({*best.get(x, []), *ids})[:k + 1]
         return pa.table({"vec": pa.array(list(best), pa.binary()), "ids": pa.array(list(best.values()), pa.list_(pa.int64()))})
 
-    distinct = G.written(merged.groupBy(F.xxhash64("vec").alias("h")).applyInArrow(merge, "vec binary, ids array<long>"), "vectors")
+    shards = max(1, -(-good.count() // PART_ROWS))
+    distinct = G.written(merged.groupBy(F.pmod(F.xxhash64("vec"), F.lit(shards)).alias("h")).applyInArrow(merge, "vec binary, ids array<long>"), "vectors")
     n = distinct.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -232,7 +236,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
     indexed = distinct.mapInArrow(index, "tab int, region int, bucket long, vec binary, ids array<long>")
     parts = indexed.groupBy("tab", "region").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     split = indexed.join(parts, ["tab", "region"]).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
-    sent = asked.mapInArrow(probe, "tab int, region int, query_id long, vec binary, keys binary").join(parts, ["tab", "region"]).withColumn(
+    sent = asked.where(F.lit(not h.exact)).mapInArrow(probe, "tab int, region int, query_id long, vec binary, keys binary").join(parts, ["tab", "region"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     by = ["tab", "region", "part"]
     near = split.select(*by, "bucket", "vec", "ids").groupBy(*by).cogroup(sent.select(*by, "query_id", "vec", "keys").groupBy(*by)).applyInArrow(

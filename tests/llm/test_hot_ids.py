@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard, lm, urlfilter
+from quarry.llm import ann, jaccard, lm, urlfilter
 
 RNG = random.Random(11)
 VOCAB = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 6))) for _ in range(400)]
@@ -115,3 +115,18 @@ def test_training_documents_of_many_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = lm.score_documents(docs, F.lit(True), start_docs=5).collect()
     assert len(out) == 30 and {r.train_tokens for r in out} == {30 * 4001} and all(np.isfinite(r.score) for r in out)
+
+
+def test_too_few_probes_mean_an_exact_scan(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MAX_PROBES", 1)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 24)).astype(np.float32)
+    x[50:60] = x[50]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 400, 40):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(axis=1))
+        want = [i for i in sorted(range(400), key=lambda i: (d[i], i)) if i != q][:10]
+        assert [v for _, v in sorted(got[q])] == want
