@@ -73,19 +73,36 @@ def fit_encoders(df: DataFrame, columns: list[str] = ENCODED) -> DataFrame | Non
     return materialize(ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code")), "classes")
 
 
+FEW_CLASSES = 64
+
+
 def apply_encoders(df: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """F8 transform: adds ``<col>_enc`` int columns (unseen classes → class count). One left join a
-    column; the planner broadcasts a class table that is small on disk."""
+    """F8 transform: adds ``<col>_enc`` int columns (unseen classes → class count). Columns of at most FEW_CLASSES
+    classes are coded in one projection by a literal map; any other by a left join, which the planner broadcasts if its
+    class table is small on disk."""
     if classes is None:
         return df
     size = {r["column"]: r["count"] for r in classes.groupBy("column").count().collect()}  # a row per encoded column
-    out = df
-    for c in [c for c in ENCODED if c in size] + sorted(set(size) - set(ENCODED)):
-        enc = c + "_enc"
-        codes = classes.where(F.col("column") == c).select(F.col("value").alias("_class"), F.col("code").alias(enc))
-        out = out.drop(enc).join(codes, _class_text(c) == F.col("_class"), "left").drop("_class")
-        out = out.withColumn(enc, F.coalesce(enc, F.lit(size[c])).cast("int"))
-    return out
+    few = [c for c, n in size.items() if n <= FEW_CLASSES]
+    known: dict[str, list] = {}
+    for r in classes.where(F.col("column").isin(few)).collect():  # FEW_CLASSES rows a column at most
+        known.setdefault(r["column"], []).append((r["value"], r["code"]))
+    order = [c for c in ENCODED if c in size] + sorted(set(size) - set(ENCODED))
+    out = df.drop(*[c + "_enc" for c in order])
+    for c in order:
+        if c not in known:
+            enc = c + "_enc"
+            codes = classes.where(F.col("column") == c).select(F.col("value").alias("_class"), F.col("code").alias(enc))
+            out = out.join(codes, _class_text(c) == F.col("_class"), "left").drop("_class")
+
+    def code(c: str) -> Column:
+        if c not in known:
+            return qcol(c + "_enc")
+        pairs = F.create_map(*[F.lit(x) for pair in sorted(known[c]) for x in pair])
+        return F.try_element_at(pairs, _class_text(c))
+
+    return out.select(*[qcol(c) for c in out.columns if c not in {x + "_enc" for x in order}],
+                      *[F.coalesce(code(c), F.lit(size[c])).cast("int").alias(c + "_enc") for c in order])
 
 
 def select_features(df: DataFrame) -> list[str]:
