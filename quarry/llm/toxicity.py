@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share a body of ordinary text; the toxic one adds a dictionary trained on
-toxic windows, the ordinary one as many bytes that nothing matches. A window's gain is
-how many bytes shorter the toxic dictionary compresses it. Training starts from all windows of toxic
-texts and repeats: windows of toxic texts with the largest gains train the next toxic dictionary, and
-ordinary windows that gain join the ordinary body. A text's largest gains, their number and
-its number of windows are then calibrated on held-back labelled rows by a logistic fit.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary windows; a common body of ordinary text
+follows both, so that what both classes say compresses alike. A window's gain is how many bytes shorter the toxic dictionary
+compresses it. Training starts from windows drawn from all texts and repeats: windows of toxic texts with the largest gains train
+the next toxic dictionary; ordinary windows that gain train the next ordinary one and join the body. The sums of a text's one, two and
+three largest gains are held against thresholds, which rise with the logarithm of its number of windows. Held-back labelled rows
+calibrate them: the least weight of wrong rows, at the classes' true shares, a false alarm counted as COST misses.
+A text is toxic if it passes a threshold; the score is a logistic curve over the bytes by which it does. A text without a gain is never toxic.
 
 On Spark: a bounded number of labelled rows is drawn and written; executors read their whole texts in each
 round and send a few windows a text, and six numbers a calibration row. The first dictionaries are made of windows drawn by hash from
@@ -15,7 +16,7 @@ whole texts. Dictionaries (a few 100 KB) are made on the driver and broadcast; s
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ ORDINARY_BYTES = 150_000
 HARD_BYTES = 100_000
 TOXIC_BYTES = 12_000
 ROUNDS = 7
+DEPTH = 3  # sums of a text's largest gains that have a threshold each
+GROW = (0.0, 0.5, 1.0, 1.5, 2.0)  # bytes that the thresholds may rise by
+COST = 3.0  # a false alarm counts as so many misses
 TOP = 4  # windows of a toxic text that train the next dictionary, and of an ordinary one that join the body
 #: Opens each window and ends both dictionaries, so that every window compresses to some degree.
 _HEAD = bytes(range(1, 25)) + b" "
@@ -68,9 +72,9 @@ def trained(samples: list[bytes], size: int) -> bytes:
 class Model:
     ordinary: bytes
     toxic: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    threshold: np.ndarray = field(default_factory=lambda: np.full(DEPTH, np.inf))  # of the largest gain, the sum of the two largest, ...
+    grow: float = 0.0  # bytes a threshold rises with the logarithm of a text's number of windows
+    slope: float = 1.0
 
     def open(self) -> None:
         self.by_ordinary, self.by_toxic = compressor(self.ordinary).compress, compressor(self.toxic).compress
@@ -85,12 +89,47 @@ class Model:
         return np.array([len(a(w)) - len(b(w)) for w in wins], dtype=np.int64)
 
     def features(self, text: bytes) -> list[float]:
+        """Sums of the 1 to DEPTH largest window gains, and the logarithm of the number of windows."""
         g = np.sort(self.gains(windows(text)))[::-1]
-        return [float(g[:1].sum()), float(g[:2].sum()), float(g[:3].sum()), float(np.log1p(len(g))), float((g >= 4).sum() ** 0.5)]
+        return [*np.cumsum(np.pad(g[:DEPTH], (0, max(0, DEPTH - len(g)))).astype(float)), float(np.log1p(len(g)))]
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """By how many bytes some threshold is passed; -1 at most without any gain."""
+        m = (x[:, :DEPTH] - self.grow * x[:, DEPTH:] - self.threshold).max(axis=1)
+        return np.where(x[:, 0] > 0, m, np.minimum(m, -1.0))
 
     def score(self, text: bytes) -> float:
-        x = (np.array(self.features(text)) - self.mean) / self.scale
-        return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))))
+        m = self.margin(np.array([self.features(text)]))[0]
+        return float(1 / (1 + np.exp(-np.clip(self.slope * m, -30, 30))))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Thresholds with the least weight of wrong rows, then the slope of the score."""
+        best = None
+        for grow in GROW:
+            found, at = np.zeros(len(y), bool), np.full(DEPTH, np.inf)
+            for k in range(DEPTH):
+                v = np.where(x[:, 0] > 0, x[:, k] - grow * x[:, DEPTH], -np.inf)
+                values = np.unique(v[~found & np.isfinite(v)])
+                loss = np.where(found, 0, np.where(y > 0, -weight, weight))
+                order = np.argsort(-v, kind="stable")
+                total = np.append(0, np.cumsum(loss[order]))
+                cut = np.searchsorted(-v[order], -values, side="right")
+                if len(values) and total[cut].min() < 0:
+                    i = int(total[cut].argmin())
+                    below = v[(v < values[i]) & np.isfinite(v)]
+                    at[k] = (values[i] + below.max()) / 2 if len(below) else values[i] - 0.5
+                    found |= v >= at[k]
+            wrong = float(weight[found != (y > 0)].sum())
+            if best is None or wrong < best[0] - 1e-9:
+                best = wrong, grow, at
+        self.grow, self.threshold = best[1], best[2]
+        if np.isinf(self.threshold).all():
+            self.threshold = np.where(np.arange(DEPTH) == 0, (x[:, 0] - self.grow * x[:, DEPTH]).max() + 1, np.inf)
+        m, a = self.margin(x), 0.1
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a * m, -30, 30)))
+            a = max(1e-3, a - (weight @ ((p - y) * m) + 0.5 * a) / (weight @ (p * (1 - p) * m * m) + 0.5))
+        self.slope = a
 
 
 def _each(rows: DataFrame, use: dict, schema: str, run) -> list:
@@ -142,8 +181,12 @@ def fit(rows: DataFrame, prior: float | None = None) -> Model | None:
     order = np.argsort(W.mix(np.arange(len(first[0]), dtype=np.uint64)), kind="stable")
     body = b"".join(first[0][i][len(_HEAD):] for i in order)[:ORDINARY_BYTES]
     new, hard = trained(first[1], TOXIC_BYTES), {}
+
+    def ordinary(hard: dict) -> bytes:
+        return trained([_HEAD + w for w in hard] + first[0], TOXIC_BYTES)
+
     for _ in range(ROUNDS):
-        model = _model(new, hard, body)
+        model = _model(new, hard, body, ordinary(hard))
         shared = rows.sparkSession.sparkContext.broadcast(model)
         got = _each(rows, use, "wins array<binary>", lambda k, text, shared=shared: (_best(shared.value, windows(text)) or None,))
         chosen = [bytes(w) for r in got if r["_toxic"] == 1 for w in r["wins"] or ()]
@@ -151,25 +194,21 @@ def fit(rows: DataFrame, prior: float | None = None) -> Model | None:
         if len(chosen) < 2:
             break
         new = trained(chosen, TOXIC_BYTES)
-    model = _model(new, hard, body)
+    model = _model(new, hard, body, ordinary(hard))
     shared = rows.sparkSession.sparkContext.broadcast(model)
     got = _each(rows, cal, "x array<double>", lambda k, text: (shared.value.features(text),))
     x, y = np.array([r["x"] for r in got]), np.array([float(r["_toxic"]) for r in got])
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    a = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
-    w, ridge = np.zeros(a.shape[1]), np.diag([0.5] * 5 + [1e-6])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
+    share = y.mean()
+    weight = np.ones(len(y))
     if prior is not None and 0 < prior < 1:
-        w[-1] += np.log(prior / (1 - prior)) - np.log(y.sum() / (len(y) - y.sum()))
-    model.weights = w
+        weight = np.where(y > 0, prior / share, (1 - prior) / (1 - share))
+    model.calibrate(x, y, np.where(y > 0, weight, COST * weight))
     return model
 
 
-def _model(new: bytes, hard: dict, body: bytes) -> Model:
+def _model(new: bytes, hard: dict, body: bytes, old: bytes) -> Model:
     shared = b"".join(reversed(hard))[:HARD_BYTES] + body
-    return Model(b"\0" * TOXIC_BYTES + shared + _HEAD, new + shared + _HEAD, np.zeros(5), np.ones(5), np.zeros(6))
+    return Model(old + shared + _HEAD, new + shared + _HEAD)
 
 
 def _best(model: Model, wins: list[bytes]) -> list[bytes]:
