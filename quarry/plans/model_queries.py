@@ -21,6 +21,7 @@ from quarry.plans.feature_queries import FEATURES
 from quarry.plans.oracle_base import over_processed
 from quarry.plans.stages import processed_with_meta
 from quarry.session import stage_path
+from quarry.sources.incidents import TABLES
 from quarry.sources.registry import Registry, fingerprint
 from quarry.sources.sinks import materialize, write_parquet
 from quarry.sources.tables import table_path
@@ -62,7 +63,7 @@ def data(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 def registry(spark, sf_dir, profile: str = "full") -> Registry:
     """The store of the models of these files, features and parameters."""
-    paths = [table_path(sf_dir, t) for t in ("events", "customer", "nation")]
+    paths = [table_path(sf_dir, t) for t in TABLES]
     return Registry(spark, fingerprint(spark, paths, [ml.PROFILES[profile], FEATURES, ml.SEED, "exact split"]))
 
 

@@ -5,10 +5,13 @@ session under the shared checkpoint folder and later queries scan it: the
 EDA queries then read a narrow column set from parquet (pruned, filter
 pushed) instead of re-running the join, de-duplication and statistics jobs.
 A lost executor re-reads files; nothing depends on executor-local state.
+A stage belongs to the state of its input tables: after they are written again,
+it is built anew in a folder of its own, beside what earlier readers still scan.
 """
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +20,19 @@ from quarry.operators.clean import filtered as filter_rows
 from quarry.operators.clean import finish
 from quarry.operators.features import build_features
 from quarry.session import stage_path
-from quarry.sources.incidents import incidents
+from quarry.sources.incidents import TABLES, incidents
+from quarry.sources.tables import table_state
 
 _lock = threading.RLock()
 _cache: dict[tuple, tuple] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, stage: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), stage)
+    return (spark.sparkContext.applicationId, table_state(spark, sf_dir, TABLES), stage)
+
+
+def _folder(spark: SparkSession, key: tuple) -> str:
+    return stage_path(spark, f"{key[-1]}-{hashlib.md5(repr(key).encode()).hexdigest()[:10]}")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,17 +40,12 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "raw")
     with _lock:
         if k not in _cache:
-            path = stage_path(spark, f"raw-{_tag(sf_dir)}")
+            path = _folder(spark, k)
             incidents(spark, sf_dir).write.mode("overwrite").parquet(path)
             _cache[k] = (path,)
     return spark.read.parquet(_cache[k][0])
 
 
-def _tag(sf_dir: str) -> str:
-    import hashlib
-    return hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:10]
-
-
 def filtered(spark: SparkSession, sf_dir: str):
     """(de-duplicated and validated incidents, NULL fractions), de-duplicated once per session."""
     k = _key(spark, sf_dir, "filtered")
@@ -56,7 +59,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "cleaned")
     with _lock:
         if k not in _cache:
-            path = stage_path(spark, f"cleaned-{_tag(sf_dir)}")
+            path = _folder(spark, k)
             finish(*filtered(spark, sf_dir)).write.mode("overwrite").parquet(path)
             _cache[k] = (path,)
     return spark.read.parquet(_cache[k][0])
@@ -68,7 +71,7 @@ def processed_with_meta(spark: SparkSession, sf_dir: str):
     with _lock:
         if k not in _cache:
             table, enc, feats = build_features(cleaned(spark, sf_dir))
-            path = stage_path(spark, f"processed-{_tag(sf_dir)}")
+            path = _folder(spark, k)
             table.write.mode("overwrite").parquet(path)
             _cache[k] = (path, enc, feats)
         hit = _cache[k]

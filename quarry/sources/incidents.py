@@ -111,11 +111,9 @@ def incidents_sql(dialect: str = "spark") -> str:
     return text.format(events="events", customer="customer", nation="nation")
 
 
+TABLES = ["events", "customer", "nation"]
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw incident table (lazy)."""
-    return spark.sql(
-        incidents_sql("spark"),
-        events=load_table(spark, sf_dir, "events"),
-        customer=load_table(spark, sf_dir, "customer"),
-        nation=load_table(spark, sf_dir, "nation"),
-    )
+    return spark.sql(incidents_sql("spark"), **{t: load_table(spark, sf_dir, t) for t in TABLES})

@@ -20,3 +20,16 @@ def load_table(spark: SparkSession, sf_dir: str, name: str,
     """Parquet scan; a column list is a projection Catalyst prunes into the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def table_state(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """(path, time of change, bytes, files) of each table: differs once a table was written again or added to. Files are
+    summed by the file system; none is listed on the driver or read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        fs = path.getFileSystem(conf)
+        size = fs.getContentSummary(path)
+        out.append((path.toString(), fs.getFileStatus(path).getModificationTime(), size.getLength(), size.getFileCount()))
+    return tuple(out)
