@@ -140,3 +140,29 @@ def test_co_moments_against_numpy(spark):
     corr = {(r["col_a"], r["col_b"]): r["r"] for r in pairwise_corr(df, names).collect()}
     assert corr["a", "e"] is None and corr["a", "d"] is None and abs(corr["a", "b"]) < 0.2
     assert pairwise_corr(df.where("false"), names).count() == 0 and co_moments(df, ["a"]).count() == 0
+
+
+def test_all_ranks_share_their_passes(spark):
+    """kth_smallest reads the rows once a round and once for the last few, not once a rank and round."""
+    from quarry.functions.stats import kth_smallest
+
+    df = spark.range(3000).selectExpr("id % 2 AS g", "md5(cast(id AS string)) AS h").where("g IS NOT NULL")
+    wanted = {0: [0, 1, 300, 9999], 1: [2, 700]}
+    sorted_ = {g: sorted(r["h"] for r in df.where(f"g = {g}").collect()) for g in wanted}
+    sc = spark.sparkContext
+    sc.setJobGroup("ranks", "ranks")
+    got = kth_smallest(df, "g", "h", wanted, digits=1, few=50)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("ranks"))
+    sc.setJobGroup("rest", "rest")
+    assert got == {g: ["" if k == 0 else sorted_[g][min(k, 1500) - 1] for k in ks] for g, ks in wanted.items()}
+    assert jobs <= 8  # two or three rounds of two stages, and the last rows
+
+
+def test_rows_of_a_small_file_are_spread(spark, tmp_path):
+    from quarry.session import spread
+
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert df.rdd.getNumPartitions() == 1
+    sizes = [r["count"] for r in spread(df).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 5000 and max(sizes) < 2500
