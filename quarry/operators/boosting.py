@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from quarry.functions.stats import qcol
 
 BINS = 256
-LOCAL_ROWS = 262_144  # some 1 KB a row while a tree grows
+LOCAL_ROWS = 1_048_576  # some 300 bytes a row while a tree grows
 ROUNDS_A_JOB = 50
 CHECKPOINT_ROUNDS = 10
 EPS = 1e-6
@@ -64,12 +64,14 @@ class Layout:
     """Cut points of each feature, and where its bins start in the row of all bins."""
 
     cuts: list[list[float]]
+    size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     feature: np.ndarray = field(init=False)
     last: np.ndarray = field(init=False)
 
     def __post_init__(self):
         size = np.array([len(c) + 1 for c in self.cuts], np.int64)
+        self.size = size
         self.start = np.concatenate([[0], np.cumsum(size)])[:-1]
         self.feature = np.repeat(np.arange(len(size)), size)
         self.last = np.zeros(int(size.sum()), bool)
@@ -225,24 +227,44 @@ class Rows:
     def begin(self, layout: Layout, p: Params, r: int) -> None:
         prob = 1.0 / (1.0 + np.exp(-self.margin))
         g, h = self.w * (prob - self.y), np.maximum(self.w * prob * (1.0 - prob), 1e-16)
-        use = _chosen(layout, p, r)
+        self.use = _chosen(layout, p, r)
         drawn = _drawn(self.key, p, r)
-        rows = np.arange(len(g)) if drawn is None else np.flatnonzero(drawn)
-        self.g, self.h = g[rows], h[rows]
-        self.drawn_bins = self.bins[rows]
-        self.flat = self.drawn_bins[:, use] + layout.start[use][None, :]
+        if drawn is None:
+            self.g, self.h, bins = g, h, self.bins
+        else:
+            rows = np.flatnonzero(drawn)
+            self.g, self.h, bins = g[rows], h[rows], self.bins[rows]
+        self.columns = np.ascontiguousarray(bins.T)
+        self.node = np.zeros(len(self.g), np.int64)
+
+    def descend(self, tree: Tree) -> None:
+        """Drawn rows in nodes that were split since the last call go on to their leaves."""
+        feature, cut, left, right = (np.array(c) for c in (tree.feature, tree.bin, tree.left, tree.right))
+        rows = np.flatnonzero(feature[self.node] >= 0)
+        while len(rows):
+            at = self.node[rows]
+            to = np.where(self.columns[feature[at], rows] <= cut[at], left[at], right[at])
+            self.node[rows] = to
+            rows = rows[feature[to] >= 0]
 
     def sums(self, layout: Layout, tree: Tree, nodes: list[int]):
         """(gradients, Hessians, counts), each (nodes, bins)."""
+        self.descend(tree)
         slot = np.full(len(tree.feature), -1)
         slot[nodes] = np.arange(len(nodes))
-        at = slot[tree.leaves_of(self.drawn_bins)]
+        at = slot[self.node]
         rows = np.flatnonzero(at >= 0)
-        key = (self.flat[rows] + (at[rows] * layout.width)[:, None]).ravel()
-        size, k = len(nodes) * layout.width, self.flat.shape[1]
-        shape = (len(nodes), layout.width)
-        return tuple(np.bincount(key, v, size).reshape(shape) for v in (
-            np.repeat(self.g[rows], k), np.repeat(self.h[rows], k), None)) if len(key) else tuple(np.zeros(shape) for _ in range(3))
+        whole = len(rows) == len(at)
+        g, h = (self.g, self.h) if whole else (self.g[rows], self.h[rows])
+        at = at if whole else at[rows]
+        out = np.zeros((3, len(nodes), layout.width))
+        for f in self.use:
+            size, first = int(layout.size[f]), int(layout.start[f])
+            column = self.columns[f]
+            key = at * size + (column if whole else column[rows])
+            for to, v in zip(out, (g, h, None), strict=True):
+                to[:, first:first + size] = np.bincount(key, v, len(nodes) * size).reshape(len(nodes), size)
+        return tuple(out)
 
     def add(self, tree: Tree) -> None:
         self.margin = self.margin + np.array(tree.value)[tree.leaves_of(self.bins)]
@@ -260,9 +282,9 @@ def fit_rows(rows: Rows, layout: Layout, p: Params, first: int, rounds: int) ->
 
 
 # ---------------------------------------------------------------- on Spark
-def cut_points(df: DataFrame, features: list[str]) -> Layout:
+def cut_points(df: DataFrame, features: list[str], bins: int = BINS) -> Layout:
     """Quantile cuts of all features in one aggregate."""
-    probs = [i / BINS for i in range(1, BINS)]
+    probs = [i / bins for i in range(1, bins)]
     row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), probs, 10_000).alias(f"c{i}") for i, c in enumerate(features)]).first()
     return Layout([sorted({float(v) for v in (row[f"c{i}"] or [])}) for i in range(len(features))])
 
@@ -412,7 +434,7 @@ def fit(df: DataFrame, features: list[str], p: Params, label: str = "target", we
     table = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"),
                       F.col(weight).cast("double").alias("w"), F.xxhash64(qcol(key)).alias("key"), F.lit(base).alias("margin"))
     small = s["n"] <= local_rows
-    state = materialize((table.coalesce(1) if small else table).mapInArrow(_blocks(layout, len(features)), BLOCK_SCHEMA), "boost-blocks")
+    state = materialize(table.mapInArrow(_blocks(layout, len(features)), BLOCK_SCHEMA), "boost-blocks")
     if trees:
         state = materialize(state.mapInArrow(_moved(layout, trees), BLOCK_SCHEMA), "boost-blocks")
     while len(trees) < p.rounds:
