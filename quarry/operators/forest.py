@@ -3,7 +3,7 @@
 The rules are those of Spark ML's forest with the same parameters: Poisson(1) bootstrap counts, 32 quantile bins, a new draw of
 ceil(sqrt(k)) features at every node, weighted Gini gain above zero, at least ``min_leaf`` drawn rows a child, and the
 mean of the leaves' class shares as probability. Spark ML adds up sums for every (node, feature, bin) of
-every partition and shuffles them: at depth 15 that is tens of gigabytes a level. Here a level's sums stay in the
+every partition and shuffles them; by estimate, not measured, at depth 15 that is gigabytes a level. Here a level's sums stay in the
 task that grows the tree. A task holds the rows (one byte a feature), so this form is for at most boosting.LOCAL_ROWS of them.
 
 A tree depends on (seed, tree) and the rows in key order, not on how they or the trees are dealt.
@@ -160,7 +160,7 @@ class ForestModel:
 
 
 def _trees(rows: DataFrame) -> list[Tree]:
-    """Some 15 bytes a node and, whatever the rows, 2 ** (depth + 1) nodes a tree at most."""
+    """Some 25 bytes a node and, whatever the rows, 2 ** (depth + 1) nodes a tree at most."""
     t = sorted(rows.toArrow().to_pylist(), key=lambda r: r["tree"])
     return [Tree(*(np.frombuffer(r[c], t_) for c, t_ in FIELDS.items())) for r in t]
 
