@@ -234,7 +234,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
     asked = good.where(queries).select(F.col("vec_id").alias("query_id"), "embedding").mapInArrow(_as_bytes, "query_id long, vec binary")
     asked = G.written(asked.dropDuplicates(["query_id"]), "queries")
     indexed = distinct.mapInArrow(index, "tab int, region int, bucket long, vec binary, ids array<long>")
-    parts = indexed.groupBy("tab", "region").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    # TABLES rows for PART_ROWS vectors. Said to be the side that is broadcast: the probes of a query are some 100 KB, but Spark takes
+    # them for about as small as the table of queries that they come from, and would send them all through the driver.
+    parts = F.broadcast(indexed.groupBy("tab", "region").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")))
     split = indexed.join(parts, ["tab", "region"]).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
     sent = asked.where(F.lit(not h.exact)).mapInArrow(probe, "tab int, region int, query_id long, vec binary, keys binary").join(parts, ["tab", "region"]).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
