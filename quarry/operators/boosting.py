@@ -8,7 +8,12 @@ sibling is the parent less the child. With ``max_leaves``, the tree is then cut
 best-first queue would have opened, which needs no further pass: all gains are known.
 
 A table of at most LOCAL_ROWS rows is one task's work for every pass, so there the same loop runs
-inside that task, ROUNDS_A_JOB rounds at a time; the trees are those of the many-task form (tested).
+inside that task, ROUNDS_A_JOB rounds at a time; the trees are those of the many-task form (tested). A process for each core of the
+executor holds a share of the rows and adds up its sums; the task adds theirs and picks the splits.
+
+Features of few bins share a code, so that one pass over the rows adds up the sums of several. Gradients and Hessians are
+rounded to multiples of a power of two so small that every sum of them is exact: trees do not depend on the order of rows,
+on how they are dealt or on how features share codes.
 
 Trees go to a folder every few rounds, and a fit that was cut off goes on from there. Column
 samples depend on (seed, round), row samples on (row key, round), so a resumed fit gives the same trees.
@@ -18,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable
+import multiprocessing
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,10 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.stats import qcol
+from quarry.session import executor_cores
 
 BINS = 256
-LOCAL_ROWS = 1_048_576  # some 300 bytes a row while a tree grows
-ROUNDS_A_JOB = 50
+CODES = 512  # of the features that share one, at most (a single feature has 256)
+LOCAL_ROWS = 8_388_608  # some 300 bytes a row while a tree grows
+PROCESS_ROWS = 50_000
+ROUNDS_A_JOB = 250
 CHECKPOINT_ROUNDS = 10
 EPS = 1e-6
 
@@ -61,9 +71,11 @@ class Params:
 
 @dataclass
 class Layout:
-    """Cut points of each feature, and where its bins start in the row of all bins."""
+    """Cut points of each feature, and where its bins start in the row of all bins. ``groups`` are the features that share a
+    code, each as (feature, codes to its next bin). Gradients are rounded to multiples of ``unit`` (0: not at all)."""
 
     cuts: list[list[float]]
+    unit: float = 0.0
     size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     feature: np.ndarray = field(init=False)
@@ -76,6 +88,17 @@ class Layout:
         self.feature = np.repeat(np.arange(len(size)), size)
         self.last = np.zeros(int(size.sum()), bool)
         self.last[self.start + size - 1] = True
+        self.groups: list[list[tuple[int, int]]] = []
+        self.codes: list[int] = []
+        for f in sorted(range(len(size)), key=lambda f: -size[f]):
+            n = int(size[f])
+            i = next((i for i, c in enumerate(self.codes) if c * n <= CODES), len(self.codes))
+            if i == len(self.codes):
+                self.groups.append([])
+                self.codes.append(1)
+            self.groups[i].append((f, self.codes[i]))
+            self.codes[i] *= n
+        self.place = {f: (i, step) for i, group in enumerate(self.groups) for f, step in group}
 
     @property
     def width(self) -> int:
@@ -88,6 +111,27 @@ class Layout:
             out[:, j] = np.searchsorted(c, x[:, j], side="left")
         return out
 
+    def coded(self, bins: np.ndarray) -> list[np.ndarray]:
+        """The codes of rows, an array a group."""
+        out = []
+        for group in self.groups:
+            code = np.zeros(len(bins), np.uint16)
+            for f, step in group:
+                code += bins[:, f] * np.uint16(step)
+            out.append(code)
+        return out
+
+    def low(self, f: int, cut: int) -> tuple[int, np.ndarray]:
+        """(group, whether a code's bin of ``f`` is at most ``cut``, by code)."""
+        i, step = self.place[f]
+        return i, np.arange(self.codes[i]) // step % self.size[f] <= cut
+
+    def by_feature(self, i: int, sums: np.ndarray, out: np.ndarray) -> None:
+        """Sums by code of group i (..., codes) added up to the bins of its features, in ``out`` (..., bins)."""
+        for f, step in self.groups[i]:
+            n = int(self.size[f])
+            out[..., self.start[f]:self.start[f] + n] = sums.reshape(*sums.shape[:-1], -1, n, step).sum(axis=(-3, -1))
+
 
 class Tree:
     """Nodes as parallel lists; a row goes left if its bin is at most ``bin``; a leaf has feature -1."""
@@ -104,13 +148,15 @@ class Tree:
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
         feature, cut, left, right = (np.array(c) for c in (self.feature, self.bin, self.left, self.right))
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins)) if feature[0] >= 0 else np.zeros(0, np.int64)
-        while len(rows):
-            at = node[rows]
-            low = bins[rows, feature[at]] <= cut[at]
-            node[rows] = np.where(low, left[at], right[at])
-            rows = rows[feature[node[rows]] >= 0]
+        leaf, own = feature < 0, np.arange(len(feature))
+        child = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).ravel()  # a row stays in its leaf
+        feature = np.where(leaf, 0, feature)
+        flat, first, node = np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
+        depth = np.zeros(len(leaf), np.int64)
+        for n in np.flatnonzero(~leaf):  # children come after their parents
+            depth[[left[n], right[n]]] = depth[n] + 1
+        for _ in range(int(depth[child].max())):
+            node = child[2 * node + (flat[first + feature[node]] > cut[node])]
         return node
 
 
@@ -223,64 +269,158 @@ class Rows:
 
     def __init__(self, bins, y, w, key, margin):
         self.bins, self.y, self.w, self.key, self.margin = bins, y, w, key, margin
+        self.codes = None
 
     def begin(self, layout: Layout, p: Params, r: int) -> None:
+        if self.codes is None:
+            self.layout, self.codes = layout, layout.coded(self.bins)
         prob = 1.0 / (1.0 + np.exp(-self.margin))
-        g, h = self.w * (prob - self.y), np.maximum(self.w * prob * (1.0 - prob), 1e-16)
-        self.use = _chosen(layout, p, r)
+        self.g, self.h = self.w * (prob - self.y), np.maximum(self.w * prob * (1.0 - prob), 1e-16)
+        if layout.unit:
+            self.g, self.h = np.rint(self.g / layout.unit) * layout.unit, np.maximum(np.rint(self.h / layout.unit), 1.0) * layout.unit
+        use = set(_chosen(layout, p, r).tolist())
+        self.use = [i for i, group in enumerate(layout.groups) if any(f in use for f, _ in group)]
         drawn = _drawn(self.key, p, r)
-        if drawn is None:
-            self.g, self.h, bins = g, h, self.bins
-        else:
-            rows = np.flatnonzero(drawn)
-            self.g, self.h, bins = g[rows], h[rows], self.bins[rows]
-        self.columns = np.ascontiguousarray(bins.T)
-        self.node = np.zeros(len(self.g), np.int64)
-
-    def descend(self, tree: Tree) -> None:
-        """Drawn rows in nodes that were split since the last call go on to their leaves."""
-        feature, cut, left, right = (np.array(c) for c in (tree.feature, tree.bin, tree.left, tree.right))
-        rows = np.flatnonzero(feature[self.node] >= 0)
-        while len(rows):
-            at = self.node[rows]
-            to = np.where(self.columns[feature[at], rows] <= cut[at], left[at], right[at])
-            self.node[rows] = to
-            rows = rows[feature[to] >= 0]
+        self.parts = {0: slice(None) if drawn is None else np.flatnonzero(drawn)}  # rows by node
+        self.rest = np.zeros(0, np.int64) if drawn is None else np.flatnonzero(~drawn)
+
+    def _fall(self, tree: Tree, parts: dict) -> None:
+        """Rows in nodes that are split go on to their leaves."""
+        split = [n for n in parts if tree.feature[n] >= 0]
+        while split:
+            n = split.pop()
+            rows = parts.pop(n)
+            i, low = self.layout.low(tree.feature[n], tree.bin[n])
+            left = low[self.codes[i][rows]]
+            for child, to in ((tree.left[n], left), (tree.right[n], ~left)):
+                parts[child] = np.flatnonzero(to) if isinstance(rows, slice) else rows[to]
+                if tree.feature[child] >= 0:
+                    split.append(child)
 
     def sums(self, layout: Layout, tree: Tree, nodes: list[int]):
-        """(gradients, Hessians, counts), each (nodes, bins)."""
-        self.descend(tree)
-        slot = np.full(len(tree.feature), -1)
-        slot[nodes] = np.arange(len(nodes))
-        at = slot[self.node]
-        rows = np.flatnonzero(at >= 0)
-        whole = len(rows) == len(at)
-        g, h = (self.g, self.h) if whole else (self.g[rows], self.h[rows])
-        at = at if whole else at[rows]
-        out = np.zeros((3, len(nodes), layout.width))
-        for f in self.use:
-            size, first = int(layout.size[f]), int(layout.start[f])
-            column = self.columns[f]
-            key = at * size + (column if whole else column[rows])
-            for to, v in zip(out, (g, h, None), strict=True):
-                to[:, first:first + size] = np.bincount(key, v, len(nodes) * size).reshape(len(nodes), size)
+        """(gradients, Hessians, counts), each (nodes, bins), of drawn rows."""
+        self._fall(tree, self.parts)
+        out, by_code = np.zeros((3, len(nodes), layout.width)), {i: np.zeros((3, len(nodes), layout.codes[i])) for i in self.use}
+        for k, node in enumerate(nodes):
+            rows = self.parts[node]
+            g, h = self.g[rows], self.h[rows]
+            for i, to in by_code.items():
+                code = self.codes[i][rows].astype(np.intp)
+                for a, v in zip(to, (g, h, None), strict=True):
+                    a[k] = np.bincount(code, v, layout.codes[i])
+        for i, to in by_code.items():
+            layout.by_feature(i, to, out)
         return tuple(out)
 
     def add(self, tree: Tree) -> None:
-        self.margin = self.margin + np.array(tree.value)[tree.leaves_of(self.bins)]
-
-
-def fit_rows(rows: Rows, layout: Layout, p: Params, first: int, rounds: int) -> list[Tree]:
+        """Margins after a whole tree."""
+        if self.codes is None:
+            self.margin = self.margin + np.array(tree.value)[tree.leaves_of(self.bins)]
+            return
+        whole = {0: slice(None)} if not hasattr(self, "parts") else {0: self.rest}
+        self._fall(tree, whole)
+        self._fall(tree, self.parts)
+        leaf = tree.value.copy()  # of a node below a leaf, the leaf's
+        for n, (f, a, b) in enumerate(zip(tree.feature, tree.left, tree.right, strict=True)):
+            if f < 0 and a:
+                leaf[a] = leaf[b] = leaf[n]
+        self.margin = self.margin.copy()
+        for parts in (whole, self.parts):
+            for n, rows in parts.items():
+                self.margin[rows] += leaf[n]
+
+
+def fit_rows(rows: Rows, layout: Layout, p: Params, first: int, rounds: int, processes: int = 1) -> list[Tree]:
     """Rounds ``first`` and on over rows in memory."""
     out = []
-    for r in range(first, first + rounds):
-        rows.begin(layout, p, r)
-        tree = grow(lambda t, nodes: rows.sums(layout, t, nodes), layout, _chosen(layout, p, r), p)
-        rows.add(tree)
-        out.append(tree)
+    with _shares(rows, layout, p, processes) as share:
+        for r in range(first, first + rounds):
+            share.begin(r)
+            tree = grow(share.sums, layout, _chosen(layout, p, r), p)
+            share.add(tree)
+            out.append(tree)
     return out
 
 
+class _One:
+    """All rows in this process."""
+
+    def __init__(self, rows: Rows, layout: Layout, p: Params):
+        self.rows, self.layout, self.p = rows, layout, p
+
+    def begin(self, r: int) -> None:
+        self.rows.begin(self.layout, self.p, r)
+
+    def sums(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        return np.stack(self.rows.sums(self.layout, tree, nodes))
+
+    def add(self, tree: Tree) -> None:
+        self.rows.add(tree)
+
+
+class _Many:
+    """Shares of the rows in processes of their own, told what to do through pipes."""
+
+    def __init__(self, pipes: list, width: int):
+        self.pipes, self.width = pipes, width
+
+    def _tell(self, *what) -> None:
+        for pipe in self.pipes:
+            pipe.send(what)
+
+    def begin(self, r: int) -> None:
+        self._tell("begin", r)
+
+    def sums(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        self._tell("sums", tree, nodes)
+        out = np.zeros((3, len(nodes), self.width))
+        for pipe in self.pipes:
+            out += np.frombuffer(pipe.recv_bytes()).reshape(out.shape)
+        return out
+
+    def add(self, tree: Tree) -> None:
+        self._tell("add", tree)
+
+
+def _serve(pipe, others: list, rows: Rows, layout: Layout, p: Params) -> None:
+    for other in others:  # so that a pipe ends with the task that holds its other end
+        other.close()
+    share = _One(rows, layout, p)
+    try:
+        while True:
+            what, *args = pipe.recv()
+            out = getattr(share, what)(*args)
+            if what == "sums":
+                pipe.send_bytes(memoryview(out).cast("B"))
+    except (EOFError, BrokenPipeError):
+        return
+
+
+@contextmanager
+def _shares(rows: Rows, layout: Layout, p: Params, processes: int) -> Iterator:
+    if processes < 2:
+        yield _One(rows, layout, p)
+        return
+    fork, pipes, started = multiprocessing.get_context("fork"), [], []
+    try:
+        for at in np.array_split(np.arange(len(rows.y)), processes):
+            share = slice(int(at[0]), int(at[-1]) + 1) if len(at) else slice(0)
+            own, theirs = fork.Pipe()
+            pipes.append(own)
+            mine = Rows(*(getattr(rows, c)[share] for c in ("bins", "y", "w", "key", "margin")))
+            started.append(fork.Process(target=_serve, args=(theirs, list(pipes), mine, layout, p), daemon=True))
+            started[-1].start()
+            theirs.close()
+        yield _Many(pipes, layout.width)
+    finally:
+        for pipe in pipes:
+            pipe.close()
+        for process in started:
+            process.join(10)
+            if process.is_alive():
+                process.kill()
+
+
 # ---------------------------------------------------------------- on Spark
 def cut_points(df: DataFrame, features: list[str], bins: int = BINS) -> Layout:
     """Quantile cuts of all features in one aggregate."""
@@ -338,13 +478,14 @@ def _moved(layout: Layout, trees: list[Tree]):
     return run
 
 
-def _local(layout: Layout, p: Params, first: int, rounds: int):
-    """Rounds over all blocks of one task, as TREE rows without thresholds."""
+def _local(layout: Layout, p: Params, first: int, rounds: int, processes: int):
+    """Rounds over all blocks of one task, as TREE rows."""
     def run(batches):
         all_ = [rows for b in batches for _, rows in _unpack(b, len(layout.cuts))]
         if all_:
             joined = Rows(*(np.concatenate([getattr(x, c) for x in all_]) for c in ("bins", "y", "w", "key", "margin")))
-            for i, tree in enumerate(fit_rows(joined, layout, p, first, rounds)):
+            all_.clear()
+            for i, tree in enumerate(fit_rows(joined, layout, p, first, rounds, min(processes, -(-len(joined.y) // PROCESS_ROWS)))):
                 yield pa.RecordBatch.from_pylist(_tree_rows(first + i, tree, layout), schema=_TREES)
     return run
 
@@ -428,6 +569,7 @@ def fit(df: DataFrame, features: list[str], p: Params, label: str = "target", we
     s = df.agg(F.sum(F.col(weight) * F.col(label)).alias("pos"), F.sum(F.col(weight)).alias("all"), F.count(F.lit(1)).alias("n")).first()
     if not s["n"]:
         raise ValueError("no training rows")
+    layout.unit = 2.0 ** (np.ceil(np.log2(s["all"])) - 52)  # no sum of gradients is larger than that of the weights
     rate = min(max(s["pos"] / s["all"], 1e-6), 1 - 1e-6)
     base = float(np.log(rate / (1 - rate)))
     trees = _trees(saved()) if saved else []
@@ -441,7 +583,7 @@ def fit(df: DataFrame, features: list[str], p: Params, label: str = "target", we
         first = len(trees)
         if small:
             n = min(ROUNDS_A_JOB, p.rounds - first)
-            new = _trees(state.coalesce(1).mapInArrow(_local(layout, p, first, n), TREE_SCHEMA).collect())
+            new = _trees(state.coalesce(1).mapInArrow(_local(layout, p, first, n, executor_cores(spark)), TREE_SCHEMA).collect())
             state = materialize(state.mapInArrow(_moved(layout, new), BLOCK_SCHEMA), "boost-blocks") if first + n < p.rounds else state
         else:
             n = min(CHECKPOINT_ROUNDS, p.rounds - first)
