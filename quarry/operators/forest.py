@@ -25,6 +25,9 @@ from quarry.functions.stats import qcol
 from quarry.operators.boosting import BLOCK_SCHEMA, Layout, _blocks, _unpack, cut_points
 
 BINS = 32
+PACK = 2.0 ** 26
+REPACK = 3  # levels
+RUN = 32_768
 FIELDS = {"feature": np.int32, "bin": np.uint8, "left": np.int32, "value": np.float64, "gain": np.float64}
 FOREST_SCHEMA = "tree int, " + ", ".join(f"{c} binary" for c in FIELDS)
 
@@ -48,14 +51,15 @@ class Tree:
     gain: np.ndarray
 
     def leaves_of(self, bins: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(bins), np.int32)
-        rows = np.arange(len(bins)) if self.feature[0] >= 0 else np.zeros(0, np.int64)
-        while len(rows):
-            at = node[rows]
-            to = self.left[at] + (bins[rows, self.feature[at]] > self.bin[at])
-            node[rows] = to
-            rows = rows[self.feature[to] >= 0]
-        return node
+        leaf = self.feature < 0
+        feature, cut = np.where(leaf, 0, self.feature), np.where(leaf, 255, self.bin)
+        left = np.where(leaf, np.arange(len(leaf)), self.left)  # a row stays in its leaf: no bin is over 255
+        flat, first, node = np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1], np.zeros(len(bins), np.int64)
+        while True:
+            to = left[node] + (flat[first + feature[node]] > cut[node])
+            if np.array_equal(to, node):
+                return node
+            node = to
 
 
 def _gini(pos, total):
@@ -63,51 +67,96 @@ def _gini(pos, total):
     return 2.0 * pos * (total - pos) / np.where(total > 0, total, 1.0)
 
 
+def _values(y: np.ndarray, w: np.ndarray, n: np.ndarray):
+    """(arrays to add up, a function of their sums that gives (draws, weight, weight of the high class)) for rows drawn ``n`` times.
+
+    Where each class has one weight, draws and high draws share a number, and one exact sum has both."""
+    high = y > 0
+    own = [w[of][:1] for of in (~high, high)]
+    low_w, high_w = (float(v[0]) if len(v) else 0.0 for v in own)
+    if n.sum() < PACK and np.array_equal(w, np.where(high, high_w, low_w)) and np.array_equal(y, high):
+        def apart(sums):
+            tops = np.floor(sums[0] / PACK)
+            draws = sums[0] - tops * PACK
+            return draws, low_w * (draws - tops) + high_w * tops, high_w * tops
+        return [n + PACK * (n * high)], apart
+    return [n, n * w, n * w * y], tuple
+
+
 def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, drawn: np.ndarray, p: Params, rng: np.random.Generator) -> Tree:
     """One tree over rows that were drawn ``drawn`` times each."""
     k = bins.shape[1]
-    flat, take = np.ascontiguousarray(bins).ravel(), int(np.ceil(np.sqrt(k)))
+    take = int(np.ceil(np.sqrt(k)))
     rows = np.flatnonzero(drawn)
-    n, total = drawn[rows].astype(np.float64), w[rows] * drawn[rows]
-    pos, at = total * y[rows], np.zeros(len(rows), np.int64)
+    values, apart = _values(y[rows], w[rows], drawn[rows].astype(np.float64))
+    flat, place, at = np.ascontiguousarray(bins[rows]).ravel(), np.arange(len(rows)) * k, np.zeros(len(rows), np.int64)
     levels, first, many = [], 0, 1  # nodes of a level are numbered from ``first`` on
     for depth in range(p.depth + 1):
-        all_, high = np.bincount(at, total, many), np.bincount(at, pos, many)
+        draws, all_, high = apart([np.bincount(at, v, many) for v in values])
         best = np.full(many, 1e-9) * all_
         feature, cut, split = np.full(many, -1, np.int32), np.zeros(many, np.uint8), np.zeros(many, bool)
-        if depth < p.depth and len(rows):
+        if depth < p.depth and len(at):
             drawn_features = np.argsort(rng.random((many, k)), axis=1)[:, :take]
-            own = _gini(high, all_)
+            able = np.flatnonzero((draws >= 2 * p.min_leaf) & (high > 0) & (high < all_))  # no other node has a split that gains
+            number = np.full(many, -1)
+            number[able] = np.arange(len(able))
+            at = number[at]
+            if len(able) < many:
+                keep = at >= 0
+                place, at, values = place[keep], at[keep], [v[keep] for v in values]
+            if depth % REPACK == 0 and depth:  # rows of a node lie together again
+                order = np.argsort(at.astype(np.uint16) if len(able) <= 1 << 16 else at, kind="stable")
+                flat = flat.reshape(-1, k)[place[order] // k].ravel()
+                place, at, values = np.arange(len(at)) * k, at[order], [v[order] for v in values]
+            sums = _sums(flat, place, at, values, drawn_features[able])
+            own, all_able, high_able, best_able = _gini(high[able], all_[able]), all_[able], high[able], best[able]
             for j in range(take):
-                f = drawn_features[:, j]
-                key = at * BINS + flat[rows * k + f[at]]
-                tl, pl, nl = (np.bincount(key, v, many * BINS).reshape(many, BINS).cumsum(axis=1) for v in (total, pos, n))
-                gain = own[:, None] - _gini(pl, tl) - _gini(high[:, None] - pl, all_[:, None] - tl)
+                nl, tl, pl = apart([s[j].cumsum(axis=1) for s in sums])
+                gain = own[:, None] - _gini(pl, tl) - _gini(high_able[:, None] - pl, all_able[:, None] - tl)
                 gain[(nl < p.min_leaf) | (nl[:, -1:] - nl < p.min_leaf)] = -np.inf
                 c = gain.argmax(axis=1)
-                top = gain[np.arange(many), c]
-                better = top > best
-                best[better], feature[better], cut[better] = top[better], f[better], c[better]
+                top = gain[np.arange(len(able)), c]
+                better = top > best_able
+                best_able[better] = top[better]
+                feature[able[better]], cut[able[better]] = drawn_features[able[better], j], c[better]
+            best[able] = best_able
             split = feature >= 0
         left = np.full(many, 0, np.int32)
         left[split] = first + many + 2 * np.arange(int(split.sum()))
         levels.append((feature, cut, left, high / np.where(all_ > 0, all_, 1.0), np.where(split, best, 0.0)))
         if not split.any():
             break
-        keep = split[at]
-        rows, n, total, pos, at = (a[keep] for a in (rows, n, total, pos, at))
-        at = left[at] - first - many + (flat[rows * k + feature[at]] > cut[at])
+        of = able[at]
+        keep = split[of]
+        if not keep.all():
+            place, of, values = place[keep], of[keep], [v[keep] for v in values]
+        at = left[of] - first - many + (flat[place + feature[of]] > cut[of])
         first, many = first + many, 2 * int(split.sum())
     return Tree(*(np.concatenate([level[i] for level in levels]) for i in range(5)))
 
 
+def _sums(flat: np.ndarray, place: np.ndarray, at: np.ndarray, values: list, features: np.ndarray) -> list[np.ndarray]:
+    """For each of ``values`` its sums by (draw of a feature, node, bin). Rows are taken in runs, whose nodes are few next to each other."""
+    many, take = features.shape
+    out = [np.zeros((take, many, BINS)) for _ in values]
+    for lo in range(0, len(at), RUN):
+        run = at[lo:lo + RUN]
+        a, b = int(run.min()), int(run.max()) + 1
+        key, where, own = (run - a) * BINS, place[lo:lo + RUN], [v[lo:lo + RUN] for v in values]
+        for j in range(take):
+            code = key + flat[where + features[run, j]]
+            for s, v in zip(out, own, strict=True):
+                s[j, a:b] += np.bincount(code, v, (b - a) * BINS).reshape(b - a, BINS)
+    return out
+
+
 def _forest(p: Params, parts: int, width: int):
     """The trees of a part, over all blocks."""
     def run(key, t):
         blocks = [rows for b in t.to_batches() for _, rows in _unpack(b, width)]
-        bins, y, w, keys = (np.concatenate([getattr(r, c) for r in blocks]) for c in ("bins", "y", "w", "key"))
-        order = np.argsort(keys, kind="stable")
-        bins, y, w = bins[order], y[order], w[order]
+        order = np.argsort(np.concatenate([r.key for r in blocks]), kind="stable")
+        bins, y, w = (np.concatenate([getattr(r, c) for r in blocks])[order] for c in ("bins", "y", "w"))
+        blocks.clear()
         out = []
         for i in range(int(key[0].as_py()), p.trees, parts):
             rng = np.random.default_rng((p.seed, i))
@@ -173,7 +222,7 @@ def fit(df: DataFrame, features: list[str], p: Params, label: str = "target", we
     table = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"),
                       F.col(weight).cast("double").alias("w"), F.xxhash64(qcol(key)).alias("key"), F.lit(0.0).alias("margin"))
     blocks = materialize(table.mapInArrow(_blocks(layout, len(features)), BLOCK_SCHEMA), "forest-blocks").withColumn("margin", F.lit(b""))
-    parts = min(p.trees, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    parts = min(p.trees, 2 * df.sparkSession.sparkContext.defaultParallelism)  # each is sent all rows
     dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     trees = materialize(dealt.groupBy("part").applyInArrow(_forest(p, parts, len(features)), FOREST_SCHEMA), "forest-trees")
     return ForestModel(list(features), layout, _trees(trees))

@@ -63,3 +63,23 @@ def test_the_forest_profile_is_dealt_to_tasks(spark):
     assert s.where(~F.col("probability_high").between(0, 1)).count() == 0
     high, low = (s.where(F.col("target") == t).agg(F.avg("probability_high")).first()[0] for t in (1, 0))
     assert high > low + 0.2
+
+
+def test_packed_sums_give_the_tree_of_plain_sums(monkeypatch):
+    """Classes of one weight each share a number a row; runs of few rows and any repacking give the same tree."""
+    r = np.random.default_rng(5)
+    bins, y = r.integers(0, 32, (3000, 7)).astype(np.uint8), r.integers(0, 2, 3000).astype(float)
+    y[bins[:, 0] > 20] = 1.0
+    w, drawn, p = np.where(y == 1, 0.75, 1.5), r.poisson(1.0, 3000), forest.Params(1, 9, 4)
+
+    def tree():
+        t = forest.grow(bins, y, w, drawn, p, np.random.default_rng(1))
+        return [getattr(t, c) for c in ("feature", "bin", "left", "value", "gain")]
+
+    want = tree()
+    assert len(want[0]) > 100
+    monkeypatch.setattr(forest, "RUN", 50)
+    monkeypatch.setattr(forest, "REPACK", 1)
+    assert all(np.array_equal(a, b) for a, b in zip(want, tree(), strict=True))
+    monkeypatch.setattr(forest, "PACK", 0.0)  # weights such as these add up exactly in plain sums too
+    assert all(np.array_equal(a, b) for a, b in zip(want, tree(), strict=True))
