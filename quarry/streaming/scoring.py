@@ -34,16 +34,20 @@ def parse_requests(lines: DataFrame) -> DataFrame:
     return out.withColumn(_BAD, F.when(no_object, F.coalesce("request", F.lit(""))).otherwise(F.col(_BAD)))
 
 
-def scored_batch(lines: DataFrame, models: dict, default: str, features: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(prediction log, rejected, dead letters) of text rows. A request names its model or gets ``default``; an
-    unknown name is a failed field."""
-    parsed = parse_requests(lines)
-    dead = parsed.where(qcol(_BAD).isNotNull()).select("request")
+def checked_requests(lines: DataFrame, models: dict, default: str) -> DataFrame:
+    """Text rows as requests with defaults and derived fields, and ``violations``, the failed fields. A request names its
+    model or gets ``default``; an unknown name is a failed field. Texts that are no request are in ``_malformed``."""
     named = F.coalesce(F.nullif(F.col("model_name"), F.lit("")), F.lit(default))
-    requests = parsed.where(qcol(_BAD).isNull()).drop(_BAD).withColumn("model_name", named)
+    requests = parse_requests(lines).withColumn("model_name", named)
     checked = request_violations(request_features(fill_defaults(requests)))
     known = F.col("model_name").isin(list(models))
-    checked = checked.withColumn("violations", F.when(known, F.col("violations")).otherwise(F.array_append("violations", F.lit("model_name"))))
+    return checked.withColumn("violations", F.when(known, F.col("violations")).otherwise(F.array_append("violations", F.lit("model_name"))))
+
+
+def outcomes(checked: DataFrame, models: dict, features: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prediction log, rejected, dead letters) of checked requests."""
+    dead = checked.where(qcol(_BAD).isNotNull()).select("request")
+    checked = checked.where(qcol(_BAD).isNull()).drop(_BAD)
     rejected = checked.where(F.size("violations") > 0).select("request", "violations")
     valid = checked.where(F.size("violations") == 0)
     log = None
@@ -54,15 +58,23 @@ def scored_batch(lines: DataFrame, models: dict, default: str, features: list[st
     return log, rejected, dead
 
 
+def scored_batch(lines: DataFrame, models: dict, default: str, features: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prediction log, rejected, dead letters) of text rows."""
+    return outcomes(checked_requests(lines, models, default), models, features)
+
+
 def batch_writer(models: dict, default: str, features: list[str], sink: str) -> Callable[[DataFrame, int], None]:
-    """What ``foreachBatch`` calls: writes a batch's rows to ``sink``/log, /rejected and /dead."""
+    """What ``foreachBatch`` calls: writes a batch's rows to ``sink``/log, /rejected and /dead.
+
+    Checked requests are kept, not the texts: a filter on what was parsed would else be moved below the parsing, and parse each
+    text again for every field that it looks at."""
     def write(lines: DataFrame, batch_id: int) -> None:
-        lines = lines.persist()
+        checked = checked_requests(lines, models, default).persist()
         try:
-            for rows, name in zip(scored_batch(lines, models, default, features), ("log", "rejected", "dead"), strict=True):
+            for rows, name in zip(outcomes(checked, models, features), ("log", "rejected", "dead"), strict=True):
                 rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
         finally:
-            lines.unpersist()
+            checked.unpersist()
     return write
 
 

@@ -67,3 +67,20 @@ def test_defaults(spark):
     assert [(r["Temperature(F)"], r["Visibility(mi)"], r["Wind_Speed(mph)"], r["Pressure(in)"], r["duration_min"], r["weather_severity_score"]) for r in out] == [
         (55.0, 0.5, 10.0, 29.9, 30.0, 3), (55.0, 10.0, 10.0, 29.9, 30.0, 0), (55.0, 10.0, 10.0, 29.9, 30.0, 0)]
     assert [r["_malformed"] for r in out] == [None, None, ""]
+
+
+def test_a_batch_parses_each_request_once(spark, monkeypatch, tmp_path):
+    """The sinks read kept requests; a filter on parsed fields does not bring the parsing of the text with it."""
+    from quarry.streaming import scoring
+    lines = spark.createDataFrame([('{"hour": 5, "day_of_week": 1, "month": 2, "year": 2020}',), ("x",)], "value string")
+    checked = scoring.checked_requests(lines, {}, "m")
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    seen = []
+
+    def outcomes(checked, models, features):
+        seen.append(checked.storageLevel.useMemory)
+        return [checked.where(F.size("violations") > 0).select("request")] * 3
+
+    monkeypatch.setattr(scoring, "outcomes", outcomes)
+    batch_writer({}, "m", [], str(tmp_path))(lines, 0)
+    assert seen == [True]
