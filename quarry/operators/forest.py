@@ -70,11 +70,12 @@ def _gini(pos, total):
 def _values(y: np.ndarray, w: np.ndarray, n: np.ndarray):
     """(arrays to add up, a function of their sums that gives (draws, weight, weight of the high class)) for rows drawn ``n`` times.
 
-    Where each class has one weight, draws and high draws share a number, and one exact sum has both."""
+    Where each class has one weight, draws and high draws share a number, and one exact sum has both; rows of a single run
+    are few, and added up plainly."""
     high = y > 0
     own = [w[of][:1] for of in (~high, high)]
     low_w, high_w = (float(v[0]) if len(v) else 0.0 for v in own)
-    if n.sum() < PACK and np.array_equal(w, np.where(high, high_w, low_w)) and np.array_equal(y, high):
+    if len(n) > RUN and n.sum() < PACK and np.array_equal(w, np.where(high, high_w, low_w)) and np.array_equal(y, high):
         def apart(sums):
             tops = np.floor(sums[0] / PACK)
             draws = sums[0] - tops * PACK

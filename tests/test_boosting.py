@@ -144,7 +144,8 @@ def test_sums_are_exact_in_any_order_and_processes():
 
 def test_codes_add_up_to_bins():
     x, y = rows(500, 2)
-    layout = B.Layout([sorted(set(c))[:-1] for c in x.T])
+    layout = B.Layout([sorted(set(c))[:40] for c in x.T], unit=2.0 ** -40)
+    assert len(layout.groups) < x.shape[1] and len(B.Layout(layout.cuts).groups) == x.shape[1]
     bins = layout.bins(x)
     block = B.Rows(bins, y.astype(float), np.ones(500), np.arange(500, dtype=np.uint64), np.zeros(500))
     block.begin(layout, B.Params(), 0)
@@ -158,3 +159,16 @@ def test_codes_add_up_to_bins():
 def test_a_table_over_a_million_rows_is_one_tasks_work():
     """A job a level, 8 a round, does not finish 500 rounds over the 4,033,231 rows of 60 times sf0.1."""
     assert B.LOCAL_ROWS > 4_033_231
+
+
+def test_fits_over_many_rows_take_processes(spark, monkeypatch):
+    """A table over PROCESS_ROWS rows has shared codes, exact sums and processes, and scores as the plain form does."""
+    df, feats = table(spark)
+    plain = B.fit(df, feats, P)
+    assert plain.layout.unit == 0
+    monkeypatch.setattr(B, "PROCESS_ROWS", 300)
+    one = B.fit(df, feats, P)
+    assert one.layout.unit > 0
+    many = B.fit(df, feats, P, local_rows=0)
+    x = rows(200, 11)[0]
+    assert np.array_equal(one.margins(x), many.margins(x)) and np.allclose(one.margins(x), plain.margins(x), atol=1e-6)
